@@ -57,9 +57,24 @@ FROM cum
 """
 
 
+def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sparquill.llm.exact import exact_groups
+
+    return exact_groups(_documents(spark, sf_dir), keep="max")
+
+
+OP6_SQL = """
+WITH d AS (
+  SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents)
+SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
+       doc_id = max(doc_id) OVER (PARTITION BY t) AS kept, sha256(t) AS text_sha256
+FROM d
+"""
+
+
 def queries() -> dict[str, Query]:
-    return {"op8_mix": op8_mix}
+    return {"op6_exact_dedup": op6_exact_dedup, "op8_mix": op8_mix}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_mix": OP8_SQL}
+    return {"op6_exact_dedup": OP6_SQL, "op8_mix": OP8_SQL}
