@@ -57,6 +57,16 @@ FROM cum
 """
 
 
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sparquill.llm import langid
+
+    docs = _documents(spark, sf_dir)
+    mark = langid.held_out(F.col("doc_id"))
+    trees = langid.fit(docs.where(~mark & F.col("doc_id").isNotNull()))
+    found = langid.predict(docs.select("doc_id", mark.alias("held_out"), "text"), trees)
+    return found.select("doc_id", "held_out", "lang_pred", "score", "bits")
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sparquill.llm.exact import exact_groups
 
@@ -73,8 +83,8 @@ FROM d
 
 
 def queries() -> dict[str, Query]:
-    return {"op6_exact_dedup": op6_exact_dedup, "op8_mix": op8_mix}
+    return {"op4_language": op4_language, "op6_exact_dedup": op6_exact_dedup, "op8_mix": op8_mix}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_exact_dedup": OP6_SQL, "op8_mix": OP8_SQL}
+    return {"op4_language": op4_language, "op6_exact_dedup": OP6_SQL, "op8_mix": OP8_SQL}
