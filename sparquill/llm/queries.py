@@ -67,6 +67,14 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "lang_pred", "score", "bits")
 
 
+def op5_packed_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from sparquill.llm.tokenpack import read_packed, write_packed
+
+    return read_packed(write_packed(_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), end_id=1))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sparquill.llm.exact import exact_groups
 
@@ -83,7 +91,7 @@ FROM d
 
 
 def queries() -> dict[str, Query]:
-    return {"op4_language": op4_language, "op6_exact_dedup": op6_exact_dedup, "op8_mix": op8_mix}
+    return {"op4_language": op4_language, "op5_packed_tokens": op5_packed_tokens, "op6_exact_dedup": op6_exact_dedup, "op8_mix": op8_mix}
 
 
 def oracle_sql() -> dict[str, str]:
