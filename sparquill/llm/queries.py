@@ -14,6 +14,14 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op7_trie_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from sparquill.llm.triebpe import encode_decode
+
+    return encode_decode(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sparquill.llm.mixing import mix
 
@@ -91,7 +99,7 @@ FROM d
 
 
 def queries() -> dict[str, Query]:
-    return {"op4_language": op4_language, "op5_packed_tokens": op5_packed_tokens, "op6_exact_dedup": op6_exact_dedup, "op8_mix": op8_mix}
+    return {"op4_language": op4_language, "op5_packed_tokens": op5_packed_tokens, "op6_exact_dedup": op6_exact_dedup, "op7_trie_bpe": op7_trie_bpe, "op8_mix": op8_mix}
 
 
 def oracle_sql() -> dict[str, str]:

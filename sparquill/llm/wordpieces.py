@@ -17,8 +17,8 @@ import regex
 #: Pieces that are remembered at most, by a task; then the memory is emptied.
 MOST_CHUNKS, MOST_WORDS = 250_000, 400_000
 JOINED = 500
-WHOLE = re.compile(r"<\||[\x0b\x0c\x1c-\x1f\x85\xa0  -     　]")
-SIMPLE = re.compile(r"[\x21-ɏ]+")
+WHOLE = re.compile(r"<\||[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+SIMPLE = re.compile(r"[\x21-\u024f]+")
 #: Fixed value: the word pattern of the vocabulary file.
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 
