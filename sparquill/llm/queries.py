@@ -98,8 +98,25 @@ FROM d
 """
 
 
+def op10_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sparquill.llm.tiff import read_tiff, text_to_tiff
+
+    media = text_to_tiff(_documents(spark, sf_dir))
+    media = media.withColumn("media_bytes", F.octet_length("media").cast("long")).withColumn("media_sha256", F.sha2("media", 256))
+    pages = read_tiff(media)  # a document is one page
+    n = F.octet_length("pixels")
+    feature = F.format_string(
+        "%s %dx%d predictor %d crc %08x first %s", "compression", "width", "height", "predictor", F.crc32("pixels"), F.hex(F.substring("pixels", 1, 8))
+    )
+    return pages.select(
+        "doc_id", "n_bytes", n.cast("long").alias("payload_bytes"), F.sha2("pixels", 256).alias("payload_sha256"),
+        F.crc32(F.expr("substring(pixels, -32, 32)")).alias("tail_crc32"), "media_bytes", "media_sha256", feature.alias("feature"),
+        "compression", "predictor", "tiled",
+    )
+
+
 def queries() -> dict[str, Query]:
-    return {"op4_language": op4_language, "op5_packed_tokens": op5_packed_tokens, "op6_exact_dedup": op6_exact_dedup, "op7_trie_bpe": op7_trie_bpe, "op8_mix": op8_mix}
+    return {"op4_language": op4_language, "op5_packed_tokens": op5_packed_tokens, "op6_exact_dedup": op6_exact_dedup, "op7_trie_bpe": op7_trie_bpe, "op8_mix": op8_mix, "op10_tiff": op10_tiff}
 
 
 def oracle_sql() -> dict[str, str]:
