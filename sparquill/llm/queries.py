@@ -98,6 +98,13 @@ FROM d
 """
 
 
+def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sparquill.llm.htmltext import extract
+
+    pages = extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    return pages.select("page_id", "url", "text", F.length("text").alias("n_chars"), F.size(F.split("text", "\n")).alias("n_lines"))
+
+
 def op10_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sparquill.llm.tiff import read_tiff, text_to_tiff
 
@@ -116,7 +123,7 @@ def op10_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"op4_language": op4_language, "op5_packed_tokens": op5_packed_tokens, "op6_exact_dedup": op6_exact_dedup, "op7_trie_bpe": op7_trie_bpe, "op8_mix": op8_mix, "op10_tiff": op10_tiff}
+    return {"op4_language": op4_language, "op5_packed_tokens": op5_packed_tokens, "op6_exact_dedup": op6_exact_dedup, "op7_trie_bpe": op7_trie_bpe, "op8_mix": op8_mix, "op9_html_text": op9_html_text, "op10_tiff": op10_tiff}
 
 
 def oracle_sql() -> dict[str, str]:
