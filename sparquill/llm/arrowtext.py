@@ -30,3 +30,68 @@ def slices(off: np.ndarray, most: int = SLICE) -> Iterator[tuple[int, int]]:
         end = min(n, max(end, start + 1))
         yield start, end
         start = end
+
+
+_BASE = 0x9E3779B97F4A7C15
+_BLOCK = 1 << 19
+_TABLES: dict[str, np.ndarray] = {}
+
+
+def mix(x: np.ndarray) -> np.ndarray:
+    """A bijection of 64-bit integers that spreads every bit."""
+    with np.errstate(over="ignore"):
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return x ^ (x >> np.uint64(31))
+
+
+def _powers() -> tuple[np.ndarray, np.ndarray]:
+    if "up" not in _TABLES:
+        for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
+            steps = np.full(_BLOCK + 1, base, np.uint64)
+            steps[0] = 1
+            with np.errstate(over="ignore"):
+                _TABLES[name] = np.multiply.accumulate(steps)
+    return _TABLES["up"], _TABLES["down"]
+
+
+def word_hashes(raw: np.ndarray, off: np.ndarray, a: int, b: int, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of bytes for which the table inside holds, in rows a..b: (64-bit hash, first byte, length) of each, in order.
+
+    A run's hash is a polynomial over its bytes, taken from running sums, so all of a block's runs come at once; a row's
+    end ends a run. Blocks are cut between runs (a run longer than a block is cut, at the same places of its own).
+    """
+    up, down = _powers()
+    hashes, firsts, lengths = [], [], []
+    start, stop = int(off[a]), int(off[b])
+    edges = off[a : b + 1]
+    while start < stop:
+        end = min(stop, start + _BLOCK)
+        if end < stop:
+            tail = ~inside[raw[start:end]]
+            back = int(tail[::-1].argmax())
+            if tail[end - start - 1 - back]:
+                end -= back
+            else:  # one run fills the block: only a row's end may cut it
+                k = int(np.searchsorted(edges, end, "right")) - 1
+                end = int(edges[k]) if edges[k] > start else end
+        part = raw[start:end]
+        word = np.zeros(len(part) + 2, bool)
+        word[1:-1] = inside[part]
+        begin, over = word[1:-1] & ~word[:-2], word[1:-1] & ~word[2:]
+        k0, k1 = np.searchsorted(edges, [start, end])
+        cut = edges[k0:k1] - start
+        cut = cut[cut < len(part)]
+        begin[cut] |= word[1:-1][cut]
+        cut = cut[cut > 0] - 1
+        over[cut] |= word[1:-1][cut]
+        first, last = np.flatnonzero(begin), np.flatnonzero(over)
+        with np.errstate(over="ignore"):
+            total = np.concatenate([[np.uint64(0)], np.cumsum((part.astype(np.uint64) + np.uint64(1)) * up[: len(part)])])
+            hashes.append(mix((total[last + 1] - total[first]) * down[first]))
+        firsts.append(first + start)
+        lengths.append(last + 1 - first)
+        start = end
+    if not hashes:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return np.concatenate(hashes), np.concatenate(firsts), np.concatenate(lengths)
