@@ -65,6 +65,12 @@ FROM cum
 """
 
 
+def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sparquill.llm.near import near_groups
+
+    return near_groups(_documents(spark, sf_dir))
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sparquill.llm.quality import score_quality
 
@@ -129,8 +135,8 @@ def op10_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"op3_quality": op3_quality, "op4_language": op4_language, "op5_packed_tokens": op5_packed_tokens, "op6_exact_dedup": op6_exact_dedup, "op7_trie_bpe": op7_trie_bpe, "op8_mix": op8_mix, "op9_html_text": op9_html_text, "op10_tiff": op10_tiff}
+    return {"op2_near_dedup": op2_near_dedup, "op3_quality": op3_quality, "op4_language": op4_language, "op5_packed_tokens": op5_packed_tokens, "op6_exact_dedup": op6_exact_dedup, "op7_trie_bpe": op7_trie_bpe, "op8_mix": op8_mix, "op9_html_text": op9_html_text, "op10_tiff": op10_tiff}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_quality": op3_quality, "op4_language": op4_language, "op6_exact_dedup": OP6_SQL, "op8_mix": OP8_SQL}
+    return {"op2_near_dedup": op2_near_dedup, "op3_quality": op3_quality, "op4_language": op4_language, "op6_exact_dedup": OP6_SQL, "op8_mix": OP8_SQL}
