@@ -65,6 +65,12 @@ FROM cum
 """
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sparquill.llm.lines import drop_repeated_lines
+
+    return drop_repeated_lines(_documents(spark, sf_dir)).select("doc_id", "text", "lines_dropped")
+
+
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sparquill.llm.near import near_groups
 
@@ -135,8 +141,8 @@ def op10_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"op2_near_dedup": op2_near_dedup, "op3_quality": op3_quality, "op4_language": op4_language, "op5_packed_tokens": op5_packed_tokens, "op6_exact_dedup": op6_exact_dedup, "op7_trie_bpe": op7_trie_bpe, "op8_mix": op8_mix, "op9_html_text": op9_html_text, "op10_tiff": op10_tiff}
+    return {"op1_line_dedup": op1_line_dedup, "op2_near_dedup": op2_near_dedup, "op3_quality": op3_quality, "op4_language": op4_language, "op5_packed_tokens": op5_packed_tokens, "op6_exact_dedup": op6_exact_dedup, "op7_trie_bpe": op7_trie_bpe, "op8_mix": op8_mix, "op9_html_text": op9_html_text, "op10_tiff": op10_tiff}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_near_dedup": op2_near_dedup, "op3_quality": op3_quality, "op4_language": op4_language, "op6_exact_dedup": OP6_SQL, "op8_mix": OP8_SQL}
+    return {"op1_line_dedup": op1_line_dedup, "op2_near_dedup": op2_near_dedup, "op3_quality": op3_quality, "op4_language": op4_language, "op6_exact_dedup": OP6_SQL, "op8_mix": OP8_SQL}
