@@ -8,14 +8,18 @@ pair by pair across groups, so no link that the buckets propose is lost.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparquill.plans.stage import materialize
+from sparquill.plans.stage import materialize, may_contain
 
 STAR_ROUNDS = 4
+#: One node in SHARE is looked at to find the buckets of more than about SHARE * SEEN nodes.
+SHARE, SEEN = 64, 64
 Verify = Callable[[DataFrame], DataFrame]
 
 
@@ -44,38 +48,83 @@ def _labelled(members: DataFrame, comps: DataFrame | None) -> DataFrame:
     return members.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
 
 
+def _only_shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by (bucket, node) -> those of buckets with at least two nodes, with the bucket's least node as hub."""
+    wait: pa.Table | None = None
+
+    def done(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        bucket = rows["bucket"].to_numpy()
+        first = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else np.zeros(0, np.int64)
+        size = np.diff(np.append(first, len(bucket)))
+        keep = np.flatnonzero(np.repeat(size > 1, size))
+        if len(keep):
+            hub = rows["node"].combine_chunks().take(pa.array(np.repeat(first, size)[keep]))
+            out = rows.take(pa.array(keep)).append_column("hub", hub)
+            yield from out.combine_chunks().to_batches()
+
+    for batch in batches:
+        rows = pa.Table.from_batches([batch])
+        rows = rows if wait is None else pa.concat_tables([wait, rows])
+        if not rows.num_rows:
+            continue
+        bucket = rows["bucket"].to_numpy()
+        before = np.flatnonzero(bucket != bucket[-1])  # the last bucket may go on
+        cut = int(before[-1]) + 1 if len(before) else 0
+        yield from done(rows.slice(0, cut))
+        wait = rows.slice(cut)
+    if wait is not None:
+        yield from done(wait)
+
+
+def shared_buckets(members: DataFrame) -> DataFrame:
+    """(bucket, node) -> the rows of buckets with two nodes or more, with hub, the bucket's least node.
+
+    Most buckets have one node, so they are dropped in one pass after one exchange. A bucket with very many nodes must
+    not meet in one task: such buckets are found on a fixed share of the nodes, and their rows take another way, a
+    grouped minimum and a join that AQE can split. A bucket on the wrong way gives the same rows.
+    """
+    seen = members.where(F.pmod(F.xxhash64("node"), F.lit(SHARE)) == 0).groupBy("bucket").agg(F.count(F.lit(1)).alias("seen"))
+    heavy = materialize(seen.where(F.col("seen") >= SEEN).select("bucket"), "link_heavy")
+    if heavy.isEmpty():
+        many, few = None, members
+    else:
+        many, few = may_contain(members, "bucket", heavy, "bucket")
+    kind = members.schema["node"].dataType.simpleString()
+    out = few.repartition("bucket").sortWithinPartitions("bucket", "node").mapInArrow(_only_shared, f"bucket long, node {kind}, hub {kind}")
+    if many is not None:
+        hubs = many.groupBy("bucket").agg(F.min("node").alias("hub"), F.max("node").alias("top")).where("hub <> top")
+        out = out.union(many.join(hubs.select("bucket", "hub"), "bucket").select("bucket", "node", "hub"))
+    return out
+
+
 def link_buckets(members: DataFrame, verify: Verify, star_rounds: int = STAR_ROUNDS) -> tuple[DataFrame | None, DataFrame | None]:
-    """members: (bucket, node, n), n a size that verify may use. verify: pairs (a, na, b, nb) -> those that are links, as (a, b).
+    """members: (bucket, node). verify: pairs (a, b) -> those that are links.
 
     Returns (links, components), both None where nothing links.
     """
-    spark = members.sparkSession
-    sizes = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("hub")).where("size > 1")
-    open_ = materialize(members.join(sizes, "bucket").select("bucket", "node", "n", "hub"), "link_members")
+    open_ = materialize(shared_buckets(members), "link_members")
     links: DataFrame | None = None
     comps: DataFrame | None = None
     for step in range(star_rounds + 1):
         if open_.isEmpty():
             break
         if step < star_rounds:
-            hubs = open_.where("node = hub").select("bucket", F.col("node").alias("a"), F.col("n").alias("na")).dropDuplicates(["bucket"])
             rest = open_.where("node <> hub")
-            pairs = rest.join(hubs, "bucket").select("a", "na", F.col("node").alias("b"), F.col("n").alias("nb"))
+            pairs = rest.select(F.col("hub").alias("a"), F.col("node").alias("b"))
         else:
-            rest = open_.limit(0)
-            left = open_.select("bucket", F.col("node").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
-            right = open_.select("bucket", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
-            pairs = left.join(right, "bucket").where("a < b and ca <> cb").select("a", "na", "b", "nb")
-        pairs = materialize(pairs.groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb")), "link_pairs")
+            left = open_.select("bucket", F.col("node").alias("a"), F.col("comp").alias("ca"))
+            right = open_.select("bucket", F.col("node").alias("b"), F.col("comp").alias("cb"))
+            pairs = left.join(right, "bucket").where("a < b and ca <> cb").select("a", "b")
+        pairs = materialize(pairs.distinct(), "link_pairs")
         found = materialize(verify(pairs).select("a", "b"), "link_found")
         if not found.isEmpty():
             links = found if links is None else materialize(links.union(found), "links")
             comps = components(links)
         if step == star_rounds:
             break
-        rest = _labelled(rest.select("bucket", "node", "n"), comps)
+        rest = _labelled(rest.select("bucket", "node"), comps)
         still = rest.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("node").alias("hub")).where("lo <> hi")
-        open_ = materialize(rest.join(still.select("bucket", "hub"), "bucket").select("bucket", "node", "n", "comp", "hub"), "link_members")
+        open_ = materialize(rest.join(still.select("bucket", "hub"), "bucket").select("bucket", "node", "comp", "hub"), "link_members")
     return links, comps
 
 

@@ -143,10 +143,12 @@ def near_groups(documents: DataFrame, id_col: str = "doc_id", text_col: str = "t
     )
     # a node's bands come from all of its rows alike; only one row of each text goes on
     banded = sketch.where("node is not null").join(texts.select("node", "least_id"), "node").where(F.col("_id").eqNullSafe(F.col("least_id")))
-    members = banded.select("node", "n", F.posexplode("bands").alias("band", "hash")).select(F.xxhash64("band", "hash").alias("bucket"), "node", "n").dropDuplicates(["bucket", "node"])
+    members = banded.select("node", F.posexplode("bands").alias("band", "hash")).select(F.xxhash64("band", "hash").alias("bucket"), "node")
 
     def verify(pairs: DataFrame) -> DataFrame:
-        pairs = pairs.where(F.least("na", "nb") >= F.greatest("na", "nb") * similarity)
+        sizes = texts.select("node", "n")
+        pairs = pairs.join(sizes.toDF("b", "nb"), "b").join(sizes.toDF("a", "na"), "a").where(F.least("na", "nb") >= F.greatest("na", "nb") * similarity)
+        pairs = materialize(pairs.select("a", "b"), "near_pairs")
         wanted = materialize(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "near_wanted")
         rows_, _ = may_contain(sketch.where("node is not null").select("_id", "node", "shingles"), "node", wanted, "node")
         sets = rows_.join(texts.select("node", "least_id"), "node").where(F.col("_id").eqNullSafe(F.col("least_id")))
