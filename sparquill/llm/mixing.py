@@ -85,17 +85,11 @@ def _with_source(rows: DataFrame, table: DataFrame, n: int) -> DataFrame:
     return rows.join(salted, ["_null", "_key", "_salt"]).drop("_null", "_key", "_salt")
 
 
-def mix(documents: DataFrame, cap: int = 3) -> DataFrame:
-    """(doc_id, text, source, ...) -> doc_id, source, size, source_size, target, taken.
+def mix_plan(rows: DataFrame, cap: int = 3) -> tuple[DataFrame, int]:
+    """(source, size, _pos) of all documents -> (source, source_size, target, _whole, _edge), and its number of rows.
 
-    Defined cases: null text has size 0; null sources form one source, last in order; rows with equal doc_id share a
-    position and are taken together; an empty table gives no rows; a total size of 0 gives targets of 0. Columns other
-    than these three are not read. taken is size times the number of times the mix holds the document, at most cap.
+    A document is in the mix _whole times, and once more if its position is below _edge.
     """
-    rows = materialize(
-        documents.select("doc_id", "source", word_count(F.col("text")).alias("size"), position(F.col("doc_id")).alias("_pos")),
-        "mix_rows",
-    )
     sources = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
     targets = source_targets(sources, cap)
     n = targets.count()
@@ -132,7 +126,37 @@ def mix(documents: DataFrame, cap: int = 3) -> DataFrame:
     edge = edge.select("source", "_edge")
     null_safe = plan.join(edge.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s")
     table = materialize(null_safe.select("source", "source_size", "target", "_whole", F.coalesce("_edge", F.lit(0)).alias("_edge")), "mix_plan")
+    return table, n
+
+
+def mix(documents: DataFrame, cap: int = 3) -> DataFrame:
+    """(doc_id, text, source, ...) -> doc_id, source, size, source_size, target, taken.
+
+    Defined cases: null text has size 0; null sources form one source, last in order; rows with equal doc_id share a
+    position and are taken together; an empty table gives no rows; a total size of 0 gives targets of 0. Columns other
+    than these three are not read. taken is size times the number of times the mix holds the document, at most cap.
+    """
+    rows = materialize(
+        documents.select("doc_id", "source", word_count(F.col("text")).alias("size"), position(F.col("doc_id")).alias("_pos")),
+        "mix_rows",
+    )
+    table, n = mix_plan(rows, cap)
     out = _with_source(rows, table, n)
-    times = F.col("_whole") + F.when(F.col("_pos") < F.col("_edge"), 1).otherwise(0)
-    times = F.least(times, F.lit(cap))
+    times = _times(cap)
     return out.select("doc_id", "source", "size", "source_size", "target", (F.col("size") * times).alias("taken"), times.alias("times"))
+
+
+def _times(cap: int) -> Column:
+    return F.least(F.col("_whole") + F.when(F.col("_pos") < F.col("_edge"), 1).otherwise(0), F.lit(cap))
+
+
+def mixed(documents: DataFrame, cap: int = 3) -> DataFrame:
+    """documents, each row as often as the mix holds it; the columns stay as they are. The texts are not shuffled unless
+    there are more than BROADCAST_SOURCES sources."""
+    rows = documents.select("source", word_count(F.col("text")).alias("size"), position(F.col("doc_id")).alias("_pos"))
+    table, n = mix_plan(materialize(rows, "mix_rows"), cap)
+    own = [F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(documents.columns)]
+    placed = documents.select(*own, F.col("source"), position(F.col("doc_id")).alias("_pos"))
+    held = _with_source(placed, table, n).withColumn("_times", _times(cap).cast("int")).where("_times > 0")
+    each = held.withColumn("_again", F.explode(F.sequence(F.lit(1), F.col("_times"))))
+    return each.select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(documents.columns)])
