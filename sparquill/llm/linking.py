@@ -1,55 +1,72 @@
 """From buckets of candidates to connected groups, without listing the pairs of a bucket.
 
-In each round every bucket has one hub (its least node), and each other node of the bucket is compared with it alone,
-so a bucket of n nodes costs n - 1 comparisons. After a round a hub has been compared with its whole bucket and leaves
-it; a bucket whose remaining nodes are all of one group needs no more. What is still open after STAR_ROUNDS is compared
-pair by pair across groups, so no link that the buckets propose is lost.
+In the first round every bucket has two hubs, its least nodes, and each other node is compared with these alone, so a
+bucket of n nodes costs less than 2n comparisons and one of up to three is done. Hubs have then met all of their bucket
+and leave it; a bucket whose remaining nodes are all of one group needs no more. For what is still contested, sizes and
+the parts that no other contested node has bound every similarity: nodes that can reach no other are done, and the most
+central node, which is likeliest to link, is the next hub. What is still open is compared across groups inside of its bucket,
+where the bounds allow it, by a join that gives nothing but links; so no link that the buckets propose is lost.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparquill.plans.stage import materialize, may_contain
 
-STAR_ROUNDS = 4
 #: One node in SHARE is looked at to find the buckets of more than about SHARE * SEEN nodes.
 SHARE, SEEN = 64, 64
-Verify = Callable[[DataFrame], DataFrame]
 
 
-def components(links: DataFrame) -> DataFrame:
-    """(a, b) links -> (node, comp): the least node of each connected group, for nodes that have a link.
+@dataclass(frozen=True)
+class Likeness:
+    """What makes two nodes link.
 
-    Every node takes the least label among its own and its neighbours', then its label's label, until nothing changes.
-    Each round is one grouped minimum over the links and one join, both of which combine before they shuffle.
+    payload: (node) -> (node, payload) of these nodes, one row each, and perhaps of more. match: whether two payloads
+    link. own: (node), distinct -> (node, n, u), n the size of a node and u how much of it no other of these nodes has.
+    possible: whether nodes of (nx, ux, ny, uy) may link at all. reach: whether one of (n, u) may link to any node whose
+    size is at least that given. Neither may exclude a link.
     """
-    both = materialize(links.select("a", "b").union(links.select(F.col("b"), F.col("a"))).distinct().toDF("node", "near"), "cc_links")
-    labels = materialize(both.groupBy("node").agg(F.least(F.col("node"), F.min("near")).alias("comp")), "cc_labels")
-    while True:
-        around = both.join(labels.select(F.col("node").alias("near"), F.col("comp").alias("near_comp")), "near").groupBy("node").agg(F.min("near_comp").alias("low"))
-        lower = labels.join(around, "node").select("node", F.col("comp").alias("was"), F.least("comp", "low").alias("comp"))
-        jump = labels.select(F.col("node").alias("comp"), F.col("comp").alias("next"))
-        new = materialize(lower.join(jump, "comp", "left").select("node", "was", F.least("comp", F.coalesce("next", "comp")).alias("comp")), "cc_labels")
-        if new.where("comp <> was").isEmpty():
-            return new.select("node", "comp")
-        labels = new.select("node", "comp")
 
+    payload: Callable[[DataFrame], DataFrame]
+    match: Callable[[Column, Column], Column]
+    own: Callable[[DataFrame], DataFrame]
+    possible: Callable[[Column, Column, Column, Column], Column]
+    reach: Callable[[Column, Column, Column], Column]
 
-def _labelled(members: DataFrame, comps: DataFrame | None) -> DataFrame:
-    if comps is None:
-        return members.withColumn("comp", F.col("node"))
-    # Nodes without a link are their own group. The members' side may hold one node of many buckets, never many rows of a node's label.
-    return members.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+
+def components(links: DataFrame) -> DataFrame:
+    """(a, b) links -> (node, comp): one label for each connected group, for nodes that have a link.
+
+    The graph is contracted: every node moves to the least of itself and its neighbours, links follow and those that
+    have become loops go. Nodes are hashes, so their order is random and a constant share of them goes each time; a star
+    is done in one step. Moves are composed at the end. Minima combine before they are shuffled.
+    """
+    edges, moves = links.select("a", "b"), []
+    while True:
+        both = edges.union(edges.select("b", "a")).toDF("node", "near")
+        move = materialize(both.groupBy("node").agg(F.min("near").alias("low")).select("node", F.least("node", "low").alias("comp")), "cc_move")
+        moves.append(move)
+        to = lambda col: move.select(F.col("node").alias(col), F.col("comp").alias(f"{col}_to"))  # noqa: B023, E731
+        moved = edges.join(to("a"), "a").join(to("b"), "b").where("a_to <> b_to")
+        edges = materialize(moved.select(F.least("a_to", "b_to").alias("a"), F.greatest("a_to", "b_to").alias("b")).distinct(), "cc_links")
+        if edges.isEmpty():
+            break
+    out = moves[0]
+    for move in moves[1:]:
+        after = move.select(F.col("node").alias("comp"), F.col("comp").alias("next"))
+        out = out.join(after, "comp", "left").select("node", F.coalesce("next", "comp").alias("comp"))
+    return materialize(out, "cc_labels") if len(moves) > 1 else out
 
 
 def _only_shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (bucket, node) -> those of buckets with at least two nodes, with the bucket's least node as hub."""
+    """Rows sorted by (bucket, node) -> those of buckets with two rows or more, with the bucket's least two nodes and size."""
     wait: pa.Table | None = None
 
     def done(rows: pa.Table) -> Iterator[pa.RecordBatch]:
@@ -58,8 +75,11 @@ def _only_shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         size = np.diff(np.append(first, len(bucket)))
         keep = np.flatnonzero(np.repeat(size > 1, size))
         if len(keep):
-            hub = rows["node"].combine_chunks().take(pa.array(np.repeat(first, size)[keep]))
-            out = rows.take(pa.array(keep)).append_column("hub", hub)
+            nodes = rows["node"].combine_chunks()
+            hub = nodes.take(pa.array(np.repeat(first, size)[keep]))
+            second = nodes.take(pa.array(np.repeat(np.minimum(first + 1, len(bucket) - 1), size)[keep]))
+            out = rows.take(pa.array(keep)).append_column("hub", hub).append_column("hub2", second)
+            out = out.append_column("size", pa.array(np.repeat(size, size)[keep], pa.int64()))
             yield from out.combine_chunks().to_batches()
 
     for batch in batches:
@@ -77,11 +97,11 @@ def _only_shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def shared_buckets(members: DataFrame) -> DataFrame:
-    """(bucket, node) -> the rows of buckets with two nodes or more, with hub, the bucket's least node.
+    """(bucket, node) -> the rows of buckets with two nodes or more, with hub and hub2, the bucket's least nodes, and size.
 
     Most buckets have one node, so they are dropped in one pass after one exchange. A bucket with very many nodes must
     not meet in one task: such buckets are found on a fixed share of the nodes, and their rows take another way, a
-    grouped minimum and a join that AQE can split. A bucket on the wrong way gives the same rows.
+    grouped minimum and a join that AQE can split (there hub2 is hub). A bucket on the wrong way gives as good rows.
     """
     seen = members.where(F.pmod(F.xxhash64("node"), F.lit(SHARE)) == 0).groupBy("bucket").agg(F.count(F.lit(1)).alias("seen"))
     heavy = materialize(seen.where(F.col("seen") >= SEEN).select("bucket"), "link_heavy")
@@ -90,46 +110,68 @@ def shared_buckets(members: DataFrame) -> DataFrame:
     else:
         many, few = may_contain(members, "bucket", heavy, "bucket")
     kind = members.schema["node"].dataType.simpleString()
-    out = few.repartition("bucket").sortWithinPartitions("bucket", "node").mapInArrow(_only_shared, f"bucket long, node {kind}, hub {kind}")
+    out = few.repartition("bucket").sortWithinPartitions("bucket", "node").mapInArrow(_only_shared, f"bucket long, node {kind}, hub {kind}, hub2 {kind}, size long")
     if many is not None:
-        hubs = many.groupBy("bucket").agg(F.min("node").alias("hub"), F.max("node").alias("top")).where("hub <> top")
-        out = out.union(many.join(hubs.select("bucket", "hub"), "bucket").select("bucket", "node", "hub"))
+        hubs = many.groupBy("bucket").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("size")).where("size > 1")
+        out = out.union(many.join(hubs, "bucket").select("bucket", "node", "hub", F.col("hub").alias("hub2"), "size"))
     return out
 
 
-def link_buckets(members: DataFrame, verify: Verify, star_rounds: int = STAR_ROUNDS) -> tuple[DataFrame | None, DataFrame | None]:
-    """members: (bucket, node). verify: pairs (a, b) -> those that are links.
-
-    Returns (links, components), both None where nothing links.
-    """
-    open_ = materialize(shared_buckets(members), "link_members")
-    links: DataFrame | None = None
-    comps: DataFrame | None = None
-    for step in range(star_rounds + 1):
-        if open_.isEmpty():
-            break
-        if step < star_rounds:
-            rest = open_.where("node <> hub")
-            pairs = rest.select(F.col("hub").alias("a"), F.col("node").alias("b"))
-        else:
-            left = open_.select("bucket", F.col("node").alias("a"), F.col("comp").alias("ca"))
-            right = open_.select("bucket", F.col("node").alias("b"), F.col("comp").alias("cb"))
-            pairs = left.join(right, "bucket").where("a < b and ca <> cb").select("a", "b")
-        pairs = materialize(pairs.distinct(), "link_pairs")
-        found = materialize(verify(pairs).select("a", "b"), "link_found")
-        if not found.isEmpty():
-            links = found if links is None else materialize(links.union(found), "links")
-            comps = components(links)
-        if step == star_rounds:
-            break
-        rest = _labelled(rest.select("bucket", "node"), comps)
-        still = rest.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("node").alias("hub")).where("lo <> hi")
-        open_ = materialize(rest.join(still.select("bucket", "hub"), "bucket").select("bucket", "node", "comp", "hub"), "link_members")
-    return links, comps
-
-
-def with_payload(pairs: DataFrame, payload: DataFrame, column: str) -> DataFrame:
-    """Pairs with both nodes' payload, as column_a and column_b. payload: (node, column), one row for each node."""
-    a = payload.select(F.col("node").alias("a"), F.col(column).alias(f"{column}_a"))
-    b = payload.select(F.col("node").alias("b"), F.col(column).alias(f"{column}_b"))
-    return pairs.join(b, "b").join(a, "a")
+def _labelled(rows: DataFrame, comps: DataFrame | None) -> DataFrame:
+    """With comp; a node without a link is a group of its own."""
+    if comps is None:
+        return rows.withColumn("comp", F.col("node"))
+    return rows.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+
+
+def link_buckets(members: DataFrame, like: Likeness) -> DataFrame | None:
+    """members: (bucket, node) -> the components of what links, as components() gives them; None where nothing links."""
+    first = materialize(shared_buckets(members), "link_members")
+    pairs = first.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b"))
+    pairs = pairs.union(first.where("hub2 <> hub and node > hub2").select("hub2", "node"))
+    links = _verified(pairs, like)
+    comps = None if links.isEmpty() else components(links)
+    rest = first.where("size > 3 and node <> hub and node <> hub2").select("bucket", "node")  # both hubs have met all of their bucket
+    if rest.isEmpty():
+        return comps
+
+    def contested(rows: DataFrame) -> DataFrame:
+        """Rows of buckets that hold several groups, by the labels of now."""
+        rows = materialize(_labelled(rows, comps), "link_rest")
+        open_ = rows.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("bucket")
+        return materialize(rows.join(open_, "bucket", "left_semi"), "link_contested")
+
+    rest = contested(rest)
+    if rest.isEmpty():
+        return comps
+    # a node that cannot link even to the bucket's smallest leaves; the most central node is the next hub
+    rest = rest.join(materialize(like.own(rest.select("node").distinct()), "link_own"), "node")
+    least = rest.groupBy("bucket").agg(F.min("n").alias("least"), F.min(F.struct((F.col("u") / F.col("n")).alias("share"), "node", "comp")).alias("hub"))
+    able = rest.join(least, "bucket").where(like.reach(F.col("n"), F.col("u"), F.col("least")))
+    able = materialize(able.select("bucket", "node", "comp", "n", "u", F.col("hub.node").alias("hub"), F.col("hub.comp").alias("hub_comp")), "link_able")
+    pairs = able.where("node <> hub and comp <> hub_comp").select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b"))
+    found = _verified(pairs, like)
+    if not found.isEmpty():
+        links = links.union(found)
+        comps = components(links)
+    rest = contested(able.where("node <> hub").select("bucket", "node", "n", "u"))
+    if rest.isEmpty():
+        return comps
+    # the join compares inside of a bucket, in the first bucket that two nodes share, and gives nothing but links
+    every = rest.groupBy("node").agg(F.sort_array(F.collect_set("bucket")).alias("buckets"))
+    rest = materialize(rest.join(every, "node").join(like.payload(rest.select("node")), "node"), "link_blocks")
+    side = lambda x: rest.select("bucket", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "comp", "n", "u", "buckets", "payload")])
+    a, b = [[F.col(f"{c}_{x}") for c in ("n", "u")] for x in "ab"]
+    fits = (F.col("node_a") < F.col("node_b")) & (F.col("comp_a") != F.col("comp_b")) & like.possible(*a, *b) & like.possible(*b, *a)
+    fits = fits & (F.array_min(F.array_intersect("buckets_a", "buckets_b")) == F.col("bucket")) & like.match(F.col("payload_a"), F.col("payload_b"))
+    found = materialize(side("a").join(side("b"), "bucket").where(fits).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")), "link_found")
+    return comps if found.isEmpty() else components(links.union(found))
+
+
+def _verified(pairs: DataFrame, like: Likeness) -> DataFrame:
+    """The distinct pairs that link."""
+    pairs = materialize(pairs.distinct(), "link_pairs")
+    payload = materialize(like.payload(pairs.select(F.explode(F.array("a", "b")).alias("node"))), "link_payload")
+    both = pairs.join(payload.select(F.col("node").alias("b"), F.col("payload").alias("payload_b")), "b")
+    both = both.join(payload.select(F.col("node").alias("a"), F.col("payload").alias("payload_a")), "a")
+    return materialize(both.where(like.match(F.col("payload_a"), F.col("payload_b"))).select("a", "b"), "link_found")

@@ -13,11 +13,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparquill.llm.arrowtext import as_bytes, mix, slices, word_hashes
-from sparquill.llm.linking import link_buckets, with_payload
+from sparquill.llm.linking import Likeness, link_buckets
 from sparquill.plans.stage import materialize, may_contain
 
 WORDS, SIMILARITY = 5, 0.8
@@ -138,31 +138,47 @@ def near_groups(documents: DataFrame, id_col: str = "doc_id", text_col: str = "t
     never a class id unless its whole group has none; an empty table gives no rows; other columns are not read.
     """
     sketch = materialize(sketches(documents, id_col, text_col, k, bands, rows), "near_sketches")
+    worded = sketch.where("node is not null")
+    # all rows of a node have the same bands
     texts = materialize(
-        sketch.where("node is not null").groupBy("node").agg(F.min("_id").alias("least_id"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n")), "near_nodes"
+        worded.groupBy("node").agg(F.min("_id").alias("least_id"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("bands").alias("bands")), "near_nodes"
     )
-    # a node's bands come from all of its rows alike; only one row of each text goes on
-    banded = sketch.where("node is not null").join(texts.select("node", "least_id"), "node").where(F.col("_id").eqNullSafe(F.col("least_id")))
-    members = banded.select("node", F.posexplode("bands").alias("band", "hash")).select(F.xxhash64("band", "hash").alias("bucket"), "node")
-
-    def verify(pairs: DataFrame) -> DataFrame:
-        sizes = texts.select("node", "n")
-        pairs = pairs.join(sizes.toDF("b", "nb"), "b").join(sizes.toDF("a", "na"), "a").where(F.least("na", "nb") >= F.greatest("na", "nb") * similarity)
-        pairs = materialize(pairs.select("a", "b"), "near_pairs")
-        wanted = materialize(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "near_wanted")
-        rows_, _ = may_contain(sketch.where("node is not null").select("_id", "node", "shingles"), "node", wanted, "node")
-        sets = rows_.join(texts.select("node", "least_id"), "node").where(F.col("_id").eqNullSafe(F.col("least_id")))
-        sets = materialize(sets.join(wanted, "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("set")), "near_sets")
-        both = with_payload(pairs, sets, "set")
-        common = F.size(F.array_intersect("set_a", "set_b"))
-        return both.where(common >= (F.size("set_a") + F.size("set_b") - common) * similarity)
-
-    _, comps = link_buckets(members, verify)
-    grouped = texts.withColumn("comp", F.col("node")) if comps is None else texts.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    grouped = materialize(grouped, "near_grouped")
-    classes = grouped.groupBy("comp").agg(F.min("least_id").alias("class_id"), F.sum("copies").alias("class_size"), F.count(F.lit(1)).alias("class_texts"))
-    classes = materialize(grouped.join(classes, "comp").select("node", "class_id", "class_size", "class_texts"), "near_classes")
-    out = sketch.select("_id", "node").where("node is not null").join(classes, "node").select("_id", "class_id", "class_size", "class_texts")
+    members = texts.select("node", F.posexplode("bands").alias("band", "hash")).select(F.xxhash64("band", "hash").alias("bucket"), "node")
+
+    def sets_of(nodes: DataFrame) -> DataFrame:
+        """(node, payload: the shingles) of these nodes, and perhaps of some more."""
+        rows_, _ = may_contain(worded.select("node", "shingles"), "node", nodes, "node")
+        return materialize(rows_.groupBy("node").agg(F.first("shingles").alias("payload")), "near_sets")
+
+    def match(x: Column, y: Column) -> Column:
+        small, large = F.least(F.size(x), F.size(y)), F.greatest(F.size(x), F.size(y))
+        common = F.when(small >= large * similarity, F.size(F.array_intersect(x, y))).otherwise(0)
+        return common >= (small + large - common) * similarity
+
+    def own(nodes: DataFrame) -> DataFrame:
+        """Sizes of shingle sets, and how many of a node's shingles no other of these nodes has."""
+        each = sets_of(nodes).join(nodes, "node", "left_semi").select("node", F.explode("payload").alias("shingle"))
+        lone = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("nodes"), F.min("node").alias("node")).where("nodes = 1")
+        u = lone.groupBy("node").agg(F.count(F.lit(1)).alias("u"))
+        n = texts.join(nodes, "node", "left_semi").select("node", "n")
+        return n.join(u, "node", "left").select("node", "n", F.coalesce("u", F.lit(0)).alias("u"))
+
+    def possible(nx: Column, ux: Column, ny: Column, uy: Column) -> Column:
+        """At most nx - ux shingles are common, and similarity s needs s / (1 + s) of nx + ny; one more allows for rounding."""
+        return nx - ux + 1 >= (nx + ny) * (similarity / (1 + similarity))
+
+    comps = link_buckets(members, Likeness(sets_of, match, own, possible, lambda n, u, least: possible(n, u, least, F.lit(0))))
+    classes = texts.select("node", F.col("least_id").alias("class_id"), F.col("copies").alias("class_size"), F.lit(1).cast("long").alias("class_texts"))
+    if comps is not None:
+        tied = materialize(texts.select("node", "least_id", "copies").join(comps, "node"), "near_tied")
+        whole = tied.groupBy("comp").agg(F.min("least_id").alias("c_id"), F.sum("copies").alias("c_size"), F.count(F.lit(1)).alias("c_texts"))
+        found = tied.select("node", "comp").join(whole, "comp").select("node", "c_id", "c_size", "c_texts")
+        classes = classes.join(found, "node", "left").select(
+            "node", F.when(F.col("c_texts").isNull(), F.col("class_id")).otherwise(F.col("c_id")).alias("class_id"),
+            F.coalesce("c_size", "class_size").alias("class_size"), F.coalesce("c_texts", "class_texts").alias("class_texts"),
+        )
+    classes = materialize(classes, "near_classes")
+    out = worded.select("_id", "node").join(classes, "node").select("_id", "class_id", "class_size", "class_texts")
     alone = sketch.where("node is null").select("_id", F.col("_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"), F.lit(1).cast("long").alias("class_texts"))
     return out.union(alone).select(F.col("_id").alias(id_col), "class_id", "class_size", "class_texts", F.col("_id").eqNullSafe(F.col("class_id")).alias("kept"))
 
