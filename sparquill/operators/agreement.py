@@ -41,7 +41,7 @@ def fleiss_kappa(ratings: DataFrame, raters: int) -> DataFrame:
 def krippendorff(ratings: DataFrame, value: str, interval: bool = False) -> DataFrame:
     """Alpha over items with two ratings or more, with agreeing pairs counted twice, as the reports of this method are made.
 
-    Of an item with m ratings each ordered pair weighs 1 / (m - 1). interval: disagreement is the squared difference.
+    Of an item with m ratings each ordered pair weighs 1 / (m - 1); the labels' shares are the sums of these pairs. interval: disagreement is the squared difference.
     """
     rated = ratings.where(F.col(value).isNotNull()).select("item_id", F.col(value).alias("v"))
     cell = rated.groupBy("item_id", "v").agg(F.count(F.lit(1)).alias("n"))
@@ -52,12 +52,14 @@ def krippendorff(ratings: DataFrame, value: str, interval: bool = False) -> Data
     count = F.when(same, F.col("x.n") * (F.col("x.n") - 1) * 2).otherwise(F.col("x.n") * F.col("y.n")) / (F.col("m") - 1)
     o = pair.groupBy(F.col("x.v").alias("a"), F.col("y.v").alias("b")).agg(F.sum(count).alias("o"))
     d = (F.pow(F.col("a").cast("double") - F.col("b").cast("double"), F.lit(2.0))) if interval else (F.col("a") != F.col("b")).cast("double")
-    n_c = item.select(F.explode("cells").alias("c")).groupBy(F.col("c.v").alias("v")).agg(F.sum("c.n").cast("double").alias("n"))
+    n_c = o.groupBy(F.col("a").alias("v")).agg(F.sum("o").alias("n"))
     other = n_c.toDF("w", "k")
     d2 = (F.pow(F.col("v").cast("double") - F.col("w").cast("double"), F.lit(2.0))) if interval else (F.col("v") != F.col("w")).cast("double")
     expected = n_c.crossJoin(other).agg(F.sum(F.col("n") * F.col("k") * d2).alias("e"), F.sum(F.col("n") * F.col("k")).alias("total"))  # one row for each pair of labels
     observed = o.agg((F.sum(F.col("o") * d) / F.sum("o")).alias("do"))
-    return observed.crossJoin(expected).select(F.round(F.when(F.col("e") > 0, 1 - F.col("do") / (F.col("e") / F.col("total"))).otherwise(F.lit(1.0)), 4).alias("alpha"))
+    flat = F.when(F.col("do") > 1e-12, 0.0).otherwise(1.0)  # no disagreement is expected
+    alpha = F.when(F.col("total").isNull(), 0.0).when(F.col("e") > 1e-12, 1 - F.col("do") / F.try_divide(F.col("e"), F.col("total"))).otherwise(flat)
+    return observed.crossJoin(expected).select(F.round(alpha, 4).alias("alpha"))
 
 
 def adjudicate(a: Column, b: Column, c: Column) -> Column:

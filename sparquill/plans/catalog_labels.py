@@ -154,7 +154,7 @@ def fleiss_kappa(spark: SparkSession, sf: str) -> DataFrame:
 def _alpha_sql(value: str, d: str) -> str:
     return R + f""", v AS (SELECT item_id, rater, {value} AS v FROM v_ratings), m AS (SELECT item_id, count(*) AS m FROM v GROUP BY 1 HAVING count(*) >= 2),
 o AS (SELECT a.v AS x, b.v AS y, sum((CASE WHEN a.v = b.v THEN 2 ELSE 1 END)::DOUBLE / (m - 1)) AS o FROM v a JOIN v b ON a.item_id = b.item_id AND a.rater <> b.rater JOIN m ON m.item_id = a.item_id GROUP BY 1, 2),
-n AS (SELECT v AS x, count(*)::DOUBLE AS n FROM v WHERE item_id IN (SELECT item_id FROM m) GROUP BY 1),
+n AS (SELECT x, sum(o) AS n FROM o GROUP BY 1),
 e AS (SELECT sum(a.n * b.n * {d.replace('$x', 'a.x').replace('$y', 'b.x')}) / sum(a.n * b.n) AS e FROM n a, n b)
 SELECT round(1 - (SELECT sum(o * {d.replace('$x', 'x').replace('$y', 'y')}) / sum(o) FROM o) / e, 4) AS alpha FROM e"""
 
