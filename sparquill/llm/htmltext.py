@@ -207,9 +207,9 @@ class Flow:
         if data == " " or not data:
             self.space = self.space or bool(data and self.now)
             return
-        lead = self.space or data[0] == " "
+        lead = bool(self.now) and (self.space or data[0] == " ")
         self._begin()
-        if lead and self.now and not self.now[-1].endswith(" "):
+        if lead and not self.now[-1].endswith(" "):
             self.now.append(" ")
         self.space = data[-1] == " "
         self.now.append(data.strip(" "))
