@@ -21,11 +21,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sparquill.llm.wordpieces import MARK, between_marks
+
 #: Fixed value: the word pattern of byte-level BPE, with white space as Unicode's property has it.
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 WORDS = regex.compile(
     rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
 )
+#: The same for pieces that each end with a zero byte, which is a word of its own and as good as the end of the text.
+CUT = regex.compile(
+    rf"\x00|'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}\x00]+|[{SPACE}]+(?![^{SPACE}\x00])|[{SPACE}]+"
+)
 #: A text in which every white space but the line end is one space between other characters needs no look beyond a space.
 CLOSE = re.compile(rf"[{SPACE}](?<![ \n])")
 TOUCHING = ("  ", " \n", "\n ")
@@ -80,7 +86,8 @@ class TrieEncoder:
         self.split_special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.fits: dict[int, bool] = {}
         self.odd = {t for t in self.token.values() if not self.whole(t)}
-        self.words: dict[str, bytes] = {}
+        self.fresh = {"\0": next(self.walk([b"\0"]))}
+        self.words: dict[str, bytes] = dict(self.fresh)
         self.pieces: dict[str, bytes] = {}
 
     def compatible(self, left: int, right: int) -> bool:
@@ -155,12 +162,17 @@ class TrieEncoder:
 
     def _learn(self, pieces: set[str]) -> None:
         """Piece: what follows a space, with the space."""
-        cut = [(p, WORDS.findall(p)) for p in pieces]
-        new = {w for _, ws in cut for w in ws if w not in self.words}
+        plain = [p for p in pieces if "\0" not in p]
+        cut = CUT.findall("\0".join([*plain, ""]))
+        odd = [(p, WORDS.findall(p)) for p in pieces if "\0" in p]
+        new = set(cut).union(*(ws for _, ws in odd)).difference(self.words)
         order = sorted((w.encode(), w) for w in new)
         self.words.update(zip((w for _, w in order), self.walk([b for b, _ in order]), strict=True))
         get = self.words.__getitem__
-        self.pieces.update((p, b"".join(map(get, ws))) for p, ws in cut)
+        own, self.words["\0"] = self.words["\0"], MARK
+        self.pieces.update(zip(plain, between_marks(b"".join(map(get, cut))), strict=True))
+        self.words["\0"] = own
+        self.pieces.update((p, b"".join(map(get, ws))) for p, ws in odd)
 
     def _plain(self, text: str) -> list[str]:
         """A text without special tokens, cut at places that no word of the pattern crosses."""
@@ -174,7 +186,7 @@ class TrieEncoder:
         parts = [self.split_special.split(x) if self.split_special else [x] for x in texts]
         cut = [[[p] if k % 2 else self._plain(p) for k, p in enumerate(ps)] for ps in parts]
         if len(self.words) > MOST_WORDS:
-            self.words = {}
+            self.words = dict(self.fresh)
         if len(self.pieces) > MOST_PIECES:
             self.pieces = {}
         if len(self.fits) > 3_000_000:

@@ -18,9 +18,18 @@ import regex
 MOST_CHUNKS, MOST_WORDS = 250_000, 400_000
 JOINED = 500
 WHOLE = re.compile(r"<\||[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
-SIMPLE = re.compile(r"[\x21-\u024f]+")
+#: Beyond these, lower-casing and normalising may look at neighbours.
+NOT_SIMPLE = re.compile(r"[^\x21-\u024f\n]")
 #: Fixed value: the word pattern of the vocabulary file.
-WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+CUT = regex.compile(rf"{WORDS}|\n")
+MARK = b"\xff\xff\xff\xff"
+
+
+def between_marks(data: bytes) -> list[bytes]:
+    """The parts of a run of 32-bit ids that MARK ends."""
+    at = [0, *((np.flatnonzero(np.frombuffer(data, "<u4") == 0xFFFFFFFF) + 1) * 4).tolist()]
+    return [data[a : b - 4] for a, b in zip(at[:-1], at[1:], strict=True)]
 
 
 class ChunkEncoder:
@@ -46,7 +55,7 @@ class ChunkEncoder:
         self.ends = np.zeros(self.size, bool)
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
         self.chunks: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {"\n": MARK}
 
     def _library(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
@@ -66,13 +75,18 @@ class ChunkEncoder:
             self.words.update(zip(group, parts, strict=True))
 
     def _learn(self, chunks: list[str]) -> None:
-        simple = [c for c in chunks if SIMPLE.fullmatch(c)]
-        cut = [WORDS.findall(c.lower()) for c in simple]
-        new = {w for ws in cut for w in ws if w not in self.words}
-        if new:
-            self._learn_words(sorted(new))
-        get = self.words.__getitem__
-        self.chunks.update((c, b"".join(map(get, ws))) for c, ws in zip(simple, cut, strict=True))
+        simple, joined = chunks, "\n".join(chunks)
+        if NOT_SIMPLE.search(joined):
+            simple = [c for c in chunks if not NOT_SIMPLE.search(c)]
+            joined = "\n".join(simple)
+        if simple:  # one pass over all chunks: line ends between them stay as marks
+            cut = CUT.findall(f"{joined.lower()}\n")
+            new = set(cut).difference(self.words)
+            if new:
+                self._learn_words(sorted(new))
+            self.chunks.update(zip(simple, between_marks(b"".join(map(self.words.__getitem__, cut))), strict=True))
+        if len(simple) == len(chunks):
+            return
         rest = [c for c in chunks if c not in self.chunks]
         self.chunks.update((c, np.array(ids, "<u4").tobytes()) for c, ids in zip(rest, self._library(rest), strict=True))
 
@@ -84,7 +98,7 @@ class ChunkEncoder:
             odd = {i for i, x in enumerate(texts) if WHOLE.search(x)}
             split = [[] if i in odd else x.split() for i, x in enumerate(texts)]
             if len(self.words) > MOST_WORDS:
-                self.words = {}
+                self.words = {"\n": MARK}
             if len(self.chunks) > MOST_CHUNKS:
                 self.chunks = {}
             new = set().union(*split).difference(self.chunks)
