@@ -28,7 +28,7 @@ SHARE, SEEN = 64, 64
 class Likeness:
     """What makes two nodes link.
 
-    payload: (node) -> (node, payload) of these nodes, one row each, and perhaps of more. match: whether two payloads
+    payload: (node) -> written (node, payload) of these nodes, one row each, and perhaps of more. match: whether two payloads
     link. own: (node), distinct -> (node, n, u), n the size of a node and u how much of it no other of these nodes has.
     possible: whether nodes of (nx, ux, ny, uy) may link at all. reach: whether one of (n, u) may link to any node whose
     size is at least that given. Neither may exclude a link.
@@ -171,7 +171,7 @@ def link_buckets(members: DataFrame, like: Likeness) -> DataFrame | None:
 def _verified(pairs: DataFrame, like: Likeness) -> DataFrame:
     """The distinct pairs that link."""
     pairs = materialize(pairs.distinct(), "link_pairs")
-    payload = materialize(like.payload(pairs.select(F.explode(F.array("a", "b")).alias("node"))), "link_payload")
+    payload = like.payload(pairs.select(F.explode(F.array("a", "b")).alias("node")))
     both = pairs.join(payload.select(F.col("node").alias("b"), F.col("payload").alias("payload_b")), "b")
     both = both.join(payload.select(F.col("node").alias("a"), F.col("payload").alias("payload_a")), "a")
     return materialize(both.where(like.match(F.col("payload_a"), F.col("payload_b"))).select("a", "b"), "link_found")
