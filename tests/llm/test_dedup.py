@@ -167,6 +167,34 @@ def test_fuzzy_lines_are_a_part_of_all_like_pairs(spark):
     assert set(range(len(lines), len(rows))) <= dropped and all(first[i] != i for i in dropped)
 
 
+def test_recall_of_fuzzy_lines(spark):
+    """Against all pairs at the limit: of the lines that are like an earlier one, nearly all go, at every length and for both kinds of edits."""
+    from sparquill.llm.lines import drop_repeated_lines
+
+    rnd = random.Random(8)
+    vocabulary = ["".join(rnd.choice("abcdefghijklmnoprstuvw") for _ in range(rnd.randint(2, 8))) for _ in range(3000)]
+    lines, kind = [], []
+    for n, changed in ((10, 1), (25, 2), (40, 3), (110, 8)):
+        for _ in range(25):
+            base = [rnd.choice(vocabulary) for _ in range(n)]
+            w, c = list(base), list(" ".join(base))
+            for i in rnd.sample(range(n), changed):
+                w[i] = rnd.choice(vocabulary)
+            for i in rnd.sample([i for i, x in enumerate(c) if x != " "], len(c) // 25):
+                c[i] = rnd.choice("xyz")
+            lines += [" ".join(base), " ".join(w), "".join(c)]
+            kind += [None, n, -n]
+    dropped = {r.doc_id for r in drop_repeated_lines(frame(spark, list(enumerate(lines)))).where("lines_dropped > 0").collect()}
+    # lines of one triple alone can be like each other
+    base = [i - i % 3 for i in range(len(lines))]
+    like = [k and 1 - edit(lines[base[i]], lines[i]) / max(len(lines[base[i]]), len(lines[i])) >= 0.9 for i, k in enumerate(kind)]
+    for k in {k for k in kind if k}:
+        want = [i for i in range(len(lines)) if kind[i] == k and like[i]]
+        assert len(want) >= 10 and len(dropped & set(want)) >= 0.9 * len(want), k
+    want = [i for i, x in enumerate(like) if x]
+    assert len(dropped & set(want)) >= 0.97 * len(want) and not any(i in dropped for i, k in enumerate(kind) if not k)
+
+
 def test_exact(spark):
     from sparquill.llm.exact import digests, exact_groups, merge_runs
 
