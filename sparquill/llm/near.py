@@ -4,7 +4,9 @@ A document's five-word shingles are weighted by how often they occur. Each shing
 at a rate of its weight, to random registers; a register keeps the shingle of its earliest arrival, so two documents
 agree in a register with the probability Jaccard similarity of their shingle distributions. A shingle's process ends as
 soon as its next arrival is later than all of the document's registers. Registers are banded, bands are buckets, and
-candidates are verified by the exact Jaccard similarity of their shingle sets.
+candidates are verified by the exact Jaccard similarity of their shingle sets. As a passage that one text repeats moves
+its counts but not its set, a document with repeated shingles has a second sketch, of unit weights. One without has the
+same registers by both.
 """
 
 from __future__ import annotations
@@ -21,7 +23,8 @@ from sparquill.llm.linking import Likeness, link_buckets
 from sparquill.plans.stage import materialize, may_contain
 
 WORDS, SIMILARITY = 5, 0.8
-#: 24 bands of 4 registers: a pair of similarity 0.8 shares a band with probability 1 - (1 - 0.8^4)^24 = 0.999997.
+#: 24 bands of 4 registers: a pair of set similarity 0.8 shares a band of unit weights with probability 1 - (1 - 0.8^4)^24
+#: = 0.999997; counts add candidates.
 BANDS, ROWS = 24, 4
 GOLD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -96,27 +99,37 @@ def _bands(registers: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def sketches(documents: DataFrame, id_col: str, text_col: str, k: int, bands: int, rows: int) -> DataFrame:
-    """id, node (16 bytes: the word sequence), n (distinct shingles), bands (array of long, empty without words), shingles."""
+    """id, node (16 bytes: the word sequence), n (distinct shingles), bands (array of long, empty without words), shingles.
+
+    bands has those of unit weights and then, where a shingle repeats, those of counts.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, off = as_bytes(batch.column(1))
             for a, b in slices(off, 1 << 19):
                 who, what, count, words, keys = weighted_shingles(raw, off, a, b, k)
-                registers = prob_minhash(who, what, count, b - a, bands * rows)
-                found = _bands(registers, bands, rows).view(np.int64)
+                found = _bands(prob_minhash(who, what, np.ones(len(what)), b - a, bands * rows), bands, rows).view(np.int64)
+                again = np.bincount(who[count > 1], minlength=b - a) > 0  # rows with a shingle that repeats
+                part = again[who]
+                number = np.cumsum(again) - 1
+                counted = prob_minhash(number[who[part]], what[part], count[part], int(again.sum()), bands * rows)
+                every = np.zeros((b - a, 2 * bands), np.int64)
+                every[:, :bands] = found
+                every[again, bands:] = _bands(counted, bands, rows).view(np.int64)
                 # sets are kept as 32-bit hashes, distinct and sorted
                 pair = np.unique((who.astype(np.uint64) << np.uint64(32)) | (what >> np.uint64(32)))
                 owner, short = (pair >> np.uint64(32)).astype(np.int64), (pair & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)
                 size = np.bincount(owner, minlength=b - a)
                 some = words > 0
-                kept = np.where(some, bands, 0)
+                kept = np.where(again, 2 * bands, np.where(some, bands, 0))
+                found = every[np.arange(2 * bands) < kept[:, None]]
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(a, b - a),
                         pa.array([x.tobytes() if w else None for x, w in zip(np.ascontiguousarray(keys.T), some, strict=True)], pa.binary()),
                         pa.array(size.astype(np.int32)),
-                        pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(kept)]).astype(np.int32)), pa.array(found[some].reshape(-1))),
+                        pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(kept)]).astype(np.int32)), pa.array(found)),
                         pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), pa.array(short)),
                     ],
                     ["_id", "node", "n", "bands", "shingles"],
@@ -139,11 +152,11 @@ def near_groups(documents: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """
     sketch = materialize(sketches(documents, id_col, text_col, k, bands, rows), "near_sketches")
     worded = sketch.where("node is not null")
-    # all rows of a node have the same bands
+    # all rows of a node have the same bands; a band's hash tells its place
     texts = materialize(
         worded.groupBy("node").agg(F.min("_id").alias("least_id"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("bands").alias("bands")), "near_nodes"
     )
-    members = texts.select("node", F.posexplode("bands").alias("band", "hash")).select(F.xxhash64("band", "hash").alias("bucket"), "node")
+    members = texts.select("node", F.explode(F.array_distinct("bands")).alias("bucket")).select("bucket", "node")
 
     def sets_of(nodes: DataFrame) -> DataFrame:
         """(node, payload: the shingles) of these nodes, and perhaps of some more."""

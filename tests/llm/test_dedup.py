@@ -67,6 +67,24 @@ def test_near_groups_are_those_of_all_pairs(spark):
     assert all(r.kept == (i == r.class_id) for i, r in got.items()) and got[903].class_size == 2
 
 
+def test_near_groups_of_repeated_passages(spark):
+    """Texts that repeat a passage have other counts of shingles but nearly the same sets; the links are those of all pairs."""
+    from sparquill.llm.near import near_groups
+
+    rnd = random.Random(12)
+    rows = []
+    for i in range(12):
+        base, passage = [[f"w{rnd.randrange(5000)}" for _ in range(n)] for n in (300, 8)]
+        changed = list(base)
+        changed[rnd.randrange(300)] = "other"
+        rows += [base, base + passage * 100, changed + passage * 30, base[:150] + passage * 60 + base[150:]]
+    rows = [(i, " ".join(w)) for i, w in enumerate(rows)]
+    sets = {i: shingles(t) for i, t in rows}
+    want = classes([(a, b) for a, b in combinations(sets, 2) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])], sets)
+    assert len(set(want.values())) == 12
+    assert {r.doc_id: r.class_id for r in near_groups(frame(spark, rows)).collect()} == want
+
+
 def test_one_large_near_group(spark):
     """A bucket of many nodes of several groups goes through every step of the linking."""
     from sparquill.llm import linking
