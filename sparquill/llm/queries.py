@@ -68,7 +68,7 @@ FROM cum
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sparquill.llm.lines import drop_repeated_lines
 
-    return drop_repeated_lines(_documents(spark, sf_dir)).select("doc_id", "text", "lines_dropped")
+    return drop_repeated_lines(_documents(spark, sf_dir), least_words=1).select("doc_id", "text", "lines_dropped")
 
 
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

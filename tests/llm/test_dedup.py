@@ -213,6 +213,19 @@ def test_recall_of_fuzzy_lines(spark):
     assert len(dropped & set(want)) >= 0.97 * len(want) and not any(i in dropped for i, k in enumerate(kind) if not k)
 
 
+def test_short_lines(spark):
+    """With least_words = 1 every line that is not blank takes part: few words, scripts without spaces, marks alone."""
+    from sparquill.llm.lines import drop_repeated_lines, without_repeated_lines
+
+    chinese = "这是一个没有空格的很长的句子用来检查相似的行是否会被找到并且去掉"
+    first = ["Home", "Log in", "ab", chinese, "----", "* * *", "", "Read our terms now"]
+    again = ["home!", "log  in", "abc", chinese.replace("检查", "检测"), "====", "*  * *", " ", "Read our terms now", "-----", "----", "bread our terms now"]
+    rows = [(1, "\n".join(first)), (2, "\n".join(again)), (3, "Home\nLog in")]
+    got = {r.doc_id: (r.text, r.lines_dropped) for r in drop_repeated_lines(frame(spark, rows), least_words=1).collect()}
+    assert got == {1: (rows[0][1], 0), 2: ("abc\n====\n \n-----", 7), 3: ("", 2)}
+    assert {r.doc_id for r in without_repeated_lines(frame(spark, rows)).collect()} == {1, 2}
+
+
 def test_exact(spark):
     from sparquill.llm.exact import digests, exact_groups, merge_runs
 
