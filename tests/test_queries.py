@@ -41,3 +41,9 @@ def test_entry_names():
     import __spark_entry__ as entry
 
     assert set(entry.oracle_sql()) <= set(entry.queries()) and "backtest_summary" in entry.queries()
+
+
+def test_sql_is_text():
+    import __spark_entry__ as entry
+
+    assert all(isinstance(x, str) for x in entry.oracle_sql().values())
