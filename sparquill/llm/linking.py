@@ -131,7 +131,7 @@ def link_buckets(members: DataFrame, like: Likeness) -> DataFrame | None:
     pairs = pairs.union(first.where("hub2 <> hub and node > hub2").select("hub2", "node"))
     links = _verified(pairs, like)
     comps = None if links.isEmpty() else components(links)
-    rest = first.where("size > 3 and node <> hub and node <> hub2").select("bucket", "node")  # both hubs have met all of their bucket
+    rest = first.where("(size > 3 or size = 3 and hub2 = hub) and node <> hub and node <> hub2").select("bucket", "node")  # hubs have met all of their bucket; with one hub three nodes leave a pair
     if rest.isEmpty():
         return comps
 

@@ -140,6 +140,23 @@ def test_components(spark):
     assert {r.node: r.comp for r in components(spark.createDataFrame(chain, "a long, b long")).collect()} == want
 
 
+def test_three_nodes_on_the_way_of_heavy_buckets(spark):
+    """There a bucket has one hub, so the pair of its other two nodes is still to be compared."""
+    from pyspark.sql import functions as F
+
+    from sparquill.llm import linking
+
+    payload = lambda nodes: nodes.distinct().select("node", F.col("node").alias("payload"))
+    own = lambda nodes: nodes.select("node", F.lit(1).alias("n"), F.lit(0).alias("u"))
+    like = linking.Likeness(payload, lambda x, y: x + y == 5, own, lambda *_: F.lit(True), lambda *_: F.lit(True))
+    was, (linking.SHARE, linking.SEEN) = (linking.SHARE, linking.SEEN), (1, 1)
+    try:
+        comps = linking.link_buckets(spark.createDataFrame([(7, 1), (7, 2), (7, 3)], "bucket long, node long"), like)
+        assert comps is not None and {r.node: r.comp for r in comps.collect()} == {2: 2, 3: 2}
+    finally:
+        linking.SHARE, linking.SEEN = was
+
+
 def edit(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
