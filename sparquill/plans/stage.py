@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _LOCAL: dict[str, str] = {}
+#: Spark's setting that removes a statement's shuffle files when the statement ends.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def work_dir(spark: SparkSession) -> str:
@@ -32,11 +34,31 @@ def stage_path(spark: SparkSession, label: str) -> str:
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it back: cuts lineage and survives lost executors."""
+    """Write df as Parquet to the shared folder and read it back: cuts lineage and survives lost executors.
+
+    The written table replaces the shuffles that made it, so their files go when it is complete.
+    """
     spark = df.sparkSession
     path = stage_path(spark, label)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    was = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, was)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stage_path = path
+    return out
+
+
+def release(*tables: DataFrame | None) -> None:
+    """Remove tables that materialize() wrote and that nothing will read any more, lazily made plans included."""
+    for table in tables:
+        path = getattr(table, "_stage_path", None)
+        if path is not None:
+            spark = table.sparkSession
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 #: Bits of a key filter: at most KEY_BITS / 64 rows are ever broadcast, whatever the number of keys.
@@ -53,13 +75,10 @@ def may_contain(df: DataFrame, key: str, keys: DataFrame, keys_col: str) -> tupl
     The bitmap is made by a grouped bit_or and has at most KEY_BITS / 64 = 65,536 rows, so broadcasting it is
     bounded. With more keys than bits everything may be among them; the exact join that follows decides.
     """
-    bits = keys.select(_bit(F.col(keys_col)).alias("_b")).groupBy(F.expr("_b div 64").alias("_word")).agg(
-        F.bit_or(F.expr("shiftleft(1L, cast(_b % 64 as int))")).alias("_mask")
-    )
+    b, word, mask = "__key_bit", "__key_word", "__key_mask"
+    bits = keys.select(_bit(F.col(keys_col)).alias(b)).groupBy(F.expr(f"{b} div 64").alias(word)).agg(F.bit_or(F.expr(f"shiftleft(1L, cast({b} % 64 as int))")).alias(mask))
     bits = materialize(bits, "keybits")
-    marked = df.withColumn("_b", _bit(F.col(key))).withColumn("_word", F.expr("_b div 64"))
-    marked = marked.join(F.broadcast(bits), "_word", "left").withColumn(
-        "_hit", F.expr("coalesce(shiftrightunsigned(_mask, cast(_b % 64 as int)) & 1L, 0L) = 1L")
-    )
-    out = [marked.where(cond).select(*df.columns) for cond in (F.col("_hit"), ~F.col("_hit"))]
-    return out[0], out[1]
+    marked = df.withColumn(b, _bit(F.col(key))).withColumn(word, F.expr(f"{b} div 64")).join(F.broadcast(bits), word, "left")
+    hit = F.expr(f"coalesce(shiftrightunsigned({mask}, cast({b} % 64 as int)) & 1L, 0L) = 1L")
+    own = [F.col(f"`{c}`") for c in df.columns]
+    return marked.where(hit).select(*own), marked.where(~hit).select(*own)
