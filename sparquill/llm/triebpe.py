@@ -116,12 +116,12 @@ class TrieEncoder:
         """Encodings of sorted distinct words, as little-endian unsigned 32-bit integers."""
         get, compatible, id_bytes, odd = self.token.get, self.compatible, self.id_bytes, self.odd
         known, size = self.fits.get, len(self.id_bytes)
-        last, code, before = [-1], [b""], b""
+        last, back, before = [-1], [0], b""  # of each prefix: its last token, and where that begins
         for word in words:
             n, depth, top = len(word), 0, min(len(word), len(before))
             while depth < top and word[depth] == before[depth]:
                 depth += 1
-            del last[depth + 1 :], code[depth + 1 :]
+            del last[depth + 1 :], back[depth + 1 :]
             for i in range(depth + 1, n + 1):
                 for j in range(i - 1, -1, -1):  # exactly one entry fits; short ones are the likelier
                     t = get(word[j:i])
@@ -136,10 +136,13 @@ class TrieEncoder:
                         ok = t not in odd
                     if ok:
                         last.append(t)
-                        code.append(code[j] + id_bytes[t])
+                        back.append(j)
                         break
-            before = word
-            yield code[n]
+            before, code = word, []
+            while n:
+                code.append(id_bytes[last[n]])
+                n = back[n]
+            yield b"".join(reversed(code))
 
     def whole(self, t: int) -> bool:
         """Whether a token's own bytes encode to it."""
