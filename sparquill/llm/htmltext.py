@@ -39,6 +39,9 @@ ENDED_BY = {
 #: An end tag does not close what lies outside of these.
 BARRIER = frozenset("table td th caption".split())
 TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>""")
+#: After so many tags whose quotes never end, a page's quotes no longer hide the end of a tag, so that pages take linear time.
+MOST_FAILED = 64
+PLAIN_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
 ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 HIDING = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
 RULE = re.compile(r"([^{}]+)\{([^{}]*)\}")
@@ -86,6 +89,7 @@ def build(source: str) -> tuple[Node, str]:
         return 0
 
     at, n = 0, len(source)
+    last, failed = source.rfind(">"), 0  # no tag ends after last
     while at < n:
         lt = source.find("<", at)
         if lt < 0:
@@ -99,9 +103,11 @@ def build(source: str) -> tuple[Node, str]:
             end = source.find(mark[0], lt + mark[1])
             at = n if end < 0 else end + len(mark[0])
             continue
-        tag = TAG.match(source, lt)
+        maybe = lt < last and (nxt.isalpha() or nxt == "/")
+        tag = (TAG if failed < MOST_FAILED else PLAIN_TAG).match(source, lt) if maybe else None
         if tag is None:
-            end = source.find(">", lt) if nxt.isalpha() or nxt == "/" else -1
+            failed += maybe
+            end = source.find(">", lt) if maybe else -1
             if end < 0:  # no tag: the sign itself
                 stack[-1].children.append("<")
                 at = lt + 1
