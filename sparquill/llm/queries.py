@@ -128,15 +128,12 @@ def op10_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     media = text_to_tiff(_documents(spark, sf_dir))
     media = media.withColumn("media_bytes", F.octet_length("media").cast("long")).withColumn("media_sha256", F.sha2("media", 256))
-    pages = read_tiff(media)  # a document is one page
-    n = F.octet_length("pixels")
-    feature = F.format_string(
-        "%s %dx%d predictor %d crc %08x first %s", "compression", "width", "height", "predictor", F.crc32("pixels"), F.hex(F.substring("pixels", 1, 8))
-    )
+    pages = read_tiff(media).where("page = 0")  # page 1 is the preview
+    feature = F.format_string("%s %dx%d predictor %d, mean %.3f, deviation %.3f", "compression", "width", "height", "predictor", "mean", "deviation")
     return pages.select(
-        "doc_id", "n_bytes", n.cast("long").alias("payload_bytes"), F.sha2("pixels", 256).alias("payload_sha256"),
+        "doc_id", "n_bytes", F.octet_length("pixels").cast("long").alias("payload_bytes"), F.sha2("pixels", 256).alias("payload_sha256"),
         F.crc32(F.expr("substring(pixels, -32, 32)")).alias("tail_crc32"), "media_bytes", "media_sha256", feature.alias("feature"),
-        "compression", "predictor", "tiled",
+        "compression", "predictor", "tiled", "n_pages",
     )
 
 
