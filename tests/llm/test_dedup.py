@@ -254,6 +254,33 @@ def test_exact(spark):
     assert sorted((r.keep_id, r.group_size) for r in merge_runs(digests(many), "min").collect()) == [(k, 300 // 7 + (k < 300 % 7)) for k in range(7)]
 
 
+def test_runs_are_sorted_and_merged_in_order(spark):
+    """The plan sorts before each merge, a run is in order with one row of each digest, and merging sees keys that go on."""
+    import pyarrow as pa
+
+    from sparquill.llm.exact import KEY, NODE, digests, merge_pass, merge_runs, sorted_runs
+
+    many = frame(spark, [(i, f"t{i % 50}") for i in range(400)]).repartition(10)
+    runs = sorted_runs(digests(many), "max", 4)
+    parts = runs.withColumn("p", __import__("pyspark.sql.functions", fromlist=["x"]).spark_partition_id()).collect()
+    for p in {r.p for r in parts}:
+        keys = [tuple(r[c] for c in (*NODE[:1], "digest")) for r in parts if r.p == p]
+        assert keys == sorted(keys) and len(keys) == len(set(keys))
+    plan = merge_runs(digests(many))._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("MapInArrow") < plan.index("Sort") and "HashAggregate" not in plan
+    row = lambda d, i, n: {"range": 0, "run": 0, "digest": d, "check": 1, "n_bytes": 1, "keep_id": i, "group_size": n}
+    batches = [pa.RecordBatch.from_pylist(x) for x in ([row(b"a", 9, 2), row(b"a", 5, 1)], [row(b"a", 1, 4), row(b"b", 7, 1)], [row(b"b", 3, 1)])]
+    got = [r for b in merge_pass(iter(batches)) for r in b.to_pylist()]
+    assert [(r["digest"], r["keep_id"], r["group_size"]) for r in got] == [(b"a", 9, 7), (b"b", 7, 2)] and KEY
+
+
+def test_exact_with_clashing_columns(spark):
+    from sparquill.llm.exact import exact_groups
+
+    df = spark.createDataFrame([(1, "a", 5, 6, 7), (2, "A", 5, 6, 7)], "doc_id long, text string, digest int, run int, keep_id int")
+    assert sorted((r.doc_id, r.keep_id, r.group_size) for r in exact_groups(df).collect()) == [(1, 2, 2), (2, 2, 2)]
+
+
 def test_mix(spark):
     from sparquill.llm import mixing
     from sparquill.llm.mixing import mix, mixed

@@ -207,6 +207,85 @@ def test_tiff_of_texts(spark):
     from sparquill.llm import tiff as T
 
     texts = ODD + ["y" * (577 * 300)]
-    for r in T.read_tiff(T.text_to_tiff(frame(spark, texts))).collect():
+    for r in T.read_tiff(T.text_to_tiff(frame(spark, texts))).where("page = 0").collect():
         raw = (texts[r.doc_id] or "").encode()
         assert bytes(r.pixels) == raw + b"\xff" * (576 * max(1, -(-len(raw) // 576)) - len(raw)) and r.n_bytes == len(raw)
+
+
+def test_trie_of_long_words():
+    """Words of unlike letters, without a space: as the library encodes them, in memory linear in the word."""
+    import random
+    import tracemalloc
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from sparquill.llm.triebpe import TrieEncoder
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    rnd, encoder, library = random.Random(5), TrieEncoder.of(path), Tokenizer.from_file(path)
+    library.no_padding()
+    library.no_truncation()
+    make = lambda n: "".join(rnd.choice("abcdefghijklmnopqrstuvwxyzABC") for _ in range(n))
+    for n in (10, 3000):
+        word = make(n)
+        assert np.frombuffer(encoder.encode([word])[0], "<u4").tolist() == library.encode(word, add_special_tokens=False).ids
+    tracemalloc.start()
+    code = encoder.encode([make(200_000)])[0]
+    assert encoder.decode(np.frombuffer(code, "<u4")) and tracemalloc.get_traced_memory()[1] < 200e6
+    tracemalloc.stop()
+
+
+def test_html_of_tags_without_end():
+    import time
+
+    from sparquill.llm.htmltext import render
+
+    start = time.time()
+    assert len(render("<a " * 100_000)) == 299_999 and render('<a "<b>" ' * 30_000 + "'") is not None
+    assert time.time() - start < 60
+
+
+def test_html_nothing(spark):
+    from sparquill.llm.htmltext import extract
+
+    assert extract(spark.createDataFrame([], "page_id long, html string")).count() == 0
+
+
+def test_tiff_files_of_other_writers(spark):
+    """Files put together by hand: big-endian, planes apart, several samples; and what must be an error row."""
+    import struct
+
+    from sparquill.llm import tiff as T
+
+    def by_hand(order, tags, data):
+        at = 8 + 2 + 12 * len(tags) + 4
+        head = (b"II" if order == "<" else b"MM") + struct.pack(f"{order}HI", 42, 8) + struct.pack(f"{order}H", len(tags))
+        for tag, values in sorted(tags.items()):
+            field = struct.pack(f"{order}{len(values)}H", *(v + at if tag == T.STRIPS else v for v in values)).ljust(4, b"\0")
+            assert len(field) == 4
+            head += struct.pack(f"{order}HHI", tag, 3, len(values)) + field
+        return head + b"\0\0\0\0" + data
+
+    basic = {T.WIDTH: [3], T.LENGTH: [2], T.BITS: [8], T.COMPRESSION: [1], T.STRIPS: [0], T.STRIP_BYTES: [6]}
+    for order in "<>":
+        (page,) = T.pages(by_hand(order, basic, bytes(range(6))))
+        assert page.pixels[:, :, 0].tolist() == [[0, 1, 2], [3, 4, 5]] and page.error is None
+        planes = basic | {T.SAMPLES: [2], T.PLANAR: [2], T.STRIPS: [0, 6], T.STRIP_BYTES: [6, 6]}
+        (page,) = T.pages(by_hand(order, planes, bytes(range(12))))
+        assert page.pixels.tolist() == [[[0, 6], [1, 7], [2, 8]], [[3, 9], [4, 10], [5, 11]]]
+        wide = basic | {T.BITS: [16], T.STRIP_BYTES: [12], T.PREDICTOR: [2]}
+        (page,) = T.pages(by_hand(order, wide, struct.pack(f"{order}6H", 300, 1, 1, 5, 0, 65535)))
+        assert page.pixels[:, :, 0].tolist() == [[300, 301, 302], [5, 5, 4]]
+    for bad in ({T.PREDICTOR: [3]}, {T.BITS: [4]}, {T.WIDTH: [65535], T.LENGTH: [65535]}, {T.COMPRESSION: [7]}):
+        (page,) = T.pages(by_hand("<", basic | bad, bytes(6)))
+        assert page.pixels is None and page.error
+    for short in (b"II*", b"MM\0*\0", b"II*\0\0"):
+        assert [p.error for p in T.pages(short)] == ["not a TIFF"]
+    # LZW of seven equal bytes, by hand: clear, 65, 258, 259, 65, end in nine bits each
+    bits = "".join(f"{c:09b}" for c in (256, 65, 258, 259, 65, 257))
+    assert T.lzw_unpack(int(bits.ljust(56, "0"), 2).to_bytes(7, "big"), 7) == b"A" * 7
+    assert T.unpack_bits(b"\xfe\xaa\x02\x80\x00\x2a\xfd\xaa\x03\x80\x00\x2a\x22\xf7\xaa", 24).hex() == "aaaaaa80002aaaaaaaaa80002a22" + "aa" * 10
+    assert T.read_tiff(spark.createDataFrame([], "id int, media binary")).count() == 0 and T.text_to_tiff(frame(spark, [])).count() == 0
+    forms = {(p.compression, p.tiled) for i in range(40) for p in T.pages(T.store(T.payload(f"text {i} " * (1 + 40 * i))))}
+    assert forms == {("lzw", False), ("packbits", False), ("deflate", False), ("deflate", True)}
