@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparquill.plans.stage import materialize, may_contain
+from sparquill.plans.stage import materialize, may_contain, release
 
 #: One node in SHARE is looked at to find the buckets of more than about SHARE * SEEN nodes.
 SHARE, SEEN = 64, 64
@@ -55,14 +55,21 @@ def components(links: DataFrame) -> DataFrame:
         moves.append(move)
         to = lambda col: move.select(F.col("node").alias(col), F.col("comp").alias(f"{col}_to"))  # noqa: B023, E731
         moved = edges.join(to("a"), "a").join(to("b"), "b").where("a_to <> b_to")
-        edges = materialize(moved.select(F.least("a_to", "b_to").alias("a"), F.greatest("a_to", "b_to").alias("b")).distinct(), "cc_links")
+        before, edges = edges, materialize(moved.select(F.least("a_to", "b_to").alias("a"), F.greatest("a_to", "b_to").alias("b")).distinct(), "cc_links")
+        if len(moves) > 1:  # the first are the caller's
+            release(before)
         if edges.isEmpty():
             break
     out = moves[0]
     for move in moves[1:]:
         after = move.select(F.col("node").alias("comp"), F.col("comp").alias("next"))
         out = out.join(after, "comp", "left").select("node", F.coalesce("next", "comp").alias("comp"))
-    return materialize(out, "cc_labels") if len(moves) > 1 else out
+    release(edges)
+    if len(moves) == 1:
+        return out
+    out = materialize(out, "cc_labels")
+    release(*moves)
+    return out
 
 
 def _only_shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,9 +146,12 @@ def link_buckets(members: DataFrame, like: Likeness) -> DataFrame | None:
         """Rows of buckets that hold several groups, by the labels of now."""
         rows = materialize(_labelled(rows, comps), "link_rest")
         open_ = rows.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("bucket")
-        return materialize(rows.join(open_, "bucket", "left_semi"), "link_contested")
+        out = materialize(rows.join(open_, "bucket", "left_semi"), "link_contested")
+        release(rows)
+        return out
 
     rest = contested(rest)
+    release(first)
     if rest.isEmpty():
         return comps
     # a node that cannot link even to the bucket's smallest leaves; the most central node is the next hub
@@ -174,4 +184,6 @@ def _verified(pairs: DataFrame, like: Likeness) -> DataFrame:
     payload = like.payload(pairs.select(F.explode(F.array("a", "b")).alias("node")))
     both = pairs.join(payload.select(F.col("node").alias("b"), F.col("payload").alias("payload_b")), "b")
     both = both.join(payload.select(F.col("node").alias("a"), F.col("payload").alias("payload_a")), "a")
-    return materialize(both.where(like.match(F.col("payload_a"), F.col("payload_b"))).select("a", "b"), "link_found")
+    found = materialize(both.where(like.match(F.col("payload_a"), F.col("payload_b"))).select("a", "b"), "link_found")
+    release(pairs, payload)
+    return found

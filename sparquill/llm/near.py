@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from sparquill.llm.arrowtext import as_bytes, mix, slices, word_hashes
 from sparquill.llm.linking import Likeness, link_buckets
-from sparquill.plans.stage import materialize, may_contain
+from sparquill.plans.stage import materialize, may_contain, release
 
 WORDS, SIMILARITY = 5, 0.8
 #: 24 bands of 4 registers: a pair of set similarity 0.8 shares a band of unit weights with probability 1 - (1 - 0.8^4)^24
@@ -191,13 +191,21 @@ def near_groups(documents: DataFrame, id_col: str = "doc_id", text_col: str = "t
             F.coalesce("c_size", "class_size").alias("class_size"), F.coalesce("c_texts", "class_texts").alias("class_texts"),
         )
     classes = materialize(classes, "near_classes")
+    release(texts, comps, tied if comps is not None else None)
     out = worded.select("_id", "node").join(classes, "node").select("_id", "class_id", "class_size", "class_texts")
     alone = sketch.where("node is null").select("_id", F.col("_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"), F.lit(1).cast("long").alias("class_texts"))
     return out.union(alone).select(F.col("_id").alias(id_col), "class_id", "class_size", "class_texts", F.col("_id").eqNullSafe(F.col("class_id")).alias("kept"))
 
 
 def without_near_copies(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """documents with one of each group: that with the least id. Of rows that repeat its id one stays; rows without id stay."""
-    keep = materialize(near_groups(documents, id_col, text_col).where("kept").select(F.col(id_col).alias("_keep")).where("_keep is not null").distinct(), "near_keep")
-    kept = documents.join(keep, F.col(f"`{id_col}`") == F.col("_keep"), "left_semi").dropDuplicates([id_col])
-    return kept.unionByName(documents.where(F.col(f"`{id_col}`").isNull()))
+    """documents with one of each group: that with the least id, and of several texts of that id the one of the least hash.
+
+    Rows that repeat both stay once; rows without id stay. Columns stay as they are, whatever their names.
+    """
+    own_id, own_text = F.col(f"`{id_col}`"), F.col(f"`{text_col}`")
+    key = F.when(own_id.isNotNull(), F.struct(own_id.alias("id"), F.xxhash64(own_id, own_text).alias("hash")))
+    keyed = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"), key.alias("key"))
+    groups = near_groups(keyed.select("key", F.col("row").getField(text_col).alias("text")), "key", "text")
+    keep = materialize(groups.where("kept and key is not null").select("key").distinct(), "near_keep")
+    kept = keyed.where("key is not null").join(keep, "key", "left_semi").dropDuplicates(["key"]).select("row")
+    return kept.union(keyed.where("key is null").select("row")).select(*[F.col("row").getField(c).alias(c) for c in documents.columns])
