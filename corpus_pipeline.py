@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparquill.llm import langid, lines, mixing, near, triebpe
-from sparquill.plans.stage import materialize
+from sparquill.plans.stage import materialize, release
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,7 +45,7 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 STAGES: list[tuple[str, Stage]] = [("language", language), ("lines", repeated_lines), ("near", near_copies), ("mix", mix), ("tokens", tokens)]
 
-#: Context trees, SimHash, ProbMinHash and BPE are not for SQL; tests/llm holds the pipeline against brute force.
+#: Context trees, SimHash, ProbMinHash and BPE are not for SQL; tests/llm holds each stage against brute force on a small fixture.
 ORACLE_SQL = None
 
 
@@ -53,5 +53,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages on the documents of a folder; the last one's result."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), f"pipeline_{name}")
+        before, docs = docs, materialize(stage(spark, docs, sf_dir), f"pipeline_{name}")
+        release(before)
     return STAGES[-1][1](spark, docs, sf_dir)
