@@ -79,13 +79,14 @@ def ece(spark: SparkSession, sf: str) -> DataFrame:
     return evaluation.expected_calibration_error(_bins(spark, sf))
 
 
-@query("evidence_prf", """WITH s AS (SELECT doc_id, list_distinct(string_split(text, ' ')[1:6]) AS g, list_distinct(string_split(text, ' ')[4:9]) AS p FROM documents),
+@query("evidence_prf", """WITH s AS (SELECT doc_id, list_distinct(list_filter(string_split(text, ' '), lambda x, i: i % 2 = 1)) AS g, list_distinct(list_filter(string_split(text, ' '), lambda x, i: (i - 1) % 3 <> 0)) AS p FROM documents),
 c AS (SELECT CAST(sum(len(list_intersect(g, p))) AS BIGINT) AS tp, CAST(sum(len(list_filter(p, lambda x: NOT list_contains(g, x)))) AS BIGINT) AS fp, CAST(sum(len(list_filter(g, lambda x: NOT list_contains(p, x)))) AS BIGINT) AS fn FROM s),
 pr AS (SELECT *, round(tp::DOUBLE / (tp + fp), 4) AS p, round(tp::DOUBLE / (tp + fn), 4) AS r FROM c)
 SELECT tp, fp, fn, p AS "precision", r AS recall, round(2 * p * r / (p + r), 4) AS f1 FROM pr""")
 def evidence_prf(spark: SparkSession, sf: str) -> DataFrame:
+    """Spans are words of the whole text: those at even places against those at places that three does not divide."""
     w = F.split("text", " ")
-    return evaluation.span_prf(A.table(spark, sf, "documents").select(F.slice(w, 1, 6).alias("gold_spans"), F.slice(w, 4, 6).alias("pred_spans")))
+    return evaluation.span_prf(A.table(spark, sf, "documents").select(F.filter(w, lambda x, i: i % 2 == 0).alias("gold_spans"), F.filter(w, lambda x, i: i % 3 != 0).alias("pred_spans")))
 
 
 @query("score_deltas", "WITH " + A.ctes("v_predictions") + " SELECT count(*) AS n, round(avg(abs(coalesce(uncertainty, 0) - round(uncertainty * 0.9, 4))), 4) AS uncertainty, round(avg(abs(coalesce(strategic_optimism_gap, 0) - CASE WHEN l_orderkey % 3 = 0 THEN 0 ELSE strategic_optimism_gap END)), 4) AS strategic_optimism_gap FROM v_predictions")
@@ -181,12 +182,14 @@ def rater_summary(spark: SparkSession, sf: str) -> DataFrame:
     return agreement.human_summary(A.ratings(spark, sf)).withColumn("rater", F.col("rater").cast("long"))
 
 
-@query("char_overlap", r"""WITH s AS (SELECT doc_id, list_distinct(list_filter(string_split(regexp_replace(substr(text, 1, 30), '[ \t\r\n]', '', 'g'), ''), lambda x: x <> '')) AS a,
-  list_distinct(list_filter(string_split(regexp_replace(substr(text, 20, 30), '[ \t\r\n]', '', 'g'), ''), lambda x: x <> '')) AS b FROM documents),
+@query("char_overlap", r"""WITH s AS (SELECT doc_id, list_distinct(list_filter(string_split(regexp_replace(array_to_string(list_filter(string_split(text, chr(10)), lambda x, i: i % 2 = 1), ''), '[ \t\r\n]', '', 'g'), ''), lambda x: x <> '')) AS a,
+  list_distinct(list_filter(string_split(regexp_replace(array_to_string(list_filter(string_split(text, chr(10)), lambda x, i: (i - 1) % 3 <> 0), ''), '[ \t\r\n]', '', 'g'), ''), lambda x: x <> '')) AS b FROM documents),
 k AS (SELECT *, len(list_intersect(a, b))::DOUBLE AS i FROM s), pr AS (SELECT doc_id, CASE WHEN len(a) = 0 AND len(b) = 0 THEN 1.0 WHEN len(b) = 0 THEN 0.0 ELSE i / len(b) END AS p, CASE WHEN len(a) = 0 AND len(b) = 0 THEN 1.0 WHEN len(a) = 0 THEN 0.0 ELSE i / len(a) END AS r FROM k)
 SELECT doc_id, round(p, 6) AS "precision", round(r, 6) AS recall, round(CASE WHEN p + r = 0 THEN 0.0 ELSE 2 * p * r / (p + r) END, 6) AS f1 FROM pr""")
 def char_overlap(spark: SparkSession, sf: str) -> DataFrame:
-    made = agreement.char_overlap(F.array(F.substring("text", 1, 30)), F.array(F.substring("text", 20, 30)))
+    """Spans are lines of the whole text: those at even places against those at places that three does not divide."""
+    lines = F.split("text", "\n")
+    made = agreement.char_overlap(F.filter(lines, lambda x, i: i % 2 == 0), F.filter(lines, lambda x, i: i % 3 != 0))
     return A.table(spark, sf, "documents").select("doc_id", *[F.round(c, 6).alias(n) for n, c in made.items()])
 
 
@@ -204,7 +207,7 @@ def ablation_variants(spark: SparkSession, sf: str) -> DataFrame:
     words = F.split("summary", " ")
     rows = d.withColumns({k: v for k, v in L.rule_labels(F.col("title"), F.col("summary"), LATIN).items() if k != "evidence_spans"}).select(
         "doc_id", "title", "summary", "fundamental_sentiment", "strategic_optimism", "phenomenon", "uncertainty",
-        F.struct(F.slice(words, 1, 1).alias("hedge_cues"), F.slice(words, 2, 2).alias("risk_cues"), F.when(F.col("doc_id") % 3 == 0, F.slice(words, 4, 2)).otherwise(F.array().cast("array<string>")).alias("missing_risk_hints")).alias("decomposition"),
+        F.struct(F.filter(words, lambda x: F.length(x) >= 14).alias("hedge_cues"), F.filter(words, lambda x: F.length(x) == 13).alias("risk_cues"), F.when(F.col("doc_id") % 3 == 0, F.filter(words, lambda x: F.length(x) == 12)).otherwise(F.array().cast("array<string>")).alias("missing_risk_hints")).alias("decomposition"),
         F.struct(F.regexp_replace("summary", "th", "").alias("neutralized_text"), F.when(F.col("doc_id") % 2 == 0, F.array(F.lit("th"))).otherwise(F.array().cast("array<string>")).alias("removed_rhetoric")).alias("neutral"),
         F.struct((F.col("doc_id") % 5 != 0).alias("numbers_preserved"), F.lit(True).alias("entities_preserved"), (F.col("doc_id") % 7 != 0).alias("no_new_facts"), (F.col("doc_id") % 10 / 10.0).alias("factual_consistency"), F.when(F.col("doc_id") % 5 == 0, "fail").otherwise("pass").alias("verdict")).alias("verifier"),
     )
@@ -214,16 +217,16 @@ def ablation_variants(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("doc_id", F.explode(F.array(*each)).alias("x")).select("doc_id", "x.*")
 
 
-_HEDGE = f"round(least(1.0, 0.15 * {sql_hits(_TXT, LATIN.hedges)} + 0.2 * CASE WHEN trim(string_split(summary, ' ')[1]) <> '' THEN 1 ELSE 0 END), 4)"
+_HEDGE = f"round(least(1.0, 0.15 * {sql_hits(_TXT, LATIN.hedges)} + 0.2 * len(list_filter(string_split(summary, ' '), lambda x: length(x) >= 14))), 4)"
 
 
 @query("hedge_scores", "WITH " + A.ctes("v_docs") + f""" SELECT doc_id, CAST({_HEDGE} AS DOUBLE) AS hedge_score,
-  CAST(round(least(1.0, 0.08 * greatest(0, {sql_hits('summary', LATIN.risks)} - {sql_hits('title', LATIN.risks)}) + 0.1 * len(list_filter(string_split(summary, ' ')[2:3], lambda x: trim(x) <> ''))), 4) AS DOUBLE) AS omission_penalty FROM v_docs""")
+  CAST(round(least(1.0, 0.08 * greatest(0, {sql_hits('summary', LATIN.risks)} - {sql_hits('title', LATIN.risks)}) + 0.1 * len(list_filter(string_split(summary, ' '), lambda x: length(x) = 13))), 4) AS DOUBLE) AS omission_penalty FROM v_docs""")
 def hedge_scores(spark: SparkSession, sf: str) -> DataFrame:
     w = F.split("summary", " ")
     none = F.array().cast("array<string>")
     text = F.concat("title", F.lit("\n"), "summary")
-    return A.docs(spark, sf).select("doc_id", scoring.hedge_score(text, F.slice(w, 1, 1), LATIN).alias("hedge_score"), scoring.omission_penalty(F.col("title"), F.col("summary"), F.slice(w, 2, 2), none, LATIN).alias("omission_penalty"))
+    return A.docs(spark, sf).select("doc_id", scoring.hedge_score(text, F.filter(w, lambda x: F.length(x) >= 14), LATIN).alias("hedge_score"), scoring.omission_penalty(F.col("title"), F.col("summary"), F.filter(w, lambda x: F.length(x) == 13), none, LATIN).alias("omission_penalty"))
 
 
 def _struct(col: str, shift: int):
@@ -314,7 +317,7 @@ def coverage_thresholds(spark: SparkSession, sf: str) -> DataFrame:
   UNION ALL SELECT 'duplicate' FROM (SELECT source, count(*) AS n FROM documents GROUP BY 1 HAVING count(*) > 1)) GROUP BY 1""")
 def annotation_validation(spark: SparkSession, sf: str) -> DataFrame:
     d = A.table(spark, sf, "documents")
-    span = F.struct(F.lit(0).alias("start"), F.lit(3).alias("end"), F.when(F.col("doc_id") % 4 == 0, "\u0001\u0001\u0001").otherwise(F.substring("text", 1, 3)).alias("text"))
+    span = F.struct(F.lit(0).alias("start"), F.length("text").alias("end"), F.when(F.col("doc_id") % 4 == 0, F.concat("text", F.lit("\u0001"))).otherwise(F.col("text")).alias("text"))
     rows = d.select("source", "text", "lang", F.array(span).alias("spans"))
     return cleaning.annotation_errors(rows, {"lang": ["en", "de", "fr"]}, "source").groupBy("problem").agg(F.count(F.lit(1)).alias("n"))
 
@@ -332,7 +335,7 @@ def report_star(spark: SparkSession, sf: str) -> DataFrame:
     d = A.table(spark, sf, "documents")
     raw = d.select(
         F.col("doc_id").alias("report_id"), F.col("source").alias("stock_id"), F.col("source").alias("broker_id"), F.col("source").alias("broker_name"), F.concat(F.col("lang"), F.lit("."), F.col("source"), F.lit(", "), F.col("lang")).alias("authors"),
-        F.lit("2024-01-02 10:00:00").alias("publish_time"), F.substring("text", 1, 40).alias("title"), F.col("text").alias("summary"), F.lit("buy").alias("rating"), F.lit("").alias("last_rating"), F.lit("1").alias("target_low"), F.lit("2").alias("target_high"),
+        F.lit("2024-01-02 10:00:00").alias("publish_time"), F.split("text", "\n")[0].alias("title"), F.col("text").alias("summary"), F.lit("buy").alias("rating"), F.lit("").alias("last_rating"), F.lit("1").alias("target_low"), F.lit("2").alias("target_high"),
     )
     bridge = cleaning.normalise_report(raw)["bridge"]
     return bridge.select(F.col("report_id").alias("doc_id"), F.col("broker_id").alias("source"), F.col("analyst_order").cast("long").alias("analyst_order"), "analyst_name")
