@@ -22,9 +22,10 @@ from sparquill.llm.arrowtext import as_bytes, slices
 
 PAD = b"   "
 UNDETERMINED = "und"
-#: Documents of each language (about) that the trees are grown from, and distinct 4-byte paths they keep in all.
-DOCS_PER_LANGUAGE = 1500
-MOST_PATHS = 2_000_000
+#: Documents of each language, and bytes of their text, that the trees are grown from at most (about).
+DOCS_PER_LANGUAGE, BYTES_PER_LANGUAGE = 1500, 8 << 20
+#: Steps in which a share of documents is taken.
+SHARES = 1 << 40
 
 
 def _grams(raw: np.ndarray, off: np.ndarray, a: int, b: int) -> tuple[np.ndarray, np.ndarray]:
@@ -181,29 +182,24 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n.astype(np.int64))], ["key", "n"])
 
 
-def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", docs_per_language: int = DOCS_PER_LANGUAGE) -> ContextTrees:
+def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", docs_per_language: int = DOCS_PER_LANGUAGE, bytes_per_language: int = BYTES_PER_LANGUAGE) -> ContextTrees:
     """Grow the trees from about docs_per_language labelled documents of each language.
 
-    The sample is bounded: a language's documents are taken whole where the hash of their text is below the share that
-    gives this number. Where more than MOST_PATHS paths are distinct, the rarest counts go.
+    The sample is bounded: a language's documents are taken whole where the hash of their text is below the share that gives
+    this number, or less where that would be more than about bytes_per_language of text; so the paths are bounded too, and
+    all of them are kept.
     """
     rows = labelled.select(F.col(text).alias("text"), F.col(lang).alias("lang")).where("text is not null and lang is not null")
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    sizes = {r["lang"]: (r["n"], r["b"]) for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("b")).collect()}
     languages = sorted(sizes)
     if not languages:
         return grow([], np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0))
     index = F.element_at(F.create_map(*[F.lit(x) for i, k in enumerate(languages) for x in (k, i)]), F.col("lang"))
-    share = F.element_at(F.create_map(*[F.lit(x) for k in languages for x in (k, min(1.0, docs_per_language / sizes[k]))]), F.col("lang"))
-    picked = rows.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < share * 1_000_000)
+    share = F.element_at(F.create_map(*[F.lit(x) for k in languages for x in (k, min(1.0, docs_per_language / sizes[k][0], bytes_per_language / max(1, sizes[k][1])))]), F.col("lang"))
+    picked = rows.where(F.pmod(F.xxhash64("text"), F.lit(SHARES)) < share * SHARES)
     counted = picked.select(index.alias("i"), F.lower("text").alias("text")).mapInArrow(_count, "key long, n long")
     counted = counted.groupBy("key").agg(F.sum("n").alias("n"))
-    frame, least = None, 1
-    while frame is None:
-        wanted = counted.where(F.col("n") >= least)
-        got = wanted.limit(MOST_PATHS + 1).toPandas()
-        if len(got) <= MOST_PATHS:
-            frame = got
-        least += 1
+    frame = counted.toPandas()
     key = frame["key"].to_numpy(np.int64)
     return grow(languages, (key & 0xFFFFFFFF).astype(np.uint32), key >> 32, frame["n"].to_numpy(np.float64))
 
