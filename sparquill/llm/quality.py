@@ -217,7 +217,7 @@ def score_quality(documents: DataFrame, id_col: str = "doc_id", text_col: str =
     soft = dict(zip(patterns.tolist(), posterior.tolist(), strict=True))
 
     share = min(1.0, sample / max(1.0, counts.sum()))
-    picked = documents.select(text.alias("text")).where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < share * 1_000_000)
+    picked = documents.select(text.alias("text")).where(F.pmod(F.xxhash64("text"), F.lit(1 << 40)) < share * (1 << 40))
     # a text that makes up a large part of the corpus is trained on once
     got = picked.dropDuplicates(["text"]).mapInArrow(_features, "pattern int, dense binary, buckets binary, shares binary").collect()
     scorer = train([(soft.get(r["pattern"], 0.5), np.frombuffer(r["dense"]), np.frombuffer(r["buckets"], np.uint16), np.frombuffer(r["shares"], np.float32)) for r in got])
