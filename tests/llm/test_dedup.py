@@ -311,6 +311,98 @@ def test_mix(spark):
         mixing.BROADCAST_SOURCES = few
 
 
+def test_edit_distances():
+    """Bands of every width against the table of distances, and bounds that never exceed it."""
+    import pyarrow as pa
+
+    from sparquill.llm import editdist
+    from sparquill.llm.arrowtext import as_bytes
+
+    rnd, texts = random.Random(1), []
+    for i in range(300):
+        letters = "ab" if i % 3 == 0 else "abcdefghijklmnop \u00e9\u8fd9"
+        x = [rnd.choice(letters) for _ in range(rnd.choice([0, 1, 2, 10, 60, 130, 200]))]
+        y = list(x)
+        for _ in range(rnd.choice([0, 1, 2, 5, 10, 20, 40])):
+            y.insert(rnd.randrange(len(y) + 1), rnd.choice(letters))
+            if rnd.random() < 0.5:
+                y.pop(rnd.randrange(len(y)))
+        texts += ["".join(x), "".join(y)]
+    sym, off = editdist.characters(*as_bytes(pa.array(texts)))
+    a = np.arange(0, len(texts), 2)
+    want = np.array([edit(texts[i], texts[i + 1]) for i in a])
+    for words in (1, 2, 4):
+        assert (editdist.band_distance(sym, off, a, a + 1, words) == np.minimum(want, 32 * words)).all()
+    assert (editdist.least_edits(sym, off, a, a + 1) <= want).all()
+    for i in a[:50]:
+        x, y = ("".join(map(chr, m)) for m in editdist.middles(sym, off, i, i + 1))
+        assert edit(x, y) == want[i // 2]
+
+
+def test_lines_of_heavy_buckets_and_tiles(spark):
+    """The ways of heavy buckets and of buckets in parts give the same lines."""
+    from sparquill.llm import lines
+
+    rnd = random.Random(3)
+    base = [f"w{rnd.randrange(900)}" for _ in range(40)]
+    rows = []
+    for i in range(90):
+        w = list(base)
+        for _ in range(rnd.randint(0, 6)):
+            w[rnd.randrange(40)] = f"z{rnd.randrange(10**4)}"
+        rows.append((i, " ".join(w)))
+    first = {r.doc_id for r in lines.drop_repeated_lines(frame(spark, rows)).where("lines_dropped > 0").collect()}
+    was, (lines.SHARE, lines.SEEN, lines.TILE) = (lines.SHARE, lines.SEEN, lines.TILE), (1, 20, 7)
+    try:
+        again = {r.doc_id for r in lines.drop_repeated_lines(frame(spark, rows)).where("lines_dropped > 0").collect()}
+    finally:
+        lines.SHARE, lines.SEEN, lines.TILE = was
+    assert first == again and len(first) > 10
+
+
+def test_lines_with_clashing_columns(spark):
+    from sparquill.llm.lines import drop_repeated_lines
+
+    text = "one line of quite enough words\n" * 2 + "x" * 30_000
+    df = spark.createDataFrame([(1, text, 1, 2, 3, 4), (1, text, 1, 2, 3, 4), (None, "one line of quite enough words", 1, 2, 3, 4)], "doc_id long, text string, _uid int, masks int, id int, n int")
+    got = drop_repeated_lines(df).collect()
+    assert got[0].asDict().keys() == {*df.columns, "lines_dropped"} and sorted(r.lines_dropped for r in got) == [0, 2, 2] and all(r.n == 4 for r in got)
+
+
+def test_pipeline_stages(spark, tiny):
+    """Each stage against a plain version on planted copies, repeated lines, texts without letters, nulls and extra columns."""
+    import corpus_pipeline
+
+    rnd = random.Random(9)
+    common = "the and that with from this which have were been their would there could about after before because however between".split()
+    words_of = lambda n: " ".join(rnd.choice(common) + rnd.choice(["", "s", "ing", "ed"]) for _ in range(n))
+    notice = "this notice stands in many documents and must be seen once only"
+    rows = [(i, f"{words_of(60)}.\n{words_of(30)}.", "s1" if i % 3 else "s2") for i in range(40)]
+    rows[5] = (5, f"{rows[5][1]}\n{notice}", "s1")
+    rows[7] = (7, f"{rows[7][1]}\n{notice}", "s2")
+    changed = rows[11][1].split(" ")
+    changed[3], changed[40] = "zebra", "yellow"
+    rows += [(100, " ".join(changed), "s1"), (101, None, "s1"), (102, "", "s2"), (103, "12345 !!", "s1"), (104, notice, "s1")]
+    docs = frame(spark, rows)
+    real = spark.read.parquet(f"{tiny}/documents.parquet")
+    english = corpus_pipeline.language(spark, docs.unionByName(real), tiny)
+    kept = {r.doc_id for r in english.where("source in ('s1', 's2')").collect()}
+    assert kept and not kept & {101, 102, 103}  # without a letter: undetermined
+    found = {r.doc_id: r.text for r in corpus_pipeline.repeated_lines(spark, docs, tiny).collect()}
+    text = {r[0]: r[1] for r in rows}
+    assert found[5] == text[5] and found[7] == text[7].removesuffix("\n" + notice) and 104 not in found and found[101] is None and found[102] == ""
+    copies = [(i, t) for i, t, _ in rows] + [(200, text[20].upper()), (201, text[20] + " more")]
+    sets = {i: shingles(t) for i, t in copies}
+    links = [(a, b) for a, b in combinations(sets, 2) if sets[a] and sets[b] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    want = classes(links, sets)
+    near = corpus_pipeline.near_copies(spark, frame(spark, copies), tiny)
+    assert sorted(r.doc_id for r in near.collect()) == sorted(i for i in sets if want[i] == i) and near.columns == docs.columns
+    tokens = {r.doc_id: r.n_tokens for r in corpus_pipeline.tokens(spark, docs, tiny).collect()}
+    assert tokens[101] == tokens[102] == 0 and min(tokens[i] for i in range(40)) > 90
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), tiny).count() == 0
+
+
 def test_pipeline(spark, tiny):
     import corpus_pipeline
 
