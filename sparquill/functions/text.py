@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import html
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -18,7 +20,7 @@ def normalize(text: Column) -> Column:
 
 
 def strip_tags(text: Column) -> Column:
-    """The commonest entities decoded, tags dropped, then normalised."""
+    """The commonest entities decoded, tags dropped, then normalised; without Python. all_entities() decodes the others."""
     out = F.coalesce(text, F.lit(""))
     # fixed values: entities
     for name, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
@@ -26,6 +28,16 @@ def strip_tags(text: Column) -> Column:
     return normalize(F.regexp_replace(out, "<[^>]+>", ""))
 
 
+def all_entities(text: Column) -> Column:
+    """Every named and numeric character reference of HTML decoded, in Arrow batches."""
+
+    @F.pandas_udf("string")
+    def decode(x: pd.Series) -> pd.Series:
+        return x.map(html.unescape, na_action="ignore")
+
+    return decode(text)
+
+
 def inline(text: Column) -> Column:
     """strip_tags on one line."""
     return F.trim(F.regexp_replace(strip_tags(text), r"\n+", " "))

@@ -23,8 +23,10 @@ def last_by(rows: DataFrame, key: str, order: str) -> DataFrame:
     return rows.groupBy(key).agg(F.max_by(F.struct(*own), F.col(order)).alias("_x")).select(key, "_x.*")
 
 
-def matched(pred: DataFrame, gold: DataFrame, field: str, key: str = "report_id") -> DataFrame:
-    """(key, gold, pred) of ids that both have, where gold is labelled."""
+def matched(pred: DataFrame, gold: DataFrame, field: str, key: str = "report_id", order: str | None = None) -> DataFrame:
+    """(key, gold, pred) of ids that both have, where gold is labelled. With order, of a gold id that repeats the last row counts."""
+    if order is not None:
+        gold = last_by(gold, key, order)
     g = gold.select(key, F.col(field).alias("gold")).where("gold is not null")
     return pred.select(key, F.col(field).alias("pred")).join(g, key)
 

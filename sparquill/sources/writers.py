@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SPLITS = ("train", "dev", "test")
@@ -33,6 +33,28 @@ def write_snapshot(prices: DataFrame, status: DataFrame, path: str) -> None:
     status.where(~F.col("status").isin(*DONE)).write.mode("overwrite").parquet(f"{path}/missing")
 
 
+def digests(spark: SparkSession, *paths: str) -> DataFrame:
+    """(path, bytes, sha256) of files, for a record of where results come from. Each file is one value, so it is for inputs of up to 2 GB."""
+    files = spark.read.format("binaryFile").load(list(paths))
+    return files.select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+
+
+def write_locked(df: DataFrame, path: str, force: bool = False) -> None:
+    """A result that is written once: a second write fails unless it is forced."""
+    where = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+    if not force and where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).exists(where):
+        raise FileExistsError(f"{path} is locked")
+    df.write.mode("overwrite" if force else "errorifexists").parquet(path)
+
+
+def freeze(rows: DataFrame, problems: DataFrame, path: str) -> None:
+    """Publish annotations that have no problem (rows of cleaning.annotation_errors); else fail and name the first kinds."""
+    found = problems.groupBy("problem").agg(F.count(F.lit(1)).alias("n")).orderBy("problem").limit(10).collect()
+    if found:
+        raise ValueError("not ready: " + ", ".join(f"{r['n']} x {r['problem']}" for r in found))
+    write_locked(rows, path)
+
+
 def manifest(tables: dict[str, DataFrame], date: str, key: str) -> str:
     """Row counts, date ranges and distinct keys of tables as JSON; each table is one aggregate."""
     out = {}

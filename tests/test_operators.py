@@ -170,3 +170,45 @@ def test_stream(spark, tmp_path):
     schema = spark.createDataFrame([], "id string, n int").schema
     ingest.upsert_stream(ingest.report_stream(spark, str(tmp_path / "in"), schema), str(tmp_path / "t"), str(tmp_path / "c"), "id", "n").awaitTermination()
     assert {r.id: r.n for r in spark.read.parquet(str(tmp_path / "t" / "v0")).collect()} == {"a": 2, "b": 1}
+
+
+def test_bootstrap_is_that_of_plain_python(spark):
+    import random
+
+    values = [0.1, -0.2, 0.05, 0.3, 0.0, -0.1, 0.2]
+    df = spark.createDataFrame([("s", f"d{i}", v) for i, v in enumerate(values)], "signal string, trade_date string, ic double")
+    r = portfolio.bootstrap_ci(df, "signal", "trade_date", "ic", resamples=200).first()
+    rng = random.Random(42)
+    means = sorted(sum(values[rng.randrange(7)] for _ in range(7)) / 7 for _ in range(200))
+    assert (r.ci_lower, r.ci_upper) == (round(means[5], 6), round(means[195], 6))
+
+
+def test_replies_and_predictions(spark):
+    from sparquill.operators import lifecycle
+
+    replies = ["```json\n{\"a\": 1}\n```", "{a: {b: 2}, c: 3} and }", "none", None, "x {\"a\": 1} y {\"b\": 2}"]
+    got = [r.j for r in spark.createDataFrame([(i, x) for i, x in enumerate(replies)], "i int, x string").orderBy("i").select(lifecycle.json_of_reply(F.col("x")).alias("j")).collect()]
+    assert [x and json.loads(x) for x in got] == [{"a": 1}, {"a": {"b": 2}, "c": 3}, None, None, {"a": 1}]
+    row = spark.createDataFrame([(" HIGH", None, "x", "nan", [("t", None), ("", "l")])], "strategic_optimism string, fundamental_sentiment string, phenomenon string, uncertainty string, evidence_spans array<struct<text string, label string>>")
+    r = lifecycle.known_prediction(row).first()
+    assert (r.strategic_optimism, r.fundamental_sentiment, r.phenomenon, r.uncertainty) == ("high", "neutral", "none", 0.5) and [tuple(x) for x in r.evidence_spans] == [("t", "unknown")]
+
+
+def test_last_gold_counts(spark):
+    gold = spark.createDataFrame([("r", "a", 1), ("r", "b", 2)], "report_id string, label string, at int")
+    pred = spark.createDataFrame([("r", "b")], "report_id string, label string")
+    assert [tuple(x) for x in evaluation.matched(pred, gold, "label", order="at").collect()] == [("r", "b", "b")]
+
+
+def test_locked_writes_and_entities(spark, tmp_path):
+    df = spark.createDataFrame([(1,)], "x int")
+    path = f"file://{tmp_path}/once"
+    writers.write_locked(df, path)
+    with pytest.raises(FileExistsError):
+        writers.write_locked(df, path)
+    writers.write_locked(df, path, force=True)
+    with pytest.raises(ValueError, match="2 x span"):
+        writers.freeze(df, spark.createDataFrame([("span",), ("span",)], "problem string"), f"{path}2")
+    (tmp_path / "f.txt").write_text("abc")
+    assert writers.digests(spark, f"file://{tmp_path}/f.txt").first().sha256.startswith("ba7816bf")
+    assert one(spark, x=X.all_entities(F.lit("&eacute;&#x41;&hellip;"))).x == "\u00e9A\u2026"
