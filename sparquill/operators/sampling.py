@@ -61,7 +61,7 @@ def at_least(rows: DataFrame, label: str, key: str, each: int, total: int, skip:
     return rows.join(must, key, "left").orderBy(F.coalesce("_first", F.lit(1)), scatter(F.col(key), seed), key).limit(total).drop("_first")
 
 
-#: What a method's vote for a phenomenon adds; unknown ones add 1.
+# fixed values: what a method's vote for a phenomenon adds; unknown ones add 1
 VOTES = {"omitted_downside_context": 4.0, "euphemistic_risk": 3.0, "title_body_mismatch": 2.0, "hedged_downside": 1.5, "none": 0.0}
 
 

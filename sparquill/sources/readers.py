@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+# fixed values: the files' column names
 REPORT_COLUMNS = ("report_date", "stock_code", "company_name", "title", "summary")
+# fixed values: the files' column names
 PRICE_COLUMNS = ("stock_code", "trade_date", "open", "close", "high", "low", "volume", "amount", "amplitude", "pct_change", "change", "turnover")
 
 
