@@ -62,7 +62,8 @@ def merge_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def folded(rows: pa.Table) -> pa.Table:
         first = np.flatnonzero(np.concatenate([[True], ~_same_as_before(rows)]))
         size = np.add.reduceat(rows["group_size"].to_numpy(), first)
-        return rows.take(pa.array(first)).set_column(rows.schema.get_field_index("group_size"), "group_size", pa.array(size))
+        place = rows.schema.get_field_index("group_size")
+        return rows.take(pa.array(first)).set_column(place, rows.schema.field(place), pa.array(size))
 
     for batch in batches:
         if not batch.num_rows:
