@@ -274,6 +274,20 @@ def test_runs_are_sorted_and_merged_in_order(spark):
     assert [(r["digest"], r["keep_id"], r["group_size"]) for r in got] == [(b"a", 9, 7), (b"b", 7, 2)] and KEY
 
 
+def test_exact_in_many_batches(spark):
+    """Groups that go on from one Arrow batch to the next."""
+    from sparquill.llm.exact import exact_groups
+
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    was = spark.conf.get(name)
+    spark.conf.set(name, "3")
+    try:
+        got = exact_groups(frame(spark, [(i, f"t{i % 5}") for i in range(100)])).collect()
+    finally:
+        spark.conf.set(name, was)
+    assert sorted((r.doc_id, r.keep_id, r.group_size) for r in got) == [(i, 95 + i % 5, 20) for i in range(100)]
+
+
 def test_exact_with_clashing_columns(spark):
     from sparquill.llm.exact import exact_groups
 
