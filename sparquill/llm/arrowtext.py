@@ -32,6 +32,44 @@ def slices(off: np.ndarray, most: int = SLICE) -> Iterator[tuple[int, int]]:
         start = end
 
 
+def inside_table(outside: bytes) -> np.ndarray:
+    """Of each byte whether it belongs to a run; bytes from 128 on always do."""
+    table = np.ones(256, bool)
+    table[list(outside)] = False
+    return table
+
+
+def lowered(raw: np.ndarray) -> np.ndarray:
+    """A copy with A-Z in lower case."""
+    out = raw.copy()
+    out[(raw - np.uint8(65)) < 26] |= 32
+    return out
+
+
+def _eights(raw: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on, as one number (zeros beyond the end)."""
+    padded = np.concatenate([raw, np.zeros(8, np.uint8)])
+    return np.ndarray((len(raw) + 1,), "<u8", padded, strides=(1,))
+
+
+def same_runs(raw: np.ndarray, first: np.ndarray, other: np.ndarray, at: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Of each run of raw whether its bytes are those of other from at on."""
+    same = np.ones(len(first), bool)
+    left, right = _eights(raw), _eights(other)
+    rest = np.flatnonzero(length <= 64)
+    for step in range(0, 64, 8):
+        if not len(rest):
+            break
+        n = np.minimum(length[rest] - step, 8)
+        mask = np.where(n > 0, np.uint64(0xFFFFFFFFFFFFFFFF) >> ((8 - np.maximum(n, 1)) * 8).astype(np.uint64), np.uint64(0))
+        same[rest] &= ((left[first[rest] + step] ^ right[at[rest] + step]) & mask) == 0
+        rest = rest[length[rest] > step + 8]
+    for i in np.flatnonzero(length > 64).tolist():
+        a, b, n = int(first[i]), int(at[i]), int(length[i])
+        same[i] = raw[a : a + n].tobytes() == other[b : b + n].tobytes()
+    return same
+
+
 _BASE = 0x9E3779B97F4A7C15
 _BLOCK = 1 << 19
 _TABLES: dict[str, np.ndarray] = {}
@@ -55,11 +93,31 @@ def _powers() -> tuple[np.ndarray, np.ndarray]:
     return _TABLES["up"], _TABLES["down"]
 
 
+def _end_of_run(raw: np.ndarray, at: int, stop: int, inside: np.ndarray) -> int:
+    while at < stop:
+        out = ~inside[raw[at : min(stop, at + _BLOCK)]]
+        if out.any():
+            return at + int(out.argmax())
+        at = min(stop, at + _BLOCK)
+    return stop
+
+
+def _long_hash(raw: np.ndarray, start: int, end: int) -> np.uint64:
+    """The hash that word_hashes() gives a run, block by block."""
+    up, _ = _powers()
+    total = 0
+    for at in range(start, end, _BLOCK):
+        part = raw[at : min(end, at + _BLOCK)].astype(np.uint64) + np.uint64(1)
+        with np.errstate(over="ignore"):
+            total += int((part * up[: len(part)]).sum()) * pow(_BASE, at - start, 1 << 64)
+    return mix(np.array([total % (1 << 64)], np.uint64))[0]
+
+
 def word_hashes(raw: np.ndarray, off: np.ndarray, a: int, b: int, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Runs of bytes for which the table inside holds, in rows a..b: (64-bit hash, first byte, length) of each, in order.
 
     A run's hash is a polynomial over its bytes, taken from running sums, so all of a block's runs come at once; a row's
-    end ends a run. Blocks are cut between runs (a run longer than a block is cut, at the same places of its own).
+    end ends a run. Blocks are cut between runs; a run longer than a block is hashed on its own.
     """
     up, down = _powers()
     hashes, firsts, lengths = [], [], []
@@ -70,11 +128,18 @@ def word_hashes(raw: np.ndarray, off: np.ndarray, a: int, b: int, inside: np.nda
         if end < stop:
             tail = ~inside[raw[start:end]]
             back = int(tail[::-1].argmax())
+            k = int(np.searchsorted(edges, end, "right")) - 1
             if tail[end - start - 1 - back]:
                 end -= back
-            else:  # one run fills the block: only a row's end may cut it
-                k = int(np.searchsorted(edges, end, "right")) - 1
-                end = int(edges[k]) if edges[k] > start else end
+            elif edges[k] > start:
+                end = int(edges[k])
+            else:  # one run fills the block
+                end = _end_of_run(raw, end, int(edges[k + 1]), inside)
+                hashes.append(np.array([_long_hash(raw, start, end)]))
+                firsts.append(np.array([start]))
+                lengths.append(np.array([end - start]))
+                start = end
+                continue
         part = raw[start:end]
         word = np.zeros(len(part) + 2, bool)
         word[1:-1] = inside[part]
