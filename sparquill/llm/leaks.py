@@ -17,7 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -158,21 +158,16 @@ def _scan(docs: DataFrame, rows: DataFrame) -> DataFrame:
 def _merged(found: DataFrame) -> DataFrame:
     """number, n_words, spans, items of several passes -> one row a number: overlapping and touching spans are one."""
     spans = found.select("number", F.inline("spans"))
-    before = F.max("word_to").over(_in_order().rowsBetween(-(1 << 62), -1))
+    in_order = Window.partitionBy("number").orderBy("word_from", "word_to")
+    before = F.max("word_to").over(in_order.rowsBetween(Window.unboundedPreceding, -1))
     spans = spans.withColumn("new", F.when(before >= F.col("word_from"), 0).otherwise(1))
-    spans = spans.withColumn("island", F.sum("new").over(_in_order().rowsBetween(-(1 << 62), 0)))
+    spans = spans.withColumn("island", F.sum("new").over(in_order.rowsBetween(Window.unboundedPreceding, 0)))
     spans = spans.groupBy("number", "island").agg(F.min("word_from").alias("word_from"), F.max("word_to").alias("word_to"), F.min("byte_from").alias("byte_from"), F.max("byte_to").alias("byte_to"))
     spans = spans.groupBy("number").agg(F.array_sort(F.collect_list(F.struct("word_from", "word_to", "byte_from", "byte_to"))).alias("spans"))
     items = found.groupBy("number").agg(F.max("n_words").alias("n_words"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
     return items.join(spans, "number", "left").select("number", "n_words", F.coalesce("spans", F.expr(f"cast(array() as array<{SPAN}>)")).alias("spans"), "items")
 
 
-def _in_order():
-    from pyspark.sql import Window
-
-    return Window.partitionBy("number").orderBy("word_from", "word_to")
-
-
 def _looked_up(docs: DataFrame, benchmark: DataFrame, window: int, item_col: str, item_text_col: str, slice_bytes: int) -> DataFrame:
     """docs (text first) -> the other columns, n_words, spans, items."""
     grams = materialize(windows(benchmark, window, item_col, item_text_col), "leak_windows")
