@@ -3,16 +3,18 @@
 Documents become shards once: of one language, a dictionary of words and the words' numbers, pieces apart. Over a shard
 stands a generalised suffix automaton of bounded depth: a state is a set of phrases that end at just the same places,
 with their number (endpos), and its suffix link leads to the longest suffix that ends at more places. It is built by
-sorting, a level of phrase lengths at a time, and its states, not their phrases, leave the task; Spark enumerates a
-state's phrases as the suffixes of its longest one and adds up their counts over all shards.
+sorting, a level of phrase lengths at a time; a state's phrases are the suffixes of its longest one.
 
 No phrase is frequent unless all its words are, and all its pairs of neighbours. So words are counted first, then pairs of
-frequent words, then phrases of three and more whose pairs are all frequent. What is frequent gets to the shards as a
-bitmap of fixed size over hashes; where it lets too much pass, the exact count that follows decides.
+frequent words, then phrases of three and more whose pairs are all frequent. These rounds count hashes of 48 bits, packed
+into arrays, a row for each shard and range of hashes; what reaches the least count becomes a bitmap of fixed size. A last
+round counts the phrases themselves, of those that the bitmaps let pass: where different phrases share a hash, they only
+pass in vain. All exchanges are by hash of the phrase, so a frequent one is no more than an entry of each shard.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -24,10 +26,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparquill.llm.arrowtext import SLICE, as_bytes, inside_table, lowered, mix, same_runs, slices, word_hashes
-from sparquill.plans.stage import materialize
+from sparquill.plans.stage import materialize, release
 
 #: Words of a shard (a document's piece more at most). Bits of a filter: at most FILTER_BITS / 64 rows get to the driver.
-SHARD_WORDS, FILTER_BITS = 2_000_000, 1 << 24
+SHARD_WORDS, FILTER_BITS = 500_000, 1 << 26
+#: Words of the corpus for each range of hashes, and entries that a task holds before it adds them up.
+RANGE_WORDS, HELD = 4_000_000, 2_000_000
 #: What parts pieces; beside it, space and tab part words.
 PIECE_ENDS = b".,;:!?\n\x0b\x0c\r"
 INSIDE = inside_table(PIECE_ENDS + b" \t")
@@ -86,7 +90,7 @@ class _Buffer:
 
 def _parts(raw: np.ndarray, off: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(lower-cased bytes, edges of their texts), slice by slice; a text longer than a slice comes in several, cut between pieces."""
-    for a, b in slices(off):
+    for a, b in slices(off, SLICE):
         start, stop = int(off[a]), int(off[b])
         if b - a > 1 or stop - start <= SLICE:
             yield lowered(raw[start:stop]), off[a : b + 1] - start
@@ -128,23 +132,35 @@ def shards(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", shar
     return rows.mapInArrow(build, "lang string, words array<string>, counts array<bigint>, codes binary")
 
 
-def _seed(lang: str) -> np.uint64:
-    return mix(np.array([zlib.crc32(lang.encode())], np.uint64))[0]
+def _hashes(words: pa.Array, lang: str) -> np.ndarray:
+    """A hash of each word of a shard by its number; that of 0 is not used."""
+    raw, off = as_bytes(words)
+    seed = mix(np.array([zlib.crc32(lang.encode())], np.uint64))
+    with np.errstate(over="ignore"):
+        return np.concatenate([np.zeros(1, np.uint64), mix(word_hashes(raw, off, 0, len(off) - 1, INSIDE)[0] + seed)])
+
+
+def _bucket(h: np.ndarray, codes: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
+    """48 bits of a hash of the phrase of k words at each place."""
+    out = h[codes[at]]
+    with np.errstate(over="ignore"):
+        for j in range(1, k):
+            out = mix(out * np.uint64(0x9E3779B97F4A7C15) + h[codes[at + j]])
+    return (out >> np.uint64(16)).astype(np.int64)
 
 
 class FrequentFilter:
-    """A bitmap of fixed size over hashes of what is frequent."""
+    """A bitmap of fixed size over the buckets (column bucket) of what is frequent."""
 
-    def __init__(self, hashes: DataFrame, bits: int = FILTER_BITS):
-        """hashes: one column, hash."""
-        bit = F.pmod(F.col("hash"), F.lit(bits))
-        rows = hashes.select(bit.alias("bit")).groupBy(F.expr("bit div 64").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 as int))")).alias("mask")).toArrow()
+    def __init__(self, buckets: DataFrame, bits: int = FILTER_BITS):
+        bit = F.pmod(F.col("bucket"), F.lit(bits)).alias("bit")
+        rows = buckets.select(bit).groupBy(F.expr("bit div 64").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 as int))")).alias("mask")).toArrow()
         self.bits = bits
         self.map = np.zeros(bits // 64, np.int64)
         self.map[rows["word"].to_numpy()] = rows["mask"].to_numpy()
 
-    def has(self, hashes: np.ndarray) -> np.ndarray:
-        bit = hashes.astype(np.int64) % self.bits
+    def has(self, bucket: np.ndarray) -> np.ndarray:
+        bit = bucket % self.bits
         return (self.map[bit >> 6] >> (bit & 63)) & 1 == 1
 
 
@@ -175,6 +191,13 @@ class Automaton:
             number = np.zeros(len(codes), np.int64)
             number[at] = own
 
+    def phrases(self, low: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """All phrases of low words and more, state by state: (words, where they first stand, count)."""
+        for k, at, least, count in self.states(low):
+            for m in range(k, low - 1, -1):
+                own = least <= m
+                yield m, at[own] + k - m, count[own]
+
     def states(self, low: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
         """For each length from low on: (words of the longest phrases, where they stand, words of their states' shortest
         that is not below low, count)."""
@@ -193,12 +216,16 @@ class Automaton:
             yield k, self.first[k][own], least, self.count[k][own]
 
 
-def _starts(codes: np.ndarray, words_ok: np.ndarray, high: int, pairs_ok: np.ndarray | None) -> dict[int, np.ndarray]:
-    """Places of phrases of 2..high words whose words, and neighbours where given, are all allowed."""
+def _starts(codes: np.ndarray, words_ok: np.ndarray, high: int, h: np.ndarray | None = None, pairs: FrequentFilter | None = None) -> dict[int, np.ndarray]:
+    """Places of phrases of 2..high words of which every word, and every pair of neighbours where a filter is given, is allowed."""
     ok = words_ok[codes]
     ok[codes == 0] = False
-    run = ok[:-1] & ok[1:] if pairs_ok is None else pairs_ok  # pairs that may stand in a phrase
+    run = ok[:-1] & ok[1:]
     out, at = {}, np.flatnonzero(run)
+    if pairs is not None:
+        at = at[pairs.has(_bucket(h, codes, at, 2))]
+        run = np.zeros(len(run), bool)
+        run[at] = True
     for k in range(2, high + 1):
         if k > 2:
             at = at[at + k - 2 < len(run)]
@@ -207,91 +234,171 @@ def _starts(codes: np.ndarray, words_ok: np.ndarray, high: int, pairs_ok: np.nda
     return out
 
 
-def _joined(words: pa.Array, codes: np.ndarray, at: np.ndarray, k: int) -> pa.Array:
-    parts = [words.take(pa.array(codes[at + j].astype(np.int64) - 1)) for j in range(k)]
-    return pc.binary_join_element_wise(*parts, " ")
+def _each_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, pa.Array, np.ndarray, np.ndarray]]:
+    """(lang, words, counts, codes) of each row."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            lang, words, counts = batch.column(0)[i].as_py(), batch.column(1)[i].values, batch.column(2)[i].values.to_numpy()
+            yield lang, words, counts, np.frombuffer(batch.column(3)[i].as_py(), "<i4").astype(np.int64)
+
 
+def _planes(x: np.ndarray, n: int) -> bytes:
+    """Numbers as their lowest bytes, then their second ones and so on: what is mostly zero stands together."""
+    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :n].T).tobytes()
 
-def count_phrases(table: DataFrame, low: int, high: int, words_ok: FrequentFilter, pairs_ok: FrequentFilter | None = None) -> DataFrame:
-    """lang, phrase, words, hash (of pairs), n: phrases of low..high words of which the filters allow every part."""
+
+def _of_planes(data: bytes, n: int) -> np.ndarray:
+    planes = np.frombuffer(data, np.uint8).reshape(n, -1)
+    out = np.zeros((planes.shape[1], 8), np.uint8)
+    out[:, :n] = planes.T
+    return out.view("<u8")[:, 0].astype(np.int64)
+
+
+def _parts_by_range(bucket: np.ndarray, ranges: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(order by range and bucket, the ranges met, the end of each within the order)."""
+    of = bucket % ranges
+    order = np.lexsort((bucket, of))
+    met, start = np.unique(of[order], return_index=True)
+    return order, met, np.append(start[1:], len(order))
+
+
+def frequent_buckets(table: DataFrame, low: int, high: int, least: int, ranges: int, words_ok: FrequentFilter | None = None, pairs_ok: FrequentFilter | None = None) -> DataFrame:
+    """bucket: hashes of phrases of low..high words that stand, those which share it taken together, at least so often."""
     shared = table.sparkSession.sparkContext.broadcast((words_ok, pairs_ok))
 
-    def states(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def added(bucket: list[np.ndarray], times: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        own, number = np.unique(np.concatenate(bucket), return_inverse=True)
+        return own, np.bincount(number, np.concatenate(times), len(own)).astype(np.int64)
+
+    def packed_parts(bucket: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        order, met, ends = _parts_by_range(bucket, ranges)
+        bucket, n = bucket[order], n[order]
+        cut = list(zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)) if len(met) else []
+        return pa.RecordBatch.from_arrays(
+            [pa.array(met), pa.array([_planes(np.diff(bucket[a:b], prepend=0), 6) for a, b in cut], pa.binary()), pa.array([_planes(n[a:b], 4) for a, b in cut], pa.binary())], names=["range", "buckets", "times"]
+        )
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row for each range of what some shards hold, which a task adds up while they are few."""
         good_words, good_pairs = shared.value
+        buckets: list[np.ndarray] = []
+        times: list[np.ndarray] = []
+        for lang, words, counts, codes in _each_shard(batches):
+            h = _hashes(words, lang)
+            if high == 1:
+                buckets.append(_bucket(h, np.arange(len(h)), np.arange(1, len(h)), 1))
+                times.append(counts)
+            else:
+                ok = good_words.has(_bucket(h, np.arange(len(h)), np.arange(len(h)), 1))
+                automaton = Automaton(codes, _starts(codes, ok, high, h, good_pairs), len(words))
+                for k, at, n in automaton.phrases(low):
+                    buckets.append(_bucket(h, codes, at, k))
+                    times.append(n)
+            if sum(map(len, times)) > HELD:
+                yield packed_parts(*added(buckets, times))
+                buckets, times = [], []
+        if times:
+            yield packed_parts(*added(buckets, times))
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket, times, held = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
         for batch in batches:
-            for i in range(batch.num_rows):
-                lang, words = batch.column(0)[i].as_py(), batch.column(1)[i].values
-                codes = np.frombuffer(batch.column(2)[i].as_py(), "<i4").astype(np.int64)
-                raw, off = as_bytes(words)
-                with np.errstate(over="ignore"):
-                    h = np.concatenate([np.zeros(1, np.uint64), string_hashes(raw, off) + _seed(lang)])
-                ok = good_words.has(h)
-                pairs = None
-                if good_pairs is not None:
-                    pairs = ok[codes[:-1]] & ok[codes[1:]] & (codes[:-1] > 0) & (codes[1:] > 0)
-                    at = np.flatnonzero(pairs)
-                    pairs[at] = good_pairs.has(pair_hashes(h[codes[at]], h[codes[at + 1]]))
-                automaton = Automaton(codes, _starts(codes, ok, high, pairs), len(words))
-                for k, at, least, count in automaton.states(low):
-                    pair = pair_hashes(h[codes[at]], h[codes[at + 1]]) if k == 2 else np.zeros(len(at), np.uint64)
-                    for a in range(0, len(at), 100_000):
-                        cut = slice(a, a + 100_000)
-                        yield pa.RecordBatch.from_arrays(
-                            [
-                                pa.array([lang]).take(pa.array(np.zeros(len(at[cut]), np.int64))), _joined(words, codes, at[cut], k), pa.array(np.full(len(at[cut]), k, np.int32)),
-                                pa.array(least[cut].astype(np.int32)), pa.array(pair[cut].view(np.int64)), pa.array(count[cut].astype(np.int64)),
-                            ],
-                            names=["lang", "longest", "most", "least", "hash", "n"],
-                        )
-
-    found = table.select("lang", "words", "codes").mapInArrow(states, "lang string, longest string, most int, least int, hash bigint, n bigint")
-    if low < high:  # the phrases of a state are suffixes of its longest
-        found = found.withColumn("words", F.explode(F.sequence("least", "most"))).withColumn("phrase", F.expr("substring_index(longest, ' ', -words)"))
-    else:
-        found = found.withColumn("words", F.col("most")).withColumn("phrase", F.col("longest"))
-    return found.groupBy("lang", "phrase").agg(F.first("words").alias("words"), F.first("hash").alias("hash"), F.sum("n").alias("n"))
-
-
-def string_hashes(raw: np.ndarray, off: np.ndarray) -> np.ndarray:
-    """A hash of each string: of its words' bytes alone (shards hold words)."""
-    return word_hashes(raw, off, 0, len(off) - 1, INSIDE)[0]
-
-
-def pair_hashes(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        return mix(left * np.uint64(0x9E3779B97F4A7C15) + right)
+            for a, b in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                bucket.append(np.cumsum(_of_planes(a, 6)))
+                times.append(_of_planes(b, 4))
+                held += len(times[-1])
+                if held > max(HELD, 2 * len(bucket[0])):
+                    own, total = added(bucket, times)
+                    bucket, times, held = [own], [total], len(own)
+        own, total = added(bucket, times)
+        yield pa.RecordBatch.from_arrays([pa.array(own[total >= least])], names=["bucket"])
+
+    packed = table.select("lang", "words", "counts", "codes").mapInArrow(count, "range bigint, buckets binary, times binary")
+    return packed.repartition(ranges, "range").select("range", "buckets", "times").mapInArrow(add, "bucket bigint")
+
+
+def _joined(words: pa.Array, codes: np.ndarray, at: np.ndarray, k: int) -> pa.Array:
+    parts = [words.take(pa.array(codes[at + j] - 1)) for j in range(k)]
+    return pc.binary_join_element_wise(*parts, " ") if k > 1 else parts[0]
+
+
+COLUMNS = ["lang", "phrase", "words", "bucket", "n"]
+
 
+def count_phrases(table: DataFrame, longest: int, least: int, ranges: int, words_ok: FrequentFilter, pairs_ok: FrequentFilter, more_ok: FrequentFilter | None) -> DataFrame:
+    """lang, phrase, words, a: phrases of at most longest words that stand at least so often, counted as they are."""
+    shared = table.sparkSession.sparkContext.broadcast((words_ok, pairs_ok, more_ok))
 
-def _word_counts(table: DataFrame) -> DataFrame:
-    """lang, phrase (one word), hash, n."""
+    def added(held: list[pa.Table]) -> pa.Table:
+        rows = pa.concat_tables(held).group_by(["lang", "phrase"]).aggregate([("words", "min"), ("bucket", "min"), ("n", "sum")])
+        return rows.select(["lang", "phrase", "words_min", "bucket_min", "n_sum"]).rename_columns(COLUMNS)
+
+    def packed_parts(rows: pa.Table) -> pa.RecordBatch:
+        order, met, ends = _parts_by_range(rows["bucket"].to_numpy(), ranges)
+        edges = pa.array(np.append(0, ends).astype(np.int32)) if len(met) else pa.array([0], pa.int32())
+        rows = rows.take(pa.array(order)).combine_chunks()
+        lists = [pa.ListArray.from_arrays(edges, pa.concat_arrays(rows[c].chunks) if rows.num_rows else pa.array([], rows[c].type)) for c in COLUMNS]
+        return pa.RecordBatch.from_arrays([pa.array(met), *lists], names=["range", *COLUMNS])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        good_words, good_pairs, good_more = shared.value
+        held: list[pa.Table] = []
+        for lang, words, counts, codes in _each_shard(batches):
+            h = _hashes(words, lang)
+            numbers = np.arange(len(h))
+            ok = good_words.has(_bucket(h, numbers, numbers, 1))
+            ok[0] = False
+            own = np.flatnonzero(ok)
+            found = [(_joined(words, numbers, own, 1), np.full(len(own), 1), _bucket(h, numbers, own, 1), counts[own - 1])]
+            automaton = Automaton(codes, _starts(codes, ok, longest, h, good_pairs), len(words))
+            for k, at, times in automaton.phrases(2):
+                bucket = _bucket(h, codes, at, k)
+                keep = (good_pairs if k == 2 else good_more).has(bucket)
+                found.append((_joined(words, codes, at[keep], k), np.full(int(keep.sum()), k), bucket[keep], times[keep]))
+            k, bucket, n = (np.concatenate([x[i] for x in found]).astype(np.int64) for i in (1, 2, 3))
+            names = pa.array([lang]).take(pa.array(np.zeros(len(k), np.int64)))
+            held.append(pa.table([names, pa.concat_arrays([x[0] for x in found]), pa.array(k.astype(np.int32)), pa.array(bucket), pa.array(n)], names=COLUMNS))
+            if sum(x.num_rows for x in held) > HELD // 4:
+                yield packed_parts(added(held))
+                held = []
+        if held:
+            yield packed_parts(added(held))
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []
+        n = kept = 0
         for batch in batches:
-            for i in range(batch.num_rows):
-                lang, words = batch.column(0)[i].as_py(), batch.column(1)[i].values
-                with np.errstate(over="ignore"):
-                    h = string_hashes(*as_bytes(words)) + _seed(lang)
-                names = pa.array([lang]).take(pa.array(np.zeros(len(words), np.int64)))
-                yield pa.RecordBatch.from_arrays([names, words, pa.array(h.view(np.int64)), batch.column(2)[i].values], names=["lang", "phrase", "hash", "n"])
+            held.append(pa.table([pc.list_flatten(batch.column(i)) for i in range(1, 6)], names=COLUMNS))
+            n += held[-1].num_rows
+            if n > max(HELD, 2 * kept):
+                held = [added(held)]
+                n = kept = held[0].num_rows
+        if held:
+            rows = added(held)
+            yield from rows.filter(pc.greater_equal(rows["n"], least)).select(["lang", "phrase", "words", "n"]).rename_columns(["lang", "phrase", "words", "a"]).combine_chunks().to_batches()
 
-    rows = table.select("lang", "words", "counts").mapInArrow(count, "lang string, phrase string, hash bigint, n bigint")
-    return rows.groupBy("lang", "phrase").agg(F.first("hash").alias("hash"), F.sum("n").alias("n"))
+    lists = "lang array<string>, phrase array<string>, words array<int>, bucket array<bigint>, n array<bigint>"
+    packed = table.select("lang", "words", "counts", "codes").mapInArrow(count, f"range bigint, {lists}")
+    return packed.repartition(ranges, "range").mapInArrow(add, "lang string, phrase string, words int, a bigint")
 
 
 def frequent_phrases(table: DataFrame, longest: int = 5, least_count: int = 100) -> tuple[DataFrame, DataFrame]:
     """(lang, phrase, words, a) of all phrases of at most so many words that stand at least so often, and (lang, n)."""
-    words = materialize(_word_counts(table), "phrase_words")
-    totals = words.groupBy("lang").agg(F.sum("n").alias("n"))
-    words = words.where(F.col("n") >= least_count)
-    good_words = FrequentFilter(words)
-    pairs = materialize(count_phrases(table, 2, 2, good_words).where(F.col("n") >= least_count), "phrase_pairs")
-    found = [words.withColumn("words", F.lit(1)), pairs]
-    if longest > 2:
-        found.append(count_phrases(table, 3, longest, good_words, FrequentFilter(pairs)).where(F.col("n") >= least_count))
-    out = found[0].select("lang", "phrase", "words", F.col("n").alias("a"))
-    for more in found[1:]:
-        out = out.union(more.select("lang", "phrase", "words", F.col("n").alias("a")))
-    return materialize(out, "phrase_frequent"), totals
+    total = F.aggregate("counts", F.lit(0).cast("long"), lambda s, x: s + x)
+    totals = materialize(table.groupBy("lang").agg(F.sum(total).alias("n")), "phrase_totals")
+    partitions = int(table.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranges = max(partitions, math.ceil((totals.agg(F.sum("n")).first()[0] or 0) / RANGE_WORDS))
+
+    def filter_of(low: int, high: int, *before: FrequentFilter) -> FrequentFilter:
+        buckets = materialize(frequent_buckets(table, low, high, least_count, ranges, *before), "phrase_buckets")
+        made = FrequentFilter(buckets)
+        release(buckets)
+        return made
+
+    words = filter_of(1, 1)
+    pairs = filter_of(2, 2, words)
+    more = filter_of(3, longest, words, pairs) if longest > 2 else None
+    return materialize(count_phrases(table, longest, least_count, ranges, words, pairs, more), "phrase_frequent"), totals
 
 
 def _exact(c: str) -> Column:
@@ -340,6 +447,7 @@ def collocations(
     """
     table = materialize(shards(docs, text_col, lang_col, shard_words), "phrase_shards")
     frequent, totals = frequent_phrases(table, longest, least_count)
+    release(table)
     rows = not_subsumed(best_cuts(frequent, totals), frequent, subsumed_percent)
     order = (F.desc("score"), F.desc("a"), F.asc("phrase"))
     rows = rows.withColumn("salt", F.pmod(F.hash("phrase"), F.lit(64)))
