@@ -275,7 +275,7 @@ def test_automaton_states():
     """States are sets of end places: their phrases, the suffixes of the longest, have just its count."""
     rng = random.Random(1)
     codes = np.array([0 if rng.random() < 0.1 else rng.randrange(1, 5) for _ in range(400)])
-    starts = phrases._starts(codes, np.ones(6, bool), 5, None)
+    starts = phrases._starts(codes, np.ones(6, bool), 5)
     seen = Counter()
     for k in range(2, 6):
         for i in range(len(codes) - k + 1):
