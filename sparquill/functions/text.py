@@ -44,9 +44,9 @@ def inline(text: Column) -> Column:
 
 
 def stock_code(raw: Column) -> Column:
-    """Digits only, padded on the left to six, never cut."""
+    """Digits only, padded on the left to six, never cut; empty where there are none."""
     digits = F.regexp_replace(F.coalesce(raw.cast("string"), F.lit("")), r"\D", "")
-    return F.when(F.length(digits) < 6, F.lpad(digits, 6, "0")).otherwise(digits)
+    return F.when(F.length(digits).between(1, 5), F.lpad(digits, 6, "0")).otherwise(digits)
 
 
 def report_id(*parts: Column, length: int = 16) -> Column:

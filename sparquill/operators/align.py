@@ -41,12 +41,18 @@ def asof_forward(reports: DataFrame, context: DataFrame, policy: str = "next_clo
     return reports.join(rows, ["stock_code", "report_date"])
 
 
-def tradable(flags: Sequence[str] = ("is_st", "is_pt", "is_suspended", "limit_state"), columns: Sequence[str] = (), least_days: int = 120) -> Column:
-    """Rows of the universe: none of the flags that the table has is set, and enough days of trading came before."""
+# fixed values: what sets a flag of the universe
+_SET = ("1", "true", "yes")
+_AT_LIMIT = ("limit_up", "limit_down", "up", "down")
+
+
+def tradable(columns: Sequence[str] = (), least_days: int = 120, st: bool = True, pt: bool = True, suspended: bool = True, limits: bool = True) -> Column:
+    """Rows of the universe: enough days of trading came before, and, of the flags that the table has and that are asked
+    for, none is set: special treatment, about to be delisted, suspended, closed at a price limit."""
     out = F.coalesce(F.col("entry_index") >= least_days, F.lit(False))
-    for f in flags:
-        if f in columns:
-            out = out & ~F.lower(F.coalesce(F.col(f).cast("string"), F.lit(""))).isin("1", "true", "yes")
+    for asked, flag, values in ((st, "is_st", _SET), (pt, "is_pt", _SET), (suspended, "is_suspended", _SET), (limits, "limit_state", _AT_LIMIT)):
+        if asked and flag in columns:
+            out = out & ~F.lower(F.coalesce(F.col(flag).cast("string"), F.lit(""))).isin(*values)
     return out
 
 

@@ -1,4 +1,4 @@
-"""Runs and their inputs: replies as JSON, predictions brought to one form, resuming, splits, queues, ablation checks."""
+"""Runs and their inputs: predictions brought to one form, resuming, splits, queues, ablation checks."""
 
 from __future__ import annotations
 
@@ -6,7 +6,9 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from sparquill.functions import text as T
 from sparquill.operators.evaluation import ratio
 
 # fixed values: the labels of each field and what stands for one that is missing or unknown
@@ -21,21 +23,6 @@ MOST_SPANS = 15
 FAILED = ("failed", "missing")
 
 
-def json_of_reply(reply: Column) -> Column:
-    """The JSON object in a model's reply, as text; null where there is none.
-
-    What a fenced block holds, else from the first brace on; keys without quotes get them; the object ends at the first
-    closing brace with which it can be parsed.
-    """
-    fenced = F.regexp_extract(reply, r"(?s)```(?:json)?\s*(.*?)```", 1)
-    body = F.when(fenced != "", fenced).otherwise(reply)
-    begin = F.regexp_extract(body, r"(?s)(\{.*\})", 1)
-    quoted = F.regexp_replace(begin, r"([{,]\s*)([A-Za-z_][A-Za-z0-9_]*)(\s*:)", '$1"$2"$3')
-    pieces = F.split(quoted, r"\}")
-    ends = F.filter(F.sequence(F.lit(1), F.size(pieces) - 1), lambda n: F.try_parse_json(F.concat(F.array_join(F.slice(pieces, F.lit(1), n), "}"), F.lit("}"))).isNotNull())
-    return F.when(begin != "", F.when(F.size(ends) > 0, F.concat(F.array_join(F.slice(pieces, F.lit(1), ends[0]), "}"), F.lit("}"))))
-
-
 def known_label(raw: Column, field: str) -> Column:
     """Trimmed and lower-cased; what is not a label of the field is its default."""
     x = F.lower(F.trim(raw))
@@ -64,7 +51,7 @@ def unprocessed(rows: DataFrame, done: DataFrame, key: str) -> DataFrame:
 
 
 def to_retry(requests: DataFrame, states: DataFrame, key: str, order: str, failed: Sequence[str] = FAILED) -> DataFrame:
-    """Requests whose last state is among failed, with their place in the order of requests."""
+    """Requests whose last state is among failed, with that status. Tables have no order: sort by what numbers the requests."""
     last = states.groupBy(key).agg(F.max_by("status", order).alias("status")).where(F.col("status").isin(*failed))
     return requests.join(last, key)
 
@@ -83,6 +70,13 @@ def with_split(rows: DataFrame, test: DataFrame, dev: DataFrame, key: str) -> Da
     return joined.withColumn("split", split).drop("__test", "__dev")
 
 
+def ids_digest(key: Column) -> list[Column]:
+    """Aggregates n, ids_xor, ids_sum: equal sets of ids have equal ones, whatever their order; nothing is gathered."""
+    digest = F.md5(key.cast("string"))
+    part = lambda n: F.conv(F.substring(digest, 1, n), 16, 10).cast("long")
+    return [F.count(F.lit(1)).alias("n"), F.bit_xor(part(15)).alias("ids_xor"), F.sum(part(8)).alias("ids_sum")]
+
+
 def best_gold(pred: DataFrame, golds: Mapping[str, DataFrame], key: str) -> DataFrame:
     """One row: name and overlap of the gold table that shares most ids with pred; of equals the first named."""
     ids = pred.select(key).distinct()
@@ -135,17 +129,61 @@ def cost_table(events: DataFrame, price_in: float = 0.001, price_out: float = 0.
     return events.select(kind.alias("stage"), "input_tokens", "output_tokens").groupBy("stage").agg(*totals)
 
 
-def experiment_master(raw: DataFrame, key: str, order: str) -> DataFrame:
-    """raw with status: why a row goes (deleted, missing_date, missing_key, duplicate) or 'packaged'; and summary, the body
-    where it is blank, report_date, split by year. Of rows that repeat a key the first that has all is packaged."""
-    day = F.try_to_date(F.regexp_replace(F.substring("publish_time", 1, 10), "/", "-"))
-    reason = F.when(F.trim(F.col("is_deleted")) == "1", "deleted").when(day.isNull(), "missing_date").when(F.coalesce(F.col(key), F.lit("")) == "", "missing_key")
-    summary = F.when(F.trim(F.coalesce("summary", F.lit(""))) != "", F.col("summary")).otherwise(F.coalesce("body", F.lit("")))
-    split = F.when(F.year("report_date") <= 2024, "train").when(F.year("report_date") == 2025, "dev").otherwise("test")
-    rows = raw.withColumns({"report_date": day, "status": reason, "summary": summary})
-    first = rows.where("status is null").groupBy(key).agg(F.min(order).alias("__first"))
-    rows = rows.join(first, key, "left").withColumn("status", F.coalesce("status", F.when(F.col(order) == F.col("__first"), "packaged").otherwise("duplicate")))
-    return rows.withColumn("split", F.when(F.col("status") == "packaged", split)).drop("__first")
+# fixed values: the last year of training, and the years of the others
+TRAIN_UNTIL, DEV_YEAR, TEST_YEAR = 2024, 2025, 2026
+_TEXTS = ("company_name", "broker_name", "analyst_name", "title", "body_raw", "risk_section_raw", "rating", "industry")
+_TRIMMED = ("broker_id", "analyst_id", "target_price", "source_url", "version_hash")
+
+
+def split_of_year(year: Column, train_until: int = TRAIN_UNTIL, dev: int = DEV_YEAR, test: int = TEST_YEAR) -> Column:
+    """The split that has the year; null where none has."""
+    return F.when(year <= train_until, "train").when(year == dev, "dev").when(year == test, "test")
+
+
+def experiment_master(raw: DataFrame, order: str, split: Column | None = None) -> DataFrame:
+    """Master rows brought to one form, with status: why a row goes (deleted, missing_date, missing_key, duplicate) or
+    'packaged', and the split of its year (or as the expression split over report_date, a date as text, says).
+
+    raw: report_id, publish_time, stock_id, stock_name, title, summary, body_raw, is_deleted as text, of the others in
+    _TEXTS and _TRIMMED those that it has, and order, a number of the row. Texts are normalised, a blank summary is the
+    body, a missing id is built from date, stock, title and summary; a row without a stock, or without title and
+    summary, has no key. Of rows that share an id the first in order is packaged; of those that tie there, one.
+    A date that is none, or a year that no split has, is an error once such a row would be packaged.
+    """
+    text = lambda c: F.trim(F.coalesce(F.col(c), F.lit("")))
+    rows = raw.withColumn("company_name", F.col("stock_name"))
+    rows = rows.withColumns({c: T.normalize(F.coalesce(F.col(c), F.lit(""))) for c in (*_TEXTS, "summary") if c in rows.columns})
+    rows = rows.withColumns({c: text(c) for c in _TRIMMED if c in rows.columns})
+    rows = rows.withColumn("summary", F.when(F.col("summary") != "", F.col("summary")).otherwise(F.col("body_raw")))
+    day = F.regexp_replace(F.substring(text("publish_time"), 1, 10), "/", "-")
+    rows = rows.withColumns({"report_date": day, "is_deleted": text("is_deleted"), "stock_code": T.stock_code(F.coalesce("stock_id", F.lit("")))})
+    built = T.report_id(F.col("report_date"), F.col("stock_code"), F.col("title"), F.col("summary"))
+    rows = rows.withColumn("report_id", F.when(text("report_id") != "", text("report_id")).otherwise(built))
+    no_key = (F.col("stock_code") == "") | ((F.col("title") == "") & (F.col("summary") == ""))
+    rows = rows.withColumn("status", F.when(F.col("is_deleted") == "1", "deleted").when(F.col("report_date") == "", "missing_date").when(no_key, "missing_key"))
+    first = rows.where("status is null").groupBy("report_id").agg(F.min(order).alias("__first"))
+    tie = F.row_number().over(Window.partitionBy("report_id", order, F.col("status").isNull()).orderBy(F.xxhash64("title", "summary", "publish_time")))
+    rows = rows.withColumn("__tie", tie).join(first, "report_id", "left")
+    rows = rows.withColumn("status", F.coalesce("status", F.when((F.col(order) == F.col("__first")) & (F.col("__tie") == 1), "packaged").otherwise("duplicate")))
+    date = F.try_to_date("report_date", "yyyy-MM-dd")
+    split = split_of_year(F.year(date)) if split is None else split
+    error = lambda what: F.raise_error(F.concat(F.lit(f"{what}: "), "report_date")).cast("string")
+    split = F.when(date.isNull(), error("no date")).when(split.isNull(), error("no split for the year of")).otherwise(split)
+    combined = F.concat_ws("\n", F.nullif(F.col("title"), F.lit("")), F.nullif(F.col("summary"), F.lit("")))
+    rows = rows.withColumns({"split": F.when(F.col("status") == "packaged", split), "report_year": F.year(date), "combined_text": combined})
+    return rows.drop("__first", "__tie", "stock_name", "stock_id")
+
+
+def master_counts(master: DataFrame) -> DataFrame:
+    """One row about experiment_master()'s result: rows by status and by split, range of dates, stocks and companies packaged."""
+    packaged = F.col("status") == "packaged"
+    when = lambda c: F.when(packaged, F.col(c))
+    counts = [F.count(F.when(F.col("status") == s, 1)).alias(s) for s in ("packaged", "deleted", "missing_date", "missing_key", "duplicate")]
+    splits = [F.count(F.when(F.col("split") == s, 1)).alias(s) for s in ("train", "dev", "test")]
+    return master.agg(
+        F.count(F.lit(1)).alias("rows"), *counts, *splits, F.min(when("report_date")).alias("first_date"), F.max(when("report_date")).alias("last_date"),
+        F.countDistinct(when("stock_code")).alias("stocks"), F.countDistinct(when("company_name")).alias("companies"),
+    )
 
 
 def queue_summary(queue: DataFrame) -> DataFrame:

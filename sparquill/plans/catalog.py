@@ -248,24 +248,6 @@ def diagnostics(spark: SparkSession, sf: str) -> DataFrame:
     return portfolio.diagnostics(_days(spark, sf))
 
 
-GRID = [(a, b) for a in (0.5, 1.0, 1.5, 2.0) for b in (0.0, 0.25, 0.5, 0.75, 1.0)]
-
-
-@query("signal_grid", "WITH " + A.ctes("v_predictions") + ",\n" + CTX + ",\n" + aligned_sql() + ",\n" + SIGNED + ", grid AS (SELECT * FROM (VALUES " + ", ".join(f"({a}::DOUBLE, {b}::DOUBLE)" for a, b in GRID) + """) t(alpha, beta)),
-d AS (SELECT alpha, beta, trade_date, stock_code, CAST(round(CAST(sum(weight * round(alpha * body_only - beta * strategic_optimism_gap, 6)) / sum(weight) AS DECIMAL(30, 12)), 6) AS DOUBLE) AS value, any_value(forward_return_20) AS fr FROM signed, grid WHERE weight > 0 GROUP BY 1, 2, 3, 4),
-r AS (SELECT alpha, beta, trade_date, rank() OVER (PARTITION BY alpha, beta, trade_date ORDER BY value) + (count(*) OVER (PARTITION BY alpha, beta, trade_date, value) - 1) / 2.0 AS x,
-  rank() OVER (PARTITION BY alpha, beta, trade_date ORDER BY fr) + (count(*) OVER (PARTITION BY alpha, beta, trade_date, fr) - 1) / 2.0 AS y FROM d WHERE fr IS NOT NULL),
-c AS (SELECT alpha, beta, trade_date, round(covar_pop(x, y) / sqrt(var_pop(x) * var_pop(y)), 6) AS ic FROM r GROUP BY 1, 2, 3 HAVING count(*) >= 2 AND var_pop(x) > 0 AND var_pop(y) > 0)
-SELECT alpha, beta, count(*) AS dates, round(avg(ic), 6) AS mean_ic FROM c GROUP BY 1, 2""")
-def signal_grid(spark: SparkSession, sf: str) -> DataFrame:
-    """All settings of the grid in one job: the setting is one more group column."""
-    grid = F.broadcast(spark.createDataFrame(GRID, "alpha double, beta double"))
-    each = _signed(spark, sf).crossJoin(grid).withColumn("value", F.round(F.col("alpha") * F.col("body_only") - F.col("beta") * F.col("strategic_optimism_gap"), 6))
-    days = signals.stock_days(each, ("value",), ("forward_return_20",), ("alpha", "beta")).withColumnRenamed("forward_return_20", "forward_return")
-    ic = portfolio.rank_ic(days, ["alpha", "beta", "trade_date"])
-    return ic.groupBy("alpha", "beta").agg(F.count(F.lit(1)).alias("dates"), F.round(F.avg("ic"), 6).alias("mean_ic"))
-
-
 # ---------------------------------------------------------------- text and lexicons
 
 _LEX = ("positive", "negative", "optimistic", "hedges")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sparquill.operators import align, evaluation, lifecycle, portfolio, sampling, signals
+from sparquill.operators import align, evaluation, lifecycle, portfolio, replies, sampling, signals
 from sparquill.plans import adapters as A
 from sparquill.plans import catalog as C
 from sparquill.plans.catalog import LATIN, query, sql_hits
@@ -37,27 +37,29 @@ def ic_by_horizon(spark: SparkSession, sf: str) -> DataFrame:
 # fixed values: the settings searched
 ALPHAS, BETAS, GAMMAS = (0.6, 0.8, 1.0, 1.2), (0.2, 0.4, 0.6, 0.8, 1.0), (0.0, 0.1, 0.2, 0.4)
 CELLS = [(f"{a}/{b}/{g}", a, b, g) for a in ALPHAS for b in BETAS for g in GAMMAS]
-_PARTS = "sum(weight * body_only) AS s, sum(weight * strategic_optimism_gap) AS g, sum(weight * uncertainty) AS u, sum(weight) AS w"
+_PARTS = "sum(weight * body_only) AS s, sum(weight * coalesce(strategic_optimism_gap, 0.0)) AS g, sum(weight * coalesce(uncertainty, 0.5)) AS u, sum(weight) AS w"
 
 
 @query("weight_grid", "WITH " + A.ctes("v_predictions") + ",\n" + C.CTX + ",\n" + C.aligned_sql() + ",\n" + C.SIGNED + ", cells AS (SELECT * FROM (VALUES " + ", ".join(f"('{n}', {a}::DOUBLE, {b}::DOUBLE, {g}::DOUBLE)" for n, a, b, g in CELLS) + f""") t(cell, alpha, beta, gamma)),
 parts AS (SELECT trade_date, stock_code, any_value(volatility) AS volatility, {', '.join(f'any_value({r}) AS {r}' for r in C.RETURNS)}, {_PARTS} FROM signed WHERE weight > 0 GROUP BY 1, 2),
-long_ AS (SELECT trade_date, stock_code, volatility, {', '.join(C.RETURNS)}, cell AS signal, CAST(round(CAST((alpha * s - (beta + 0.15) * g - gamma * u) / w AS DECIMAL(30, 12)), 6) AS DOUBLE) AS value FROM parts, cells),
+long_ AS (SELECT trade_date, stock_code, volatility, {', '.join(C.RETURNS)}, cell AS signal, CAST(round(CAST(((0.75 * alpha + 0.25) * s - (0.75 * beta + 0.15) * g - 0.75 * gamma * u) / w AS DECIMAL(30, 12)), 6) AS DOUBLE) AS value FROM parts, cells),
 """ + C.NORM + ",\n" + C.IC + ",\n" + C.LS + f""",
 m AS (SELECT signal, round(avg(ic), 6) AS mean_ic FROM ic GROUP BY 1),
 p AS (SELECT signal, round(coalesce(avg(turnover), 0.0), 6) AS turnover, {C.sharpe_sql('gross_return')} AS sharpe FROM ls GROUP BY 1)
 SELECT alpha, beta, gamma, mean_ic, sharpe, turnover, round(0.15 * mean_ic + 0.15 * sharpe, 6) AS proxy, row_number() OVER (ORDER BY round(0.15 * mean_ic + 0.15 * sharpe, 6) DESC, sharpe DESC, mean_ic DESC, alpha, beta, gamma) AS place
 FROM m JOIN p USING (signal) JOIN cells ON cell = signal""")
 def weight_grid(spark: SparkSession, sf: str) -> DataFrame:
-    """All settings in one job, ranked. The score is linear in its parts and inputs have few decimals, so stock-days are
-    summed before they meet the grid."""
+    """All settings in one job, ranked. A setting's composite is alpha * sentiment - beta * gap - gamma * uncertainty, and its
+    signal 0.75 * composite + 0.25 * sentiment - 0.15 * gap, which is linear in the parts: stock-days are summed before they
+    meet the grid. (Rounding of each report's composite to 6 digits changes nothing where the parts have at most 3.)"""
     signed = C._signed(spark, sf).where("weight > 0")
     total = lambda c, name: F.sum(F.col("weight") * F.col(c)).alias(name)
+    signed = signed.withColumns({"strategic_optimism_gap": F.coalesce("strategic_optimism_gap", F.lit(0.0)), "uncertainty": F.coalesce("uncertainty", F.lit(0.5))})
     parts = signed.groupBy("trade_date", "stock_code").agg(
         *[F.first(c).alias(c) for c in ("volatility", *C.RETURNS)], total("body_only", "s"), total("strategic_optimism_gap", "g"), total("uncertainty", "u"), F.sum("weight").alias("w")
     )
     cells = spark.createDataFrame(CELLS, "signal string, alpha double, beta double, gamma double")
-    value = (F.col("alpha") * F.col("s") - (F.col("beta") + 0.15) * F.col("g") - F.col("gamma") * F.col("u")) / F.col("w")
+    value = ((0.75 * F.col("alpha") + 0.25) * F.col("s") - (0.75 * F.col("beta") + 0.15) * F.col("g") - 0.75 * F.col("gamma") * F.col("u")) / F.col("w")
     each = parts.crossJoin(F.broadcast(cells)).select("trade_date", "stock_code", "volatility", F.col("forward_return_20").alias("forward_return"), "signal", F.round(value.cast("decimal(30,12)"), 6).cast("double").alias("value"))
     norm = signals.normalise(each)
     ic = portfolio.rank_ic(norm, ["trade_date", "signal"]).groupBy("signal").agg(F.round(F.avg("ic"), 6).alias("mean_ic"))
@@ -68,10 +70,12 @@ def weight_grid(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("tradable_reports", "WITH " + A.ctes("v_predictions") + ",\n" + C.CTX + ",\n" + C.aligned_sql() + """
-SELECT report_id, trade_date FROM aligned WHERE entry_index >= 120 AND l_orderkey % 11 <> 0 AND l_orderkey % 13 <> 0""")
+SELECT report_id, trade_date FROM aligned WHERE entry_index >= 120 AND l_orderkey % 11 <> 0 AND l_orderkey % 13 <> 0 AND l_orderkey % 17 <> 0 AND l_orderkey % 19 NOT IN (1, 2, 3, 4)""")
 def tradable_reports(spark: SparkSession, sf: str) -> DataFrame:
-    """Reports of stocks that are neither under special treatment nor about to be delisted."""
-    p = A.predictions(spark, sf).withColumns({"is_st": F.when(F.col("l_orderkey") % 11 == 0, "True").otherwise("0"), "is_pt": F.when(F.col("l_orderkey") % 13 == 0, "yes")})
+    """Reports of stocks that are neither under special treatment, about to be delisted, suspended, nor at a price limit."""
+    k = F.col("l_orderkey")
+    limit = F.element_at(F.array(*[F.lit(x) for x in ("", "limit_up", "LIMIT_DOWN", "up", "Down", "true", "1")]), F.least(k % 19 + 1, F.lit(7)).cast("int"))
+    p = A.predictions(spark, sf).withColumns({"is_st": F.when(k % 11 == 0, "True").otherwise("0"), "is_pt": F.when(k % 13 == 0, "yes"), "is_suspended": (k % 17 == 0), "limit_state": limit})
     rows = align.asof_forward(p, C._context(spark, sf), "next_close")
     return rows.where(align.tradable(columns=rows.columns)).select("report_id", "trade_date")
 
@@ -81,14 +85,22 @@ def tradable_reports(spark: SparkSession, sf: str) -> DataFrame:
 _K = "CAST(json_extract_string(props, '$.k') AS BIGINT)"
 
 
-@query("reply_json", f"SELECT event_id, CASE WHEN event_id % 5 <> 4 THEN {_K} END AS k, event_id % 5 <> 4 AS found FROM events")
+@query("reply_json", f"""SELECT event_id, CASE WHEN event_id % 11 < 8 THEN {_K} END AS k, event_id % 11 < 9 AS found,
+  CASE event_id % 11 WHEN 4 THEN 'growth, risk: high' WHEN 5 THEN '{{b: 1}}' WHEN 6 THEN '}} "{{ ' || chr(92) WHEN 7 THEN 'x' END AS a FROM events""")
 def reply_json(spark: SparkSession, sf: str) -> DataFrame:
-    """Replies in a fence, without quotes, with words around them, plain, and without an object."""
-    kind, props = F.pmod("event_id", F.lit(5)), F.col("props")
-    bare = F.regexp_replace(props, '"', "")
-    reply = F.when(kind == 0, F.concat(F.lit("Here:\n```json\n"), props, F.lit("\n```\nDone."))).when(kind == 1, bare).when(kind == 2, F.concat(F.lit("so it is "), props, F.lit(" and not {that}"))).when(kind == 3, props).otherwise("no object")
-    found = A.table(spark, sf, "events").select("event_id", lifecycle.json_of_reply(reply).alias("json"))
-    return found.select("event_id", F.get_json_object("json", "$.k").cast("long").alias("k"), F.col("json").isNotNull().alias("found"))
+    """Replies in a fence, with bare keys, with words around them, plain, with commas, colons, braces and quotes in strings,
+    behind a fence without an object, as a number, and broken."""
+    kind, k = F.pmod("event_id", F.lit(11)), F.col("k")
+    say = lambda form: F.format_string(form, k)
+    plain = say('{"k": %d}')
+    reply = (
+        F.when(kind == 0, F.concat(F.lit("Here:\n```json\n"), plain, F.lit("\n```\nDone."))).when(kind == 1, say("{k: %d, other key : null}")).when(kind == 2, F.concat(F.lit("so it is "), plain, F.lit(" and not {that}")))
+        .when(kind == 3, plain).when(kind == 4, say('{"a": "growth, risk: high", "k": %d}')).when(kind == 5, say(' {"a": "{b: 1}", "k": %d}\n')).when(kind == 6, say('It is {"a": "} \\"{ \\\\", "k": %d} or {')).when(kind == 7, say('```\nno object\n```\n{"a": "x", "k": %d}'))
+        .when(kind == 8, say("%d")).when(kind == 9, say('{"k": %d')).otherwise("no object")
+    )
+    events = A.table(spark, sf, "events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"))
+    found = replies.with_json(events.select("event_id", reply.alias("reply")), "reply")
+    return found.select("event_id", F.get_json_object("json", "$.k").cast("long").alias("k"), F.col("json").isNotNull().alias("found"), F.get_json_object("json", "$.a").alias("a"))
 
 
 @query("known_predictions", """SELECT doc_id, CASE WHEN lang = 'de' THEN 'positive' WHEN lang = 'en' THEN 'negative' ELSE 'neutral' END AS fundamental_sentiment, CASE WHEN doc_id % 2 = 0 THEN 'high' ELSE 'balanced' END AS strategic_optimism,
@@ -120,18 +132,38 @@ def prompt_texts(spark: SparkSession, sf: str) -> DataFrame:
 # ---------------------------------------------------------------- inputs, resuming and splits
 
 
-@query("experiment_master", """WITH d AS (SELECT *, CASE WHEN doc_id % 17 = 0 THEN 'deleted' WHEN doc_id % 19 = 0 THEN 'missing_date' WHEN doc_id % 23 = 0 THEN 'missing_key' END AS reason, 'r' || (doc_id // 2) AS key, DATE '2023-01-01' + CAST(doc_id % 1200 AS INT) AS day FROM documents),
-s AS (SELECT *, coalesce(reason, CASE WHEN row_number() OVER (PARTITION BY key, reason IS NULL ORDER BY doc_id) = 1 THEN 'packaged' ELSE 'duplicate' END) AS status FROM d)
-SELECT doc_id, status, CASE WHEN status = 'packaged' THEN CASE WHEN year(day) <= 2024 THEN 'train' WHEN year(day) = 2025 THEN 'dev' ELSE 'test' END END AS split, CAST(length(text) AS BIGINT) AS summary_length FROM s""")
-def experiment_master(spark: SparkSession, sf: str) -> DataFrame:
-    """Two documents share a report id; blank summaries are filled from the body."""
+_MASTER = """WITH d AS (SELECT *, CASE WHEN doc_id % 17 = 0 THEN 'deleted' WHEN doc_id % 19 = 0 THEN 'missing_date' WHEN doc_id % 23 = 0 OR doc_id % 29 = 0 THEN 'missing_key' END AS reason,
+  CAST(DATE '2023-01-01' + CAST(doc_id % 1200 AS INT) AS VARCHAR) AS day, lpad(regexp_replace(source, '[^0-9]', '', 'g'), 6, '0') AS stock_code, """ + C._nt("text") + """ AS body FROM documents),
+k AS (SELECT *, CASE WHEN doc_id % 5 = 0 THEN substr(sha1(day || '||' || stock_code || '||title||' || body), 1, 16) ELSE 'r' || (doc_id // 2) END AS report_id FROM d),
+s AS (SELECT *, coalesce(reason, CASE WHEN row_number() OVER (PARTITION BY report_id, reason IS NULL ORDER BY doc_id) = 1 THEN 'packaged' ELSE 'duplicate' END) AS status FROM k)
+"""
+_SPLIT = "CASE WHEN status = 'packaged' THEN CASE WHEN day < '2025' THEN 'train' WHEN day < '2026' THEN 'dev' ELSE 'test' END END"
+
+
+def _master(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents as master rows: two share an id, some have none; blank summaries, slashes in dates, no stock, no texts."""
     k = F.col("doc_id")
     day = F.date_format(F.date_add(F.lit("2023-01-01").cast("date"), (k % 1200).cast("int")), "yyyy/MM/dd")
+    nothing = k % 29 == 0
     raw = A.table(spark, sf, "documents").select(
-        "doc_id", F.when(k % 17 == 0, " 1").otherwise("0").alias("is_deleted"), F.when(k % 19 != 0, F.concat(day, F.lit(" 10:00:00"))).otherwise("").alias("publish_time"),
-        F.when(k % 23 != 0, F.concat(F.lit("r"), F.floor(k / 2))).otherwise("").alias("report_id"), F.when(k % 2 == 0, F.col("text")).otherwise(" ").alias("summary"), F.col("text").alias("body"),
+        "doc_id", F.when(k % 17 == 0, " 1").otherwise("0").alias("is_deleted"), F.when(k % 19 != 0, F.concat(day, F.lit(" 10:00:00"))).otherwise(" ").alias("publish_time"),
+        F.when(k % 5 != 0, F.concat(F.lit("r"), F.floor(k / 2))).otherwise(" ").alias("report_id"), F.when(k % 23 != 0, F.concat("source", F.lit(".SZ"))).otherwise("").alias("stock_id"),
+        F.lit(" Some  name").alias("stock_name"), F.when(nothing, " ").otherwise("title").alias("title"), F.when(nothing, "").when(k % 2 == 0, F.col("text")).otherwise(" \t").alias("summary"), F.when(nothing, "").otherwise(F.col("text")).alias("body_raw"),
     )
-    return lifecycle.experiment_master(raw, "report_id", "doc_id").select("doc_id", "status", "split", F.length("summary").cast("long").alias("summary_length"))
+    return lifecycle.experiment_master(raw, "doc_id")
+
+
+@query("experiment_master", _MASTER + f"SELECT doc_id, status, {_SPLIT} AS split, CASE WHEN reason IS NULL THEN report_id END AS report_id, CASE WHEN reason IS NULL THEN CAST(length(body) AS BIGINT) END AS summary_length FROM s")
+def experiment_master(spark: SparkSession, sf: str) -> DataFrame:
+    stays = F.col("status").isin("packaged", "duplicate")
+    return _master(spark, sf).select("doc_id", "status", "split", F.when(stays, F.col("report_id")).alias("report_id"), F.when(stays, F.length("summary")).cast("long").alias("summary_length"))
+
+
+@query("master_counts", _MASTER + ", t AS (SELECT *, " + _SPLIT + """ AS split FROM s)
+SELECT count(*) AS rows, """ + ", ".join(f"count(*) FILTER (WHERE status = '{x}') AS {x}" for x in ("packaged", "deleted", "missing_date", "missing_key", "duplicate")) + ", " + ", ".join(f"count(*) FILTER (WHERE split = '{x}') AS {x}" for x in ("train", "dev", "test")) + """,
+  min(day) FILTER (WHERE status = 'packaged') AS first_date, max(day) FILTER (WHERE status = 'packaged') AS last_date, count(DISTINCT stock_code) FILTER (WHERE status = 'packaged') AS stocks, count(DISTINCT 'Some name') FILTER (WHERE status = 'packaged') AS companies FROM t""")
+def master_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return lifecycle.master_counts(_master(spark, sf))
 
 
 @query("unprocessed_reports", "SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')")
@@ -166,11 +198,10 @@ def split_lookup(spark: SparkSession, sf: str) -> DataFrame:
     return lifecycle.with_split(rows, labels.where("toxic = 1"), labels.where("quality = 0"), "doc_id").select("doc_id", "split")
 
 
-@query("split_ids", "WITH " + A.ctes("v_docs") + " SELECT split, count(*) AS n, md5(string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY doc_id)) AS ids_md5 FROM v_docs GROUP BY 1")
+@query("split_ids", "WITH " + A.ctes("v_docs") + " SELECT split, count(*) AS n, bit_xor(CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 15) AS BIGINT)) AS ids_xor, CAST(sum(CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 8) AS BIGINT)) AS BIGINT) AS ids_sum FROM v_docs GROUP BY 1")
 def split_ids(spark: SparkSession, sf: str) -> DataFrame:
-    """The ids of each split, as a digest of their list."""
-    ids = F.array_join(F.transform(F.array_sort(F.collect_list("doc_id")), lambda x: x.cast("string")), ",")
-    return A.docs(spark, sf).groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.md5(ids).alias("ids_md5"))
+    """The ids of each split, as a digest that does not depend on their order and needs no list of them."""
+    return A.docs(spark, sf).groupBy("split").agg(*lifecycle.ids_digest(F.col("doc_id")))
 
 
 @query("best_gold", """WITH p AS (SELECT doc_id FROM documents WHERE doc_id % 3 = 0), c AS (SELECT 'labels' AS gold, count(*) AS overlap, 1 AS place FROM p SEMI JOIN labels USING (doc_id)

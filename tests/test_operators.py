@@ -183,12 +183,9 @@ def test_bootstrap_is_that_of_plain_python(spark):
     assert (r.ci_lower, r.ci_upper) == (round(means[5], 6), round(means[195], 6))
 
 
-def test_replies_and_predictions(spark):
+def test_predictions(spark):
     from sparquill.operators import lifecycle
 
-    replies = ["```json\n{\"a\": 1}\n```", "{a: {b: 2}, c: 3} and }", "none", None, "x {\"a\": 1} y {\"b\": 2}"]
-    got = [r.j for r in spark.createDataFrame([(i, x) for i, x in enumerate(replies)], "i int, x string").orderBy("i").select(lifecycle.json_of_reply(F.col("x")).alias("j")).collect()]
-    assert [x and json.loads(x) for x in got] == [{"a": 1}, {"a": {"b": 2}, "c": 3}, None, None, {"a": 1}]
     row = spark.createDataFrame([(" HIGH", None, "x", "nan", [("t", None), ("", "l")])], "strategic_optimism string, fundamental_sentiment string, phenomenon string, uncertainty string, evidence_spans array<struct<text string, label string>>")
     r = lifecycle.known_prediction(row).first()
     assert (r.strategic_optimism, r.fundamental_sentiment, r.phenomenon, r.uncertainty) == ("high", "neutral", "none", 0.5) and [tuple(x) for x in r.evidence_spans] == [("t", "unknown")]
