@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
-from sparquill.operators.cleaning import last_by
+from sparquill.sources import keyed
+from sparquill.streaming.requests import ingest_rows
 
 
 def report_stream(spark: SparkSession, path: str, schema: StructType, files_per_batch: int = 10) -> DataFrame:
@@ -23,31 +24,7 @@ def counts_by_window(stream: DataFrame, time: str, width: str = "1 day", late: s
     return stream.withWatermark(time, late).groupBy(F.window(time, width).alias("w"), "stock_code").agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("start"), "stock_code", "n")
 
 
-def versions(spark: SparkSession, table: str) -> list[int]:
-    """The complete versions of a table that upsert_stream() writes, in order."""
-    where = spark._jvm.org.apache.hadoop.fs.Path(table)
-    files = where.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not files.exists(where):
-        return []
-    names = [x.getPath().getName() for x in files.listStatus(where)]
-    done = [n for n in names if n[:1] == "v" and n[1:].isdigit() and files.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{table}/{n}/_SUCCESS"))]
-    return sorted(int(n[1:]) for n in done)
-
-
-def upsert_stream(stream: DataFrame, table: str, checkpoint: str, key: str, order: str, keep: int = 2) -> StreamingQuery:
-    """Merge every batch into a Parquet table of versions, named by their batch; the last `keep` versions stay.
-
-    A batch merges into the latest complete version before it, so a batch that is run again, or one that was skipped,
-    does no harm. Each batch rewrites the table: it is for keyed tables that are small next to their stream.
-    """
-
-    def merge(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        before = [v for v in versions(spark, table) if v < batch_id]
-        old = spark.read.schema(batch.schema).parquet(f"{table}/v{before[-1]}") if before else batch.limit(0)
-        last_by(old.unionByName(batch), [key], [order]).write.mode("overwrite").parquet(f"{table}/v{batch_id}")
-        for v in before[: 1 - keep] if keep > 1 else before:
-            where = spark._jvm.org.apache.hadoop.fs.Path(f"{table}/v{v}")
-            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-
-    return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def upsert_stream(stream: DataFrame, table: str, checkpoint: str, key: str, order: str, parts: int = keyed.PARTS) -> StreamingQuery:
+    """Merge every batch into a keyed table (sources/keyed.py), of which it rewrites only the parts that it touches. A batch
+    that is run again does no harm."""
+    return ingest_rows(stream, table, checkpoint, [key], [order], parts)

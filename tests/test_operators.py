@@ -163,13 +163,14 @@ def test_sources_and_sinks(spark, tmp_path):
 
 
 def test_stream(spark, tmp_path):
+    from sparquill.sources import keyed
     from sparquill.streaming import ingest
 
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "1.json").write_text('{"id": "a", "n": 1}\n{"id": "a", "n": 2}\n{"id": "b", "n": 1}\n')
     schema = spark.createDataFrame([], "id string, n int").schema
     ingest.upsert_stream(ingest.report_stream(spark, str(tmp_path / "in"), schema), str(tmp_path / "t"), str(tmp_path / "c"), "id", "n").awaitTermination()
-    assert {r.id: r.n for r in spark.read.parquet(str(tmp_path / "t" / "v0")).collect()} == {"a": 2, "b": 1}
+    assert {r.id: r.n for r in keyed.read_keyed(spark, str(tmp_path / "t")).collect()} == {"a": 2, "b": 1}
 
 
 def test_bootstrap_is_that_of_plain_python(spark):
