@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import html
+import re
 from collections.abc import Sequence
 
 import pandas as pd
@@ -19,6 +20,11 @@ def normalize(text: Column) -> Column:
     return F.array_join(F.filter(lines, lambda x: x != ""), "\n")
 
 
+def strip(text: Column) -> Column:
+    """Without white space of any kind, line ends included, at either end."""
+    return F.regexp_replace(F.regexp_replace(text, r"(?U)^\s+", ""), r"(?U)\s+\z", "")
+
+
 def strip_tags(text: Column) -> Column:
     """The commonest entities decoded, tags dropped, then normalised; without Python. all_entities() decodes the others."""
     out = F.coalesce(text, F.lit(""))
@@ -91,20 +97,21 @@ def price_range(low: Column, high: Column) -> Column:
 
 def split_risk(body: Column, markers: Sequence[str]) -> tuple[Column, Column]:
     """(body before, risk section) at the first marker in order of priority, not of place, that occurs."""
-    head, tail = F.trim(body), F.lit("")
+    head, tail = strip(body), F.lit("")
     for m in reversed(markers):
         at = F.instr(body, m)
         rest = F.expr("1") * 0 + at + len(m)
-        head = F.when(at > 0, F.trim(F.substring(body, F.lit(1), at - 1))).otherwise(head)
-        tail = F.when(at > 0, F.concat(F.lit(m), F.trim(F.substring(body, rest, F.length(body))))).otherwise(tail)
+        head = F.when(at > 0, strip(F.substring(body, F.lit(1), at - 1))).otherwise(head)
+        tail = F.when(at > 0, F.concat(F.lit(m), strip(F.substring(body, rest, F.length(body))))).otherwise(tail)
     return head, tail
 
 
 def extractive_summary(body: Column, headings: Sequence[str] = (), lines: int = 3, enough: int = 180, most: int = 600) -> Column:
-    """Up to `lines` lines that are no heading, bullets stripped, stopping once `enough` characters are there."""
+    """Up to `lines` lines that are no heading, bullets stripped, stopping once `enough` characters are there. A short line
+    (8 characters) that begins with a heading is one."""
     clean = F.filter(
         F.transform(F.split(F.coalesce(body, F.lit("")), "\n"), lambda x: F.regexp_replace(F.trim(x), "^[l•●·\\- ]+", "")),
-        lambda x: (x != "") & ~x.isin(*headings) if headings else (x != ""),
+        lambda x: (x != "") & ~(x.rlike("^(?:" + "|".join(map(re.escape, headings)) + ")") & (F.length(x) <= 8) | x.isin(*headings)) if headings else (x != ""),
     )
     taken = F.aggregate(
         clean, F.array().cast("array<string>"),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -71,6 +73,72 @@ def median_of_three(a: Column, b: Column, c: Column) -> Column:
     return F.element_at(F.sort_array(F.array(a, b, c)), 2)
 
 
+# fixed values: confidences in order
+CONFIDENCE = ("low", "medium", "high")
+
+
+def clean_spans(spans: Column) -> Column:
+    """Spans' texts, trimmed, without empty ones; null has none."""
+    return F.filter(F.transform(F.coalesce(spans, F.expr("cast(array() as array<string>)")), lambda x: F.trim(x)), lambda x: x != "")
+
+
+def adjudicated(items: DataFrame, fields: Sequence[str], a: str = "a", b: str = "b", c: str | None = None) -> DataFrame:
+    """items (structs a, b and perhaps c of the fields, evidence_spans and annotation_confidence) with `resolved`, a struct.
+
+    Of three, each label is the majority's, without one the first's; of two, the first's, and what they differ in stands
+    in unresolved. A missing label is a label like any other. Spans are the ordered union of all (of two that agree, the
+    first's as they stand). Confidence is the median of three or the lower of two; what is none counts as low.
+    """
+    of = lambda who, f: F.col(f"{who}.{f}")
+
+    def label(f: str) -> Column:
+        x, y = of(a, f), of(b, f)
+        if c is None:
+            return x
+        z = of(c, f)
+        return F.when(x.eqNullSafe(y) | x.eqNullSafe(z), x).when(y.eqNullSafe(z), y).otherwise(x)
+
+    who = [a, b] if c is None else [a, b, c]
+    spans = [clean_spans(of(w, "evidence_spans")) for w in who]
+    union = F.array_distinct(F.concat(*spans))
+    if c is None:
+        union = F.when(spans[0] == spans[1], spans[0]).otherwise(union)
+    place = lambda w: F.greatest(F.array_position(F.array(*[F.lit(x) for x in CONFIDENCE]), F.coalesce(of(w, "annotation_confidence"), F.lit(""))), F.lit(1))
+    order = F.sort_array(F.array(*[place(w) for w in who]))
+    confidence = F.element_at(F.array(*[F.lit(x) for x in CONFIDENCE]), F.element_at(order, 1 if c is None else 2).cast("int"))
+    unresolved = F.array_compact(F.array(*[F.when(~of(a, f).eqNullSafe(of(b, f)), F.lit(f)) for f in fields])) if c is None else F.expr("cast(array() as array<string>)")
+    return items.withColumn("resolved", F.struct(*[label(f).alias(f) for f in fields], union.alias("evidence_spans"), confidence.alias("annotation_confidence"), unresolved.alias("unresolved")))
+
+
+def side_by_side(annotations: DataFrame, raters: Sequence, columns: Sequence[str], key: str = "item_id", order: str | None = None) -> DataFrame:
+    """annotations (key, rater, columns) -> one row for each item, a struct of columns for each rater, r0, r1, ..., null where
+    a rater has not got the item. Of rows that a rater repeats the last in order counts (one of them without an order)."""
+    own = F.struct(*columns)
+    pick = lambda r: F.max_by(F.when(F.col("rater") == r, own), F.when(F.col("rater") == r, F.col(order))) if order else F.any_value(F.when(F.col("rater") == r, own), ignoreNulls=True)
+    return annotations.where(F.col("rater").isin(*raters)).groupBy(key).agg(*[pick(r).alias(f"r{i}") for i, r in enumerate(raters)])
+
+
+def human_evaluation(evals: DataFrame, yes_no: str = "factual_preservation", scores: Sequence[str] = ("faithfulness", "tone_removal"), key: str = "report_id", order: str = "line") -> DataFrame:
+    """A row for all ('all') and one for each phenomenon: items, yes_rate of a yes/no question, and of each score n, mean, std.
+
+    evals: rater (in their order), key, order, gold_phenomenon, pred_phenomenon, and the answers as text. Of an item's rows of
+    one rater the last counts; an item's phenomenon is that of its first rater's gold, else prediction, else 'unknown'. A
+    score that is no number does not count; deviations are of the population; a rate of nothing is 0.
+    """
+    answers = [yes_no, *scores]
+    last = evals.groupBy(key, "rater").agg(F.max_by(F.struct("gold_phenomenon", "pred_phenomenon", *answers), order).alias("x")).select(key, "rater", "x.*")
+    named = F.coalesce(F.nullif(F.col("gold_phenomenon"), F.lit("")), F.nullif(F.col("pred_phenomenon"), F.lit("")), F.lit("unknown"))
+    first = last.groupBy(key).agg(F.min_by(named, "rater").alias("phenomenon"))
+    each = last.select(key, *answers).join(first, key).withColumn("scope", F.explode(F.array(F.lit("all"), "phenomenon")))
+    yes = F.count(F.when(F.lower(F.trim(yes_no)) == "yes", 1))
+    share = F.round(F.coalesce(F.try_divide(yes.cast("double"), F.count(yes_no).cast("double")), F.lit(0.0)), 4)
+    made = []
+    for s in scores:
+        x = F.col(s).try_cast("double")
+        made += [F.count(x).alias(f"{s}_n"), F.round(F.coalesce(F.avg(x), F.lit(0.0)), 4).alias(f"{s}_mean"), F.round(F.coalesce(F.stddev_pop(x), F.lit(0.0)), 4).alias(f"{s}_std")]
+    return each.groupBy("scope").agg(F.countDistinct(key).alias("items"), share.alias("yes_rate"), *made)
+
+
 def char_overlap(a_spans: Column, b_spans: Column) -> dict[str, Column]:
     """Precision, recall and F1 of the sets of characters of two annotators' spans; both empty give 1."""
     a, b = char_tokens(a_spans), char_tokens(b_spans)

@@ -138,3 +138,34 @@ def joint_objective(metrics: dict[str, Column], weights: dict[str, float]) -> Co
     for name, w in weights.items():
         out = out + F.coalesce(metrics[name], F.lit(0.0)) * w
     return F.round(out, 6)
+
+
+# fixed values: the weights of the joint objective
+OBJECTIVE = {"strategic_f1": 0.35, "phenomenon_f1": 0.20, "evidence_f1": 0.10, "mean_rank_ic_20": 0.15, "ls_sharpe_20": 0.15, "ece": -0.15}
+COMPARED = ("strategic_f1", "evidence_f1", "ece", "mean_rank_ic_20", "ls_sharpe_20", "turnover")
+
+
+def table_digests(rows: DataFrame, by: str) -> DataFrame:
+    """For each setting a digest of its rows that does not depend on their order: n, rows_xor, rows_sum."""
+    own = sorted(c for c in rows.columns if c != by)
+    digest = F.md5(F.to_json(F.struct(*own), {"ignoreNullFields": "false"}))
+    part = lambda n: F.conv(F.substring(digest, 1, n), 16, 10).cast("long")
+    return rows.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.bit_xor(part(15)).alias("rows_xor"), F.sum(part(8)).alias("rows_sum"))
+
+
+def registry(metrics: DataFrame, digests: DataFrame, full: str, weights: dict[str, float] = OBJECTIVE) -> DataFrame:
+    """metrics (setting, and the metrics; missing ones null) with composite_j and same_as_full: whether a setting's table has
+    the digest of the full one's. A setting without a table is not the same."""
+    named = digests.select("setting", F.struct("n", "rows_xor", "rows_sum").alias("digest"))
+    whole = digests.where(F.col("setting") == full).select(F.struct("n", "rows_xor", "rows_sum").alias("__full"))  # one row
+    j = joint_objective({m: F.col(m) for m in weights}, weights)
+    out = metrics.join(named, "setting", "left").join(whole, F.lit(True), "left")
+    same = F.coalesce(F.col("digest") == F.col("__full"), F.lit(False)) & (F.col("setting") != full)
+    return out.select(*metrics.columns, j.alias("composite_j"), F.col("digest").isNotNull().alias("has_table"), same.alias("same_as_full"))
+
+
+def equal_metrics(metrics: DataFrame, fields: Sequence[str] = COMPARED) -> DataFrame:
+    """(field, value, settings, n) of each value of a metric that several settings share; a missing metric is a value too."""
+    each = metrics.select("setting", F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("double").alias("value")) for f in fields])).alias("x")).select("setting", "x.*")
+    groups = each.groupBy("field", "value").agg(F.array_join(F.array_sort(F.collect_list("setting")), ",").alias("settings"), F.count(F.lit(1)).alias("n"))  # a row a setting
+    return groups.where("n > 1")

@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import math
-import random
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -32,27 +32,59 @@ def newey_west_lag(n: int) -> int:
     return int(n ** (1 / 3)) if n > 0 else 0
 
 
-def newey_west(series: DataFrame, by: str, at: str, value: str) -> DataFrame:
-    """Mean, Newey-West t and two-sided p of a dated series for each `by`; Bartlett weights, lag int(n^(1/3)).
+def drawn(n: int, resamples: int, seed: int) -> np.ndarray:
+    """What random.Random(seed).randrange(n) gives, resamples x n times, as a matrix: the same generator, its 32-bit
+    numbers cut to n's bits, those from n on left out."""
+    bits, want = n.bit_length(), resamples * n
+    source = np.random.RandomState([seed])
+    out = np.zeros(0, np.uint32)
+    while len(out) < want:
+        more = source.randint(0, 1 << 32, (want - len(out)) * 2 + 64, dtype=np.uint32) >> np.uint32(32 - bits)
+        out = np.concatenate([out, more[more < n]])
+    return out[:want].reshape(resamples, n)
+
+
+def _interval(values: np.ndarray, resamples: int, seed: int) -> tuple[float, float]:
+    n = len(values)
+    # of each resample its values one after the other, as a loop over them adds
+    means = np.sort(values[drawn(n, resamples, seed).T].sum(axis=0) / n)
+    return round(float(means[int(0.025 * resamples)]), 6), round(float(means[min(resamples - 1, int(0.975 * resamples))]), 6)
+
+
+def _newey_west_t(values: np.ndarray) -> float:
+    n = len(values)
+    if n < 2:
+        return 0.0
+    e = values - values.mean()
+    lag = newey_west_lag(n)
+    total = float(e @ e) + sum(2 * (1 - j / (lag + 1.0)) * float(e[j:] @ e[:-j]) for j in range(1, lag + 1))
+    return float(values.mean() / math.sqrt(max(total / n / n, 1e-18)))
 
-    Series are by date, so they are short; the lag depends on each one's length and is a literal of the plan.
+
+def ic_summary(series: DataFrame, by: str, at: str, value: str, resamples: int = 1000, seed: int = 42) -> DataFrame:
+    """One row for each `by`: n, mean, percentile interval of the mean (2.5 %, 97.5 %; resampled with a fixed seed, none
+    for resamples=0), Newey-West t (Bartlett weights, lag int(n^(1/3))) and its two-sided p.
+
+    The series are by date, a value a day at most, so that one is a small group; all of it is made in one pass over them.
+    Null values do not count; a series without any has no row.
     """
-    w = Window.partitionBy(by).orderBy(at)
-    sizes = {r[by]: r["n"] for r in series.groupBy(by).agg(F.count(value).alias("n")).collect()}  # a row for each signal
-    most = max([newey_west_lag(n) for n in sizes.values()], default=0)
-    lag = F.coalesce(*[F.when(F.col(by) == k, F.lit(newey_west_lag(n))) for k, n in sizes.items()], F.lit(0)) if sizes else F.lit(0)
-    rows = series.withColumn("_mean", F.avg(value).over(Window.partitionBy(by))).withColumn("_e", F.col(value) - F.col("_mean")).withColumn("_l", lag)
-    terms = [F.sum(F.col("_e") * F.col("_e"))]
-    for j in range(1, most + 1):
-        rows = rows.withColumn(f"_p{j}", F.when(F.col("_l") >= j, 2 * (1 - j / (F.col("_l") + 1.0)) * F.col("_e") * F.lag("_e", j).over(w)))
-        terms.append(F.coalesce(F.sum(f"_p{j}"), F.lit(0.0)))
-    total = terms[0]
-    for t in terms[1:]:
-        total = total + t
-    n = F.count(F.lit(1))
-    t = F.when(n >= 2, F.try_divide(F.avg(value), F.sqrt(F.greatest(total / n / n, F.lit(1e-18)))))
-    out = rows.groupBy(by).agg(n.alias("n"), F.round(F.avg(value), 6).alias("mean"), F.round(F.coalesce(t, F.lit(0.0)), 6).alias("t_stat"))
-    return out.withColumn("p_value", F.round(F.least(F.lit(1.0), 2 * normal_tail(F.abs(F.col("t_stat")))), 6))
+    kind = series.schema[by].dataType.simpleString()
+
+    def one(frame: pd.DataFrame) -> pd.DataFrame:
+        values = frame.sort_values(at)[value].to_numpy(float)
+        low, high = _interval(values, resamples, seed) if resamples else (None, None)
+        return pd.DataFrame({by: [frame[by].iloc[0]], "n": [len(values)], "mean": [values.mean()], "ci_lower": [low], "ci_upper": [high], "t": [_newey_west_t(values)]})
+
+    rows = series.select(by, at, value).where(F.col(value).isNotNull())
+    out = rows.groupBy(by).applyInPandas(one, f"{by} {kind}, n long, mean double, ci_lower double, ci_upper double, t double")
+    t = F.round("t", 6)
+    p = F.round(F.least(F.lit(1.0), 2 * normal_tail(F.abs(t))), 6)
+    return out.select(by, "n", F.round("mean", 6).alias("mean"), "ci_lower", "ci_upper", t.alias("t_stat"), p.alias("p_value"))
+
+
+def newey_west(series: DataFrame, by: str, at: str, value: str) -> DataFrame:
+    """n, mean, t and p of ic_summary()."""
+    return ic_summary(series, by, at, value, resamples=0).drop("ci_lower", "ci_upper")
 
 
 def normal_tail(x: Column) -> Column:
@@ -67,17 +99,8 @@ def normal_tail(x: Column) -> Column:
 
 
 def bootstrap_ci(series: DataFrame, by: str, at: str, value: str, resamples: int = 1000, seed: int = 42) -> DataFrame:
-    """Percentile interval (2.5 %, 97.5 %) of the mean of each dated series, by resampling with a fixed seed."""
-
-    def one(frame: pd.DataFrame) -> pd.DataFrame:
-        values = frame.sort_values(at)[value].tolist()
-        rng, n = random.Random(seed), len(values)
-        means = sorted(sum(values[rng.randrange(n)] for _ in range(n)) / n for _ in range(resamples)) if n else [0.0] * resamples
-        last = resamples - 1
-        return pd.DataFrame([{by: frame[by].iloc[0], "ci_lower": round(means[int(0.025 * resamples)], 6), "ci_upper": round(means[min(last, int(0.975 * resamples))], 6)}])
-
-    kind = series.schema[by].dataType.simpleString()
-    return series.select(by, at, value).groupBy(by).applyInPandas(one, f"{by} {kind}, ci_lower double, ci_upper double")
+    """The interval of ic_summary()."""
+    return ic_summary(series, by, at, value, resamples, seed).select(by, "ci_lower", "ci_upper")
 
 
 def buckets(rows: DataFrame, group: Sequence[str], value: str, code: str, quantiles: int = 5) -> DataFrame:

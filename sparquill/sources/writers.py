@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 SPLITS = ("train", "dev", "test")
@@ -55,6 +55,40 @@ def freeze(rows: DataFrame, problems: DataFrame, path: str) -> None:
     write_locked(rows, path)
 
 
+def counters(reason: Column | None = None, reasons: Sequence[str] = (), date: str | None = None, filled: Sequence[str] = ()) -> dict[str, Column]:
+    """Aggregates that a write can take along: rows, rows by reason (null is 'kept'), first and last of a date (empty ones do
+    not count), and for each column of filled how many rows have it. None of them is a count of distinct values."""
+    out: dict[str, Column] = {"rows": F.count(F.lit(1))}
+    if reason is not None:
+        named = F.coalesce(reason, F.lit("kept"))
+        out |= {f"reason_{r}": F.count(F.when(named == r, 1)) for r in ("kept", *reasons)}
+        out["reason_other"] = F.count(F.when(~named.isin("kept", *reasons), 1))
+    if date is not None:
+        day = F.nullif(F.col(date).cast("string"), F.lit(""))
+        out |= {"first": F.min(day), "last": F.max(day)}
+    return out | {f"with_{c}": F.count(F.when(F.trim(F.coalesce(F.col(c).cast("string"), F.lit(""))) != "", 1)) for c in filled}
+
+
+def write_counted(df: DataFrame, path: str, counts: dict[str, Column], mode: str = "errorifexists", keep: Column | None = None) -> dict:
+    """Write df as Parquet, and what counts say of it, from the same job: nothing is read or computed twice.
+
+    Counts are of df's rows; keep, a condition, says which of them are written, so that reasons count what is left out.
+    """
+    seen = Observation()
+    rows = df.observe(seen, *[c.alias(n) for n, c in counts.items()])
+    (rows if keep is None else rows.where(keep)).write.mode(mode).parquet(path)
+    return dict(seen.get)
+
+
+def write_with_manifest(tables: dict[str, tuple[DataFrame, dict[str, Column]]], path: str, mode: str = "errorifexists") -> str:
+    """Each table below path, with its counters; what they say as JSON, also in path/manifest."""
+    out = {name: write_counted(df, f"{path}/{name}", counts, mode) for name, (df, counts) in tables.items()}
+    text = json.dumps(out, ensure_ascii=False, sort_keys=True)
+    spark = next(iter(tables.values()))[0].sparkSession
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode(mode).text(f"{path}/manifest")
+    return text
+
+
 def manifest(tables: dict[str, DataFrame], date: str, key: str) -> str:
     """Row counts, date ranges and distinct keys of tables as JSON; each table is one aggregate."""
     out = {}
