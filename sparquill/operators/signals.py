@@ -64,44 +64,46 @@ def long_form(days: DataFrame, signals: Sequence[str] = SIGNALS, keep: Sequence[
 
 
 def average_rank(group: Sequence[str], value: str) -> Column:
-    """1-based rank in the group; ties share the mean of their places."""
-    first = F.rank().over(Window.partitionBy(*group).orderBy(value))
-    ties = F.count(F.lit(1)).over(Window.partitionBy(*group, value))
-    return first + (ties - 1) / 2.0
+    """1-based rank in the group; ties share the mean of their places, and nulls come last. Both parts share one sort."""
+    w = Window.partitionBy(*group).orderBy(F.asc_nulls_last(value))
+    ties = F.count(F.lit(1)).over(w.rangeBetween(Window.currentRow, Window.currentRow))
+    return F.rank().over(w) + (ties - 1) / 2.0
 
 
 def rank_scale(rows: DataFrame, group: Sequence[str], value: str, out: str) -> DataFrame:
-    """Average ranks of the group scaled to -1 .. 1; 0 in a group of one."""
-    n = F.count(F.lit(1)).over(Window.partitionBy(*group))
-    return rows.withColumn("_r", average_rank(group, value)).withColumn("_n", n).withColumn(
-        out, F.when(F.col("_n") == 1, 0.0).otherwise(F.round((F.col("_r") - 1) / F.when(F.col("_n") > 1, F.col("_n") - 1).otherwise(1) * 2 - 1, 6))
-    ).drop("_r", "_n")
+    """Average ranks of the group's numbers scaled to -1 .. 1; 0 in a group of one, null where the value is."""
+    n = F.count(value).over(Window.partitionBy(*group))
+    scaled = F.when(F.col("_n") == 1, 0.0).otherwise(F.round((F.col("_r") - 1) / F.when(F.col("_n") > 1, F.col("_n") - 1).otherwise(1) * 2 - 1, 6))
+    return rows.withColumn("_r", average_rank(group, value)).withColumn("_n", n).withColumn(out, F.when(F.col(value).isNotNull(), scaled)).drop("_r", "_n")
 
 
 def winsorize(rows: DataFrame, group: Sequence[str], value: str, low: float = 0.01, high: float = 0.99) -> DataFrame:
-    """Clip to the group's order statistics at floor(low (n - 1)) and ceil(high (n - 1))."""
+    """Clip to the group's order statistics at floor(low (n - 1)) and ceil(high (n - 1)) of its numbers; nulls stay."""
     w = Window.partitionBy(*group)
-    place = F.row_number().over(Window.partitionBy(*group).orderBy(value)) - 1
-    n = F.count(F.lit(1)).over(w)
-    rows = rows.withColumn("_p", place).withColumn("_n", n)
+    place = F.row_number().over(w.orderBy(F.asc_nulls_last(value))) - 1
+    rows = rows.withColumn("_p", place).withColumn("_n", F.count(value).over(w))
     lo = F.max(F.when(F.col("_p") == F.floor((F.col("_n") - 1) * F.lit(low)), F.col(value))).over(w)
     hi = F.max(F.when(F.col("_p") == F.ceil((F.col("_n") - 1) * F.lit(high)), F.col(value))).over(w)
-    return rows.withColumn("_lo", lo).withColumn("_hi", hi).withColumn(value, F.least(F.greatest(F.col(value), F.col("_lo")), F.col("_hi"))).drop("_p", "_n", "_lo", "_hi")
+    clipped = F.when(F.col(value).isNotNull(), F.least(F.greatest(F.col(value), F.col("_lo")), F.col("_hi")))
+    return rows.withColumn("_lo", lo).withColumn("_hi", hi).withColumn(value, clipped).drop("_p", "_n", "_lo", "_hi")
 
 
 def zscore(rows: DataFrame, group: Sequence[str], value: str) -> DataFrame:
-    """Less the mean, over the sample deviation; 0 where that is 0 or missing."""
+    """Less the mean, over the sample deviation; 0 where that is 0 or missing, null where the value is."""
     w = Window.partitionBy(*group)
-    return rows.withColumn("_m", F.avg(value).over(w)).withColumn("_s", F.coalesce(F.stddev_samp(value).over(w), F.lit(0.0))).withColumn(
-        value, F.when(F.col("_s") > 0, F.try_divide(F.col(value) - F.col("_m"), F.col("_s"))).otherwise(0.0)
-    ).drop("_m", "_s")
+    rows = rows.withColumn("_m", F.avg(value).over(w)).withColumn("_s", F.coalesce(F.stddev_samp(value).over(w), F.lit(0.0)))
+    z = F.when(F.col("_s") > 0, F.try_divide(F.col(value) - F.col("_m"), F.col("_s"))).otherwise(0.0)
+    return rows.withColumn(value, F.when(F.col(value).isNotNull(), z)).drop("_m", "_s")
 
 
 def normalise(rows: DataFrame, group: Sequence[str] = ("trade_date", "signal"), value: str = "value", low: float = 0.01, high: float = 0.99, standardise: bool = True) -> DataFrame:
-    """Winsorise, standardise and rank-scale the group's numbers; null values stay and do not count."""
-    present = winsorize(rows.where(F.col(value).isNotNull()), group, value, low, high)
+    """Winsorise, standardise and rank-scale the group's numbers; null values stay and do not count.
+
+    All of it is windows over the same groups: one exchange, and a sort for the clip and one for the ranks.
+    """
+    present = winsorize(rows, group, value, low, high)
     if standardise:
         present = zscore(present, group, value)
     # equal inputs must tie: deviations are ranked as rounded
     present = rank_scale(present.withColumn(value, F.round(value, 9)), group, value, "_scaled")
-    return present.withColumn(value, F.col("_scaled")).drop("_scaled").unionByName(rows.where(F.col(value).isNull()))
+    return present.withColumn(value, F.col("_scaled")).drop("_scaled")

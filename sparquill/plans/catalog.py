@@ -45,7 +45,7 @@ def score_sql(col: str, low: str, high: str) -> str:
 # ---------------------------------------------------------------- prices, alignment, stock days
 
 CTX = A.SQL["v_prices"] + """,
-ctx AS (
+ctx AS MATERIALIZED (
   SELECT *, row_number() OVER w - 1 AS entry_index,
          round(stddev_pop(pct_change / 100) OVER (PARTITION BY stock_code ORDER BY trade_date ROWS BETWEEN 19 PRECEDING AND CURRENT ROW), 10) AS volatility,
          round(lead(close, 5) OVER w / nullif(close, 0) - 1, 6) AS forward_return_5, round(lead(close, 10) OVER w / nullif(close, 0) - 1, 6) AS forward_return_10,
@@ -54,10 +54,15 @@ ctx AS (
 
 
 def aligned_sql(offset: int = 1) -> str:
-    return f"""aligned AS (
+    """By one window over asked and trading days, as its plan does not depend on how an ASOF join is made."""
+    return f"""both_days AS (
+  SELECT stock_code, trade_date AS day, 1 AS kind, entry_index AS at_index FROM ctx UNION ALL SELECT DISTINCT stock_code, report_date, 0, NULL FROM v_predictions),
+found_days AS MATERIALIZED (
+  SELECT stock_code, day, kind, last_value(at_index IGNORE NULLS) OVER (PARTITION BY stock_code ORDER BY day DESC, kind DESC ROWS UNBOUNDED PRECEDING) AS at_index FROM both_days),
+aligned AS MATERIALIZED (
   SELECT p.*, c.trade_date, c.entry_index, c.volatility, c.forward_return_5, c.forward_return_10, c.forward_return_20
-  FROM v_predictions p ASOF JOIN (SELECT stock_code, trade_date AS day, entry_index AS at FROM ctx) k ON p.stock_code = k.stock_code AND p.report_date <= k.day
-  JOIN ctx c ON c.stock_code = p.stock_code AND c.entry_index = k.at + {offset})"""
+  FROM v_predictions p JOIN found_days k ON k.kind = 0 AND p.stock_code = k.stock_code AND p.report_date = k.day
+  JOIN ctx c ON c.stock_code = p.stock_code AND c.entry_index = k.at_index + {offset})"""
 
 
 _BODY, _GAP = score_sql("fundamental_sentiment", "negative", "positive"), "coalesce(strategic_optimism_gap, 0.0)"
