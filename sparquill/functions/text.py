@@ -25,6 +25,18 @@ def strip(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(text, r"(?U)^\s+", ""), r"(?U)\s+\z", "")
 
 
+def first_text(*fields: Column, most: int = 600) -> Column:
+    """The first field that holds anything once it is normalised, cut to so many characters; empty where none does."""
+    made = [normalize(f) for f in fields]
+    return F.coalesce(*[F.when(x != "", F.substring(x, 1, most)) for x in made], F.lit(""))
+
+
+def first_number(*fields: Column) -> Column:
+    """The first field, as text, that is neither blank nor a number equal to 0; empty where none is."""
+    text = [F.trim(F.coalesce(f.cast("string"), F.lit(""))) for f in fields]
+    return F.coalesce(*[F.when((x != "") & F.coalesce(x.try_cast("double") != 0, F.lit(True)), x) for x in text], F.lit(""))
+
+
 def strip_tags(text: Column) -> Column:
     """The commonest entities decoded, tags dropped, then normalised; without Python. all_entities() decodes the others."""
     out = F.coalesce(text, F.lit(""))

@@ -101,6 +101,25 @@ def annotation_errors(rows: DataFrame, domains: dict[str, Sequence[str]], key: s
     return each.union(twice)
 
 
+def annotation_report(rows: DataFrame, domains: dict[str, Sequence[str]], key: str = "report_id") -> DataFrame:
+    """(kind, label, n): number of rows, of complete ones, of each label of each field, of each problem, and 'ready' with 'yes'
+    where there is no problem and no row lacks a label, else 'no'. rows as in annotation_errors(); null labels have no row."""
+    fields = list(domains)
+    whole = rows.agg(F.count(F.lit(1)).alias("rows"), F.count(F.when(complete(fields), 1)).alias("complete"))
+    each = F.explode(F.array(*[F.struct(F.lit(f).alias("kind"), F.col(f).alias("label")) for f in fields]))
+    labels = rows.select(each.alias("x")).select("x.*").where("label is not null").groupBy("kind", "label").agg(F.count(F.lit(1)).alias("n"))
+    problems = annotation_errors(rows, domains, key).groupBy(F.lit("problem").alias("kind"), F.col("problem").alias("label")).agg(F.count(F.lit(1)).alias("n"))
+    counts = whole.select(F.explode(F.array(F.struct(F.lit("rows").alias("kind"), F.lit("").alias("label"), F.col("rows").alias("n")), F.struct(F.lit("complete").alias("kind"), F.lit("").alias("label"), F.col("complete").alias("n")))).alias("x")).select("x.*")
+    found = problems.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("bad"))
+    ready = whole.join(found, F.lit(True)).select(F.lit("ready").alias("kind"), F.when((F.col("bad") == 0) & (F.col("rows") == F.col("complete")) & (F.col("rows") > 0), "yes").otherwise("no").alias("label"), F.lit(1).cast("long").alias("n"))
+    return counts.union(labels).union(problems).union(ready)
+
+
+def trimmed(table: DataFrame) -> DataFrame:
+    """The table with its columns of text trimmed."""
+    return table.select(*[F.trim(F.col(f"`{f.name}`")).alias(f.name) if f.dataType.typeName() == "string" else F.col(f"`{f.name}`") for f in table.schema])
+
+
 def complete(fields: Sequence[str]) -> Column:
     out = F.lit(True)
     for f in fields:

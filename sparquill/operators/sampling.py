@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import functools
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -44,6 +45,18 @@ def stratified(rows: DataFrame, stratum: str, key: str, total: int, seed: int =
     return ranked.where(F.col("_r") <= most).drop("_r")
 
 
+def by_split(rows: DataFrame, stratum: str, key: str, targets: Mapping[str, int], split: str = "split", seed: int = 42) -> DataFrame:
+    """For each named split a sample of so many rows, evenly over its strata; a split without rows gives none."""
+    parts = [stratified(rows.where(F.col(split) == name), stratum, key, n, seed) for name, n in targets.items()]
+    return functools.reduce(DataFrame.union, parts) if parts else rows.limit(0)
+
+
+def split_or_all(rows: DataFrame, name: str, split: str = "split") -> DataFrame:
+    """The rows of the split, or all rows where none has it."""
+    own = rows.where(F.col(split) == name)
+    return own if own.limit(1).count() else rows
+
+
 def two_stage(rows: DataFrame, stratum: str, key: str, pilot: int = 400, main: int = 2000, seed: int = 42) -> tuple[DataFrame, DataFrame]:
     """A pilot sample, and a main one from the rest."""
     first = stratified(rows, stratum, key, pilot, seed)

@@ -7,7 +7,7 @@ import math
 import duckdb
 import pytest
 
-from sparquill.plans import catalog, catalog_ingest, catalog_labels, catalog_runs, catalog_study  # noqa: F401
+from sparquill.plans import catalog, catalog_ingest, catalog_labels, catalog_runs, catalog_samples, catalog_study  # noqa: F401
 
 TABLES = "region nation customer supplier part orders lineitem events documents pages labels conversations".split()
 
