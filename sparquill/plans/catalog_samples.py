@@ -54,7 +54,7 @@ def evaluation_sample(spark: SparkSession, sf: str) -> DataFrame:
     return sampling.at_least(rows, "phenomenon", "doc_id", 5, 150).select("doc_id", "phenomenon")
 
 
-@query("split_or_all", "WITH " + A.ctes("v_docs") + " SELECT 'dev' AS asked, doc_id FROM v_docs WHERE split = 'dev' UNION ALL SELECT 'pilot', doc_id FROM v_docs")
+@query("split_or_all", "WITH " + A.ctes("v_docs") + " SELECT 'dev' AS asked, doc_id FROM v_docs WHERE split = 'dev' OR NOT EXISTS (SELECT 1 FROM v_docs WHERE split = 'dev') UNION ALL SELECT 'pilot', doc_id FROM v_docs")
 def split_or_all(spark: SparkSession, sf: str) -> DataFrame:
     """The rows of a split; all of them where the split has none."""
     d = A.docs(spark, sf)
