@@ -37,9 +37,11 @@ def first_number(*fields: Column) -> Column:
     return F.coalesce(*[F.when((x != "") & F.coalesce(x.try_cast("double") != 0, F.lit(True)), x) for x in text], F.lit(""))
 
 
-def strip_tags(text: Column) -> Column:
-    """The commonest entities decoded, tags dropped, then normalised; without Python. all_entities() decodes the others."""
+def strip_tags(text: Column, every_entity: bool = False) -> Column:
+    """Entities decoded, tags dropped, then normalised. The commonest entities without Python; every_entity: all of HTML's."""
     out = F.coalesce(text, F.lit(""))
+    if every_entity:
+        return normalize(F.regexp_replace(all_entities(out), "<[^>]+>", ""))
     # fixed values: entities
     for name, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
         out = F.replace(out, F.lit(name), F.lit(char))
@@ -56,9 +58,9 @@ def all_entities(text: Column) -> Column:
     return decode(text)
 
 
-def inline(text: Column) -> Column:
+def inline(text: Column, every_entity: bool = False) -> Column:
     """strip_tags on one line."""
-    return F.trim(F.regexp_replace(strip_tags(text), r"\n+", " "))
+    return F.trim(F.regexp_replace(strip_tags(text, every_entity), r"\n+", " "))
 
 
 def stock_code(raw: Column) -> Column:
@@ -134,7 +136,7 @@ def extractive_summary(body: Column, headings: Sequence[str] = (), lines: int =
 
 def paragraphs(block: Column) -> Column:
     """Texts of the p elements joined by line ends; the whole block where it has none."""
-    inner = F.filter(F.transform(F.regexp_extract_all(block, F.lit(r"(?s)<p[^>]*>(.*?)</p>"), F.lit(1)), strip_tags), lambda x: x != "")
+    inner = F.filter(F.transform(F.regexp_extract_all(block, F.lit(r"(?s)<p[^>]*>(.*?)</p>"), F.lit(1)), lambda p: strip_tags(p)), lambda x: x != "")
     return F.when(F.size(inner) > 0, F.array_join(inner, "\n")).otherwise(strip_tags(block))
 
 

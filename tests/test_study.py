@@ -230,3 +230,18 @@ def test_weight_grid_cell_by_hand(spark, tiny):
     cell = catalog_runs.weight_grid(spark, tiny).where(f"alpha = {alpha} and beta = {beta} and gamma = {gamma}").first()
     assert cell["mean_ic"] == pytest.approx(mean_ic, abs=2e-6)
     assert cell["sharpe"] == pytest.approx(summary["gross_sharpe"], abs=2e-4) and cell["turnover"] == pytest.approx(summary["turnover"], abs=2e-6)
+
+
+# ---------------------------------------------------------------- fields of landed rows
+
+
+def test_entities_and_first_fields(spark):
+    from sparquill.functions import text as X
+
+    df = spark.createDataFrame([("<p>Caf&eacute; &lt;b&gt;x&#x2014;y</p>\r\n&hellip;&nbsp;z", " \n", "0", "7.5"), (None, None, None, " ")], "t string, a string, n string, m string")
+    rows = df.select(
+        X.strip_tags(F.col("t"), every_entity=True).alias("every"), X.inline(F.col("t"), every_entity=True).alias("line"), X.first_text(F.col("a"), F.lit(" x  y "), F.lit("z"), most=2).alias("first"), X.first_number(F.col("n"), F.col("m")).alias("number"),
+        X.stock_code(F.col("a")).alias("code"), X.strip(F.lit("\n\t a b \u3000")).alias("strip"),
+    ).collect()
+    assert tuple(rows[0]) == ("Caf\u00e9 x\u2014y\n\u2026 z", "Caf\u00e9 x\u2014y \u2026 z", "x ", "7.5", "", "a b")
+    assert tuple(rows[1]) == ("", "", "x ", "", "", "a b")
