@@ -21,14 +21,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 from pyspark.sql.window import Window
 
+from sparquill.llm.arrowtext import SLICE, as_bytes, slices
 from sparquill.llm.wordpieces import ChunkEncoder
 from sparquill.plans.stage import materialize, stage_path
 
 MAGIC = b"SQBITS01"
 FOOTER = struct.Struct("<8sHIQQQQ")  # magic, bits, ids in a block, ids, documents, documents without id, where the offsets begin
 BLOCK = 1 << 14
+WHOLE = {8: "u1", 16: ">u2", 32: ">u4"}  # widths of whole bytes: the same bits, without taking them apart
 
 
 def width(vocabulary: int) -> int:
@@ -38,11 +41,15 @@ def width(vocabulary: int) -> int:
 
 def pack(ids: np.ndarray, bits: int) -> bytes:
     """Ids, most significant bit first, padded with 0 to whole bytes."""
+    if bits in WHOLE:
+        return ids.astype(WHOLE[bits]).tobytes()
     wide = np.unpackbits(ids.astype(">u4").view(np.uint8).reshape(-1, 4), axis=1)
     return np.packbits(wide[:, 32 - bits :].reshape(-1)).tobytes()
 
 
 def unpack(data: bytes, n: int, bits: int) -> np.ndarray:
+    if bits in WHOLE:
+        return np.frombuffer(data, WHOLE[bits], n).astype(np.uint32)
     wide = np.zeros((n, 32), np.uint8)
     wide[:, 32 - bits :] = np.unpackbits(np.frombuffer(data, np.uint8), count=n * bits).reshape(n, bits)
     return np.packbits(wide, axis=1).view(">u4").reshape(-1).astype(np.uint32)
@@ -102,32 +109,53 @@ class Shard:
         self.docs = np.frombuffer(index, "<i8", self.n_docs, 8 * blocks)
         self.starts = np.frombuffer(index, "<u8", self.n_docs + 1, 8 * (blocks + self.n_docs)).astype(np.int64)
 
-    def ids(self, start: int, end: int) -> np.ndarray:
-        """Ids start .. end - 1, from the blocks that hold them."""
-        if end <= start:
-            return np.zeros(0, np.uint32)
-        first, last = start // self.block, (end - 1) // self.block
-        at = int(self.offsets[first])
-        stop = int(self.offsets[last + 1]) if last + 1 < len(self.offsets) else self.end
+    def block_ids(self, k: int) -> np.ndarray:
+        """All ids of one block."""
+        at = int(self.offsets[k])
+        stop = int(self.offsets[k + 1]) if k + 1 < len(self.offsets) else self.end
         self.source.seek(at)
-        n = min((last + 1) * self.block, self.n) - first * self.block
-        data = self.source.read(stop - at)
-        size = self.block * self.bits // 8
-        if n == self.block * (last - first + 1) or last == first:
-            got = unpack(data, n, self.bits)
-        else:
-            full = (last - first) * self.block
-            got = np.concatenate([unpack(data[: (last - first) * size], full, self.bits), unpack(data[(last - first) * size :], n - full, self.bits)])
-        return got[start - first * self.block : end - first * self.block]
-
-    def documents(self, step: int = 512) -> Iterator[tuple[int | None, int, np.ndarray]]:
-        """(document id, first id, ids) in the order of the file, reading a run of documents at a time."""
-        for a in range(0, self.n_docs, step):
-            b = min(a + step, self.n_docs)
-            run = self.ids(int(self.starts[a]), int(self.starts[b]))
-            for i in range(a, b):
-                s = int(self.starts[i])
-                yield (None if i < self.nulls else int(self.docs[i])), s, run[s - int(self.starts[a]) : int(self.starts[i + 1]) - int(self.starts[a])]
+        return unpack(self.source.read(stop - at), min(self.block, self.n - k * self.block), self.bits)
+
+    def ids(self, start: int, end: int) -> np.ndarray:
+        """Ids start .. end - 1, from the blocks that hold them; no other is read, and one at a time."""
+        out = np.empty(max(0, end - start), np.uint32)
+        for k in range(start // self.block, -(-end // self.block) if end > start else 0):
+            at = k * self.block
+            part = self.block_ids(k)[max(0, start - at) : end - at]
+            begin = max(start, at) - start
+            out[begin : begin + len(part)] = part
+        return out
+
+    def document(self, i: int) -> tuple[int | None, int, np.ndarray]:
+        """(document id, first id, ids) of the i-th document of the file."""
+        s = int(self.starts[i])
+        return (None if i < self.nulls else int(self.docs[i])), s, self.ids(s, int(self.starts[i + 1]))
+
+    def pieces(self) -> Iterator[tuple[int, np.ndarray]]:
+        """(place of the document in the file, ids) in the order of the file, cut where blocks end, so that one block is
+        held whatever the documents' sizes; a document without ids gives one empty piece."""
+        i, stop = 0, self.starts[1:].tolist()
+        for k in range(len(self.offsets)):
+            ids, at, a = self.block_ids(k), k * self.block, 0
+            while i < self.n_docs and (stop[i] <= at + len(ids)):
+                yield i, ids[a : stop[i] - at]
+                i, a = i + 1, stop[i] - at
+            if a < len(ids):
+                yield i, ids[a:]
+        for j in range(i, self.n_docs):
+            yield j, np.zeros(0, np.uint32)
+
+    def documents(self) -> Iterator[tuple[int | None, int, np.ndarray]]:
+        """(document id, first id, ids) in the order of the file, each document whole; one document is held at a time."""
+        parts: list[np.ndarray] = []
+        got = 0
+        for i, ids in self.pieces():
+            parts.append(ids)
+            got += len(ids)
+            s = int(self.starts[i])
+            if got == int(self.starts[i + 1]) - s:
+                yield (None if i < self.nulls else int(self.docs[i])), s, np.concatenate(parts)
+                parts, got = [], 0
 
 
 def _open(folder: str):
@@ -140,9 +168,12 @@ def write_packed(documents: DataFrame, tokenizer: str, folder: str | None = None
     """Encode each whole text, append end_id, and write shards in ascending id order; returns the manifest.
 
     Manifest: shard, path, n_ids, n_docs, base (ids in all shards before). Null text is empty; null ids come first; rows
-    of one id are ordered by their text's hash. Each attempt of a task writes a file of its own name and the manifest
-    holds those of the attempts that counted, so a lost executor leaves at most an unused file.
+    of one id are ordered by their text's hash. Ids are whole numbers (a column of another type is an error at once), an
+    empty table gives an empty manifest, and other columns are not read. Each attempt of a task writes a file of its own
+    name and the manifest holds those of the attempts that counted, so a lost executor leaves at most an unused file.
     """
+    if not isinstance(documents.schema[id_col].dataType, IntegralType):
+        raise TypeError(f"{id_col} must be a column of whole numbers, not of {documents.schema[id_col].dataType.simpleString()}")
     spark = documents.sparkSession
     folder = folder or stage_path(spark, "packed")
 
@@ -159,8 +190,11 @@ def write_packed(documents: DataFrame, tokenizer: str, folder: str | None = None
                 name = f"shard-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.bits"
                 stream = files.open_output_stream(f"{base}/{name}")
                 writer = ShardWriter(stream, width(max(encoder.size, end_id + 1)))
-            for doc, ids in zip(batch.column(0).to_pylist(), encoder.encode(batch.column(1)), strict=True):
-                writer.add(doc, np.frombuffer(ids + end, "<u4"))
+            _, off = as_bytes(batch.column(1))
+            for a, b in slices(off, 4 * SLICE):
+                part = batch.slice(a, b - a)
+                for doc, ids in zip(part.column(0).to_pylist(), encoder.encode(part.column(1)), strict=True):
+                    writer.add(doc, np.frombuffer(ids + end, "<u4"))
         if writer is not None:
             writer.close()
             stream.close()
@@ -183,9 +217,15 @@ def read_packed(manifest: DataFrame) -> DataFrame:
                 files, path = _open(row["path"])
                 with files.open_input_file(path) as f:
                     out: dict[str, list] = {"doc_id": [], "start": [], "n_tokens": [], "ids_crc32": []}
-                    for doc, start, ids in Shard(f).documents():
-                        for k, v in zip(out, (doc, row["base"] + start, len(ids), zlib.crc32(ids.astype("<u4").tobytes())), strict=True):
+                    shard, crc, got = Shard(f), 0, 0
+                    for i, ids in shard.pieces():
+                        crc, got = zlib.crc32(ids.astype("<u4").tobytes(), crc), got + len(ids)
+                        start, end = int(shard.starts[i]), int(shard.starts[i + 1])
+                        if got < end - start:
+                            continue
+                        for k, v in zip(out, (None if i < shard.nulls else int(shard.docs[i]), row["base"] + start, got, crc), strict=True):
                             out[k].append(v)
+                        crc = got = 0
                         if len(out["doc_id"]) == 10_000:
                             yield _rows(out)
                             out = {k: [] for k in out}

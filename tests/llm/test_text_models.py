@@ -46,7 +46,7 @@ def test_packing_round_trip():
             return len(self.getbuffer())
 
     shard = K.Shard(Source(out.getvalue()))
-    got = list(shard.documents(step=2))
+    got = list(shard.documents())
     assert [g[0] for g in got] == [None, 1, 2, 3, 4] and all((g[2] == d).all() for g, d in zip(got, docs, strict=True))
     whole = np.concatenate(docs)
     assert (shard.ids(16_380, 33_000) == whole[16_380:33_000]).all() and K.width(49408) == 16
