@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparquill.llm.arrowtext import as_bytes, slices
+
 # Fixed values of the format.
 NONE, LZW, DEFLATE, OLD_DEFLATE, PACKBITS = 1, 5, 8, 32946, 32773
 NAMES = {NONE: "none", LZW: "lzw", DEFLATE: "deflate", OLD_DEFLATE: "deflate", PACKBITS: "packbits"}
@@ -69,72 +71,77 @@ def unpack_bits(data: bytes, size: int) -> bytes:
     return bytes(out[:size])
 
 
-def lzw_pack(data: bytes) -> bytes:
-    """Codes of 9 to 12 bits, most significant bit first; the code width changes one entry early."""
-    acc = n_acc = 0
-    out = bytearray()
-
-    def put(code: int, width: int) -> None:
-        nonlocal acc, n_acc
-        acc, n_acc = acc << width | code, n_acc + width
-        while n_acc >= 8:
-            n_acc -= 8
-            out.append(acc >> n_acc & 255)
-        acc &= (1 << n_acc) - 1
-
-    fresh = {bytes([i]): i for i in range(256)}
-    table, free, width, run = dict(fresh), 258, 9, b""
-    put(CLEAR, 9)
-    for i in range(len(data)):
-        longer = run + data[i : i + 1]
-        if longer in table:
-            run = longer
-            continue
-        put(table[run], width)
-        table[longer] = free
-        free += 1
-        width = min(12, max(9, (free).bit_length()))
-        if free == 4094:
-            put(CLEAR, width)
-            table, free, width = dict(fresh), 258, 9
-        run = data[i : i + 1]
-    if run:
-        put(table[run], width)
-        free += 1
-        width = min(12, max(9, free.bit_length()))
-    put(END, width)
-    if n_acc:
-        out.append(acc << (8 - n_acc) & 255)
-    return bytes(out)
+#: Code widths after a clear: codes of 9 to 12 bits, the width changing one entry early; 12 from then on.
+LZW_WIDTHS = np.maximum(9, np.ceil(np.log2(np.arange(258, 4094) + 1)).astype(np.int64))
 
 
-def lzw_unpack(data: bytes, size: int) -> bytes:
+def lzw_pack(data: bytes) -> bytes:
+    """LZW codes, most significant bit first; the table is cleared when it is full."""
+    codes, places, table, free = [CLEAR], [0], {}, 258
+    if data:
+        run = data[0]
+        for byte in memoryview(data)[1:]:
+            longer = run << 8 | byte
+            code = table.get(longer)
+            if code is None:
+                codes.append(run)
+                table[longer] = free
+                free += 1
+                run = byte
+                if free == 4094:
+                    places.append(len(codes))
+                    codes.append(CLEAR)
+                    table, free = {}, 258
+            else:
+                run = code
+        codes.append(run)
+    codes.append(END)
+    number = np.arange(len(codes))  # of each code since the clear before it
+    starts = np.array(places)
+    number -= np.concatenate([[0], starts[np.searchsorted(starts, number[1:] - 1, "right") - 1] + 1])
+    width = np.where(number < len(LZW_WIDTHS), LZW_WIDTHS[np.minimum(number, len(LZW_WIDTHS) - 1)], 12)
+    bits = np.unpackbits(np.array(codes, ">u2").view(np.uint8).reshape(-1, 2), axis=1)
+    return np.packbits(bits[np.arange(16) >= 16 - width[:, None]]).tobytes()
+
+
+def lzw_unpack(data: bytes, size: int, step: int = 512) -> bytes:
+    """The first `size` bytes. A code that the table cannot have yet is an error."""
+    raw = np.concatenate([np.frombuffer(data, np.uint8), np.zeros(2, np.uint8)]).astype(np.uint32)
     table: list[bytes] = [bytes([i]) for i in range(256)] + [b"", b""]
-    out, got, acc, n_acc, width, last = [], 0, 0, 0, 9, b""
-    for byte in data:
-        acc, n_acc = acc << 8 | byte, n_acc + 8
-        if n_acc < width:
-            continue
-        n_acc -= width
-        code = acc >> n_acc
-        acc &= (1 << n_acc) - 1
-        if code == END:
+    out, got, last, at, number, ended = [], 0, b"", 0, 0, False  # at: in bits; number: codes since the last clear
+    while not ended and got < size:
+        width = LZW_WIDTHS[number : number + step] if number < len(LZW_WIDTHS) else np.full(step, 12)
+        ends = at + np.cumsum(width)
+        width = width[: np.searchsorted(ends, 8 * len(data), "right")]
+        if not len(width):
             break
-        if code == CLEAR:
+        first = ends[: len(width)] - width
+        byte = first >> 3
+        codes = ((raw[byte] << 16 | raw[byte + 1] << 8 | raw[byte + 2]) >> (24 - width - (first & 7)).astype(np.uint32)) & ((1 << width) - 1).astype(np.uint32)
+        marks = np.flatnonzero((codes == CLEAR) | (codes == END))
+        n = int(marks[0]) if len(marks) else len(codes)
+        for code in codes[:n].tolist():
+            if not last:
+                if code > 255:
+                    raise ValueError(f"LZW code {code} after a clear")
+                entry = table[code]
+            else:
+                if code > len(table) or code > 4095:
+                    raise ValueError(f"LZW code {code} of a table of {len(table)}")
+                entry = table[code] if code < len(table) else last + last[:1]
+                if len(table) < 4096:
+                    table.append(last + entry[:1])
+            out.append(entry)
+            got += len(entry)
+            last = entry
+            if got >= size:
+                break
+        if len(marks):
+            ended = int(codes[n]) == END
             del table[258:]
-            width, last = 9, b""
-            continue
-        if last:
-            entry = table[code] if code < len(table) else last + last[:1]
-            table.append(last + entry[:1])
-            width = min(12, max(9, (len(table) + 1).bit_length()))
+            at, number, last = int(ends[n]), 0, b""
         else:
-            entry = table[code]
-        out.append(entry)
-        got += len(entry)
-        last = entry
-        if got >= size:
-            break
+            at, number = int(ends[n - 1]), number + n
     return b"".join(out)[:size]
 
 
@@ -153,7 +160,10 @@ def expand(data: bytes, method: int, size: int) -> bytes:
     elif method == LZW:
         out = lzw_unpack(data, size)
     elif method in (DEFLATE, OLD_DEFLATE):
-        out = zlib.decompressobj().decompress(data, size)
+        inflater = zlib.decompressobj()
+        out = inflater.decompress(data, size)
+        if not inflater.eof:
+            inflater.decompress(inflater.unconsumed_tail, 1)  # reads on to the checksum, which it verifies
     elif method == NONE:
         out = data[:size]
     else:
@@ -229,7 +239,7 @@ def _directory(data: bytes, at: int, order: str) -> tuple[dict[int, tuple[int, .
     return tags, after
 
 
-def _pixels(data: bytes, tags: dict[int, tuple[int, ...]], order: str) -> np.ndarray:
+def _pixels(data: bytes, tags: dict[int, tuple[int, ...]], order: str, most: int) -> np.ndarray:
     wide, height = tags[WIDTH][0], tags[LENGTH][0]
     samples, bits, method = tags.get(SAMPLES, (1,))[0], tags.get(BITS, (1,))[0], tags.get(COMPRESSION, (NONE,))[0]
     predictor, planar = tags.get(PREDICTOR, (1,))[0], tags.get(PLANAR, (1,))[0]
@@ -238,12 +248,12 @@ def _pixels(data: bytes, tags: dict[int, tuple[int, ...]], order: str) -> np.nda
     if predictor not in (1, 2) or planar not in (1, 2):
         raise ValueError(f"predictor {predictor} with planar configuration {planar} is not supported")
     kind = np.dtype(np.uint8 if bits == 8 else f"{order}u2")
-    if wide * height * samples * kind.itemsize > MOST_BYTES:
-        raise ValueError(f"{wide} x {height} x {samples} samples are more than {MOST_BYTES} bytes")
+    if wide * height * samples * kind.itemsize > most:
+        raise ValueError(f"{wide} x {height} x {samples} samples are more than {most} bytes")
     out = np.zeros((height, wide, samples), kind.newbyteorder("="))
     tiled = TILES in tags
     columns, rows = (tags[TILE_WIDTH][0], tags[TILE_LENGTH][0]) if tiled else (wide, min(tags.get(ROWS_PER_STRIP, (height,))[0], height))
-    if rows < 1 or columns < 1 or rows * columns * samples * kind.itemsize > MOST_BYTES:
+    if rows < 1 or columns < 1 or rows * columns * samples * kind.itemsize > most:
         raise ValueError(f"strips or tiles of {columns} x {rows}")
     each = 1 if planar == 2 else samples  # samples of a pixel that lie together
     corners = [(s, r, c) for s in range(0, samples, each) for r in range(0, height, rows) for c in range(0, wide, columns)]
@@ -257,11 +267,17 @@ def _pixels(data: bytes, tags: dict[int, tuple[int, ...]], order: str) -> np.nda
     return out
 
 
-def pages(data: bytes) -> Iterator[Page]:
-    """The pages of a TIFF, in the order of its directories; a loop among them ends the walk."""
+#: Bytes that one value of a Spark row can hold, so the largest page that can be a row.
+MOST_BYTES = (1 << 31) - (1 << 16)
+#: Bytes of pixels, or of media, in the rows that are put out together.
+GROUP_BYTES = 1 << 24
+
+
+def directories(data: bytes) -> Iterator[tuple[Page, dict[int, tuple[int, ...]], str]]:
+    """The image directories of a TIFF in their order, nothing decoded; a loop among them ends the walk."""
     order = {b"II": "<", b"MM": ">"}.get(data[:2]) if len(data) >= 8 else None
     if order is None or struct.unpack_from(f"{order}H", data, 2)[0] != 42:
-        yield Page(0, 0, 0, 0, 0, "", 0, False, None, "not a TIFF")
+        yield Page(0, 0, 0, 0, 0, "", 0, False, None, "not a TIFF"), {}, ""
         return
     (at,) = struct.unpack_from(f"{order}I", data, 4)
     seen: set[int] = set()
@@ -272,18 +288,23 @@ def pages(data: bytes) -> Iterator[Page]:
             tags, at = _directory(data, at, order)
             one = lambda tag, default, tags=tags: tags.get(tag, (default,))[0]
             page = Page(number, one(WIDTH, 0), one(LENGTH, 0), one(SAMPLES, 1), one(BITS, 1), NAMES.get(one(COMPRESSION, 1), str(one(COMPRESSION, 1))), one(PREDICTOR, 1), TILES in tags, None)
-        except struct.error:
-            yield Page(number, 0, 0, 0, 0, "", 0, False, None, "the directory is cut off")
+        except (struct.error, IndexError):
+            yield Page(number, 0, 0, 0, 0, "", 0, False, None, "the directory is cut off"), {}, order
             return
-        try:
-            page.pixels = _pixels(data, tags, order)
-        except (KeyError, ValueError, IndexError, zlib.error) as e:
-            page.error = str(e) or "not readable"
+        yield page, tags, order
+
+
+def pages(data: bytes, most: int = MOST_BYTES) -> Iterator[Page]:
+    """The pages of a TIFF, decoded one at a time; one of more than `most` bytes, or that cannot be read, has an error."""
+    for page, tags, order in directories(data):
+        if page.error is None:
+            try:
+                page.pixels = _pixels(data, tags, order, most)
+            except (KeyError, ValueError, IndexError, zlib.error) as e:
+                page.error = str(e) or "not readable"
         yield page
 
 
-#: Bytes of the pixels of one page; a page that claims more gives an error row (a row holds less than 2 GB).
-MOST_BYTES = 1 << 29
 PAGE_SCHEMA = "page int, n_pages int, width int, height int, samples int, bits int, compression string, predictor int, tiled boolean, mean double, deviation double, pixels binary, error string"
 
 
@@ -291,36 +312,47 @@ def _spread(pixels: np.ndarray | None) -> tuple[float | None, float | None]:
     """Mean and standard deviation of a page's samples, to three places, from whole-number sums."""
     if pixels is None or not pixels.size:
         return None, None
-    counts = np.bincount(pixels.reshape(-1))
+    flat, counts = pixels.reshape(-1), np.zeros(1 << 8 * pixels.itemsize, np.int64)
+    for a in range(0, len(flat), 1 << 20):
+        counts += np.bincount(flat[a : a + (1 << 20)], minlength=len(counts))
     value = np.arange(len(counts), dtype=np.int64)
     n, one, two = int(counts.sum()), int(counts @ value), int(counts @ (value * value))
     return round(one / n, 3), round(((two * n - one * one) / (n * n)) ** 0.5, 3)
 
 
-def read_tiff(media: DataFrame, media_col: str = "media") -> DataFrame:
+def read_tiff(media: DataFrame, media_col: str = "media", most: int = MOST_BYTES) -> DataFrame:
     """One row for each page: all other columns of media, and those of PAGE_SCHEMA.
 
     Defined cases: a null or empty value gives no page; one that is no TIFF, or a page that cannot be decoded, gives a
-    row whose pixels are null and whose error says why; other columns named like a page's are dropped.
+    row whose pixels are null and whose error says why, as does a page of more than `most` bytes (by default, than a row
+    can hold; set it lower for media from others); corrupt codes and checksums are errors, not other pixels. A page is
+    decoded when its row is due, and rows go out in groups of bounded bytes, so a task holds a value, a page and a group; other columns named like a page's are dropped.
     """
     own = [x.split(" ")[0] for x in PAGE_SCHEMA.split(", ")]
     keep = [c for c in media.columns if c != media_col and c not in own]
     n_keep = len(keep)
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.int32()] * 6 + [pa.string(), pa.int32(), pa.bool_(), pa.float64(), pa.float64(), pa.binary(), pa.string()]
+
+        def group(batch: pa.RecordBatch, at: list[int], rows: list[tuple]) -> pa.RecordBatch:
+            columns = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)]
+            return pa.RecordBatch.from_arrays([*[c.take(pa.array(at, pa.int64())) for c in batch.columns[:n_keep]], *columns], [*[f"_c{i}" for i in range(n_keep)], *own])
+
         for batch in batches:
-            for a in range(0, batch.num_rows, 64):
-                part, at, rows = batch.slice(a, 64), [], []
-                for i, value in enumerate(part.column(n_keep).to_pylist()):
-                    found = list(pages(value)) if value else []
-                    at += [i] * len(found)
-                    rows += [
-                        (p.number, len(found), p.width, p.height, p.samples, p.bits, p.compression, p.predictor, p.tiled, *_spread(p.pixels), None if p.pixels is None else p.pixels.tobytes(), p.error)
-                        for p in found
-                    ]
-                kinds = [pa.int32()] * 6 + [pa.string(), pa.int32(), pa.bool_(), pa.float64(), pa.float64(), pa.binary(), pa.string()]
-                columns = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)]
-                yield pa.RecordBatch.from_arrays([*[c.take(pa.array(at, pa.int64())) for c in part.columns[:n_keep]], *columns], [*[f"_c{i}" for i in range(n_keep)], *own])
+            at, rows, held = [], [], 0
+            for i, cell in enumerate(batch.column(n_keep)):
+                value = cell.as_py()
+                n = sum(1 for _ in directories(value)) if value else 0
+                for p in pages(value, most) if value else ():
+                    at.append(i)
+                    rows.append((p.number, n, p.width, p.height, p.samples, p.bits, p.compression, p.predictor, p.tiled, *_spread(p.pixels), None if p.pixels is None else p.pixels.tobytes(), p.error))
+                    held += 200 + (0 if p.pixels is None else p.pixels.nbytes)
+                    if held > GROUP_BYTES:
+                        yield group(batch, at, rows)
+                        at, rows, held = [], [], 0
+            if rows:
+                yield group(batch, at, rows)
 
     given = media.select(*[F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(keep)], F.col(f"`{media_col}`").alias("_media"))
     schema = ", ".join([*[f"_c{i} {media.schema[c].dataType.simpleString()}" for i, c in enumerate(keep)], PAGE_SCHEMA])
@@ -354,10 +386,16 @@ def text_to_tiff(documents: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a in range(0, batch.num_rows, 64):
-                part = batch.slice(a, 64)
-                raw = [(x or "").encode() for x in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) for x in raw], pa.int64()), pa.array([store(payload(x)) for x in raw], pa.binary())], ["_id", "n_bytes", "media"])
+            _, off = as_bytes(batch.column(1))
+            padded = np.concatenate([[0], np.cumsum(np.diff(off) + PAGE_WIDTH)])  # a bound of the payloads
+            for a, b in slices(padded, GROUP_BYTES):
+                part = batch.slice(a, b - a)
+                sizes, media = [], []
+                for x in part.column(1):
+                    raw = (x.as_py() or "").encode()
+                    sizes.append(len(raw))
+                    media.append(store(payload(raw)))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array(media, pa.binary())], ["_id", "n_bytes", "media"])
 
     kind = documents.schema[id_col].dataType.simpleString()
     return documents.select(F.col(id_col).alias("_id"), F.col(text_col)).mapInArrow(write, f"_id {kind}, n_bytes long, media binary").withColumnRenamed("_id", id_col)
