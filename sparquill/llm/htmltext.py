@@ -3,7 +3,8 @@
 A tree builder adds the tags that HTML implies (a paragraph ends at the next block, a list item at the next, rows and
 cells at theirs), visibility rules take out what a browser does not show, and the renderer emits all that is left:
 blocks on lines of their own with the blank lines of their margins, lists with their marks and indents, preformatted
-text as it is, and table cells in aligned columns.
+text as it is, and table cells in aligned columns, whatever their depth. Reading and layout keep their own stacks and
+take time linear in the page.
 """
 
 from __future__ import annotations
@@ -16,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparquill.llm.arrowtext import SLICE, as_bytes, slices
+
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style template noscript iframe noembed noframes xmp textarea title object svg math".split())
 #: Never shown, with all that they hold.
@@ -38,17 +41,16 @@ ENDED_BY = {
 }
 #: An end tag does not close what lies outside of these.
 BARRIER = frozenset("table td th caption".split())
-TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>""")
-#: After so many tags whose quotes never end, a page's quotes no longer hide the end of a tag, so that pages take linear time.
-MOST_FAILED = 64
-PLAIN_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
+#: A tag up to its end or its first quote.
+TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)([^>"']*)""")
+UNQUOTED = re.compile(r"""[^>"']*""")
 ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 HIDING = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
 RULE = re.compile(r"([^{}]+)\{([^{}]*)\}")
 SIMPLE = re.compile(r"\s*([a-z][a-z0-9]*)?([.#][\w-]+)?\s*$", re.I)
 SPACES = re.compile(r"[ \t\n\r\f]+")
-#: Nested tables beyond this depth are laid out as blocks; wider cells are not padded.
-MOST_TABLES, MOST_WIDTH = 8, 48
+#: Spaces that align a column, at most, for each character and cell of it (see _widths).
+PADDING = 16
 
 
 class Node:
@@ -67,6 +69,38 @@ def _attributes(text: str) -> dict[str, str]:
     return out
 
 
+class Tags:
+    """Where the tags of a page end. Quotes hide the sign that ends a tag; a tag whose quotes never end is none.
+
+    From an opening quote on, what follows does not depend on where the tag began. So the opening quotes from which no
+    end is reached are kept, and none is tried twice: reading all tags takes time linear in the page.
+    """
+
+    def __init__(self, source: str):
+        self.source, self.last = source, source.rfind(">")
+        self.endless: set[int] = set()
+
+    def at(self, lt: int) -> tuple[bool, str, str, int] | None:
+        """(whether an end tag, name, attributes, first place after the tag) of the tag that begins at lt."""
+        head = TAG.match(self.source, lt)
+        if head is None:
+            return None
+        source, p, tried = self.source, head.end(), []
+        while p <= self.last:
+            sign = source[p]
+            if sign == ">":
+                return bool(head[1]), head[2].lower(), source[head.start(3) : p], p + 1
+            if p in self.endless:
+                break
+            tried.append(p)
+            close = source.find(sign, p + 1)
+            if close < 0 or close > self.last:
+                break
+            p = UNQUOTED.match(source, close + 1).end()
+        self.endless.update(tried)
+        return None
+
+
 def build(source: str) -> tuple[Node, str]:
     """The tree of a page, and the text of its style sheets. Anything is accepted; text is never lost."""
     root, styles = Node("#root", {}), []
@@ -89,7 +123,7 @@ def build(source: str) -> tuple[Node, str]:
         return 0
 
     at, n = 0, len(source)
-    last, failed = source.rfind(">"), 0  # no tag ends after last
+    tags = Tags(source)
     while at < n:
         lt = source.find("<", at)
         if lt < 0:
@@ -103,10 +137,9 @@ def build(source: str) -> tuple[Node, str]:
             end = source.find(mark[0], lt + mark[1])
             at = n if end < 0 else end + len(mark[0])
             continue
-        maybe = lt < last and (nxt.isalpha() or nxt == "/")
-        tag = (TAG if failed < MOST_FAILED else PLAIN_TAG).match(source, lt) if maybe else None
+        maybe = lt < tags.last and (nxt.isalpha() or nxt == "/")
+        tag = tags.at(lt) if maybe else None
         if tag is None:
-            failed += maybe
             end = source.find(">", lt) if maybe else -1
             if end < 0:  # no tag: the sign itself
                 stack[-1].children.append("<")
@@ -114,8 +147,8 @@ def build(source: str) -> tuple[Node, str]:
             else:
                 at = end + 1
             continue
-        at, name = tag.end(), tag[2].lower()
-        if tag[1]:
+        ends, name, given, at = tag
+        if ends:
             if name == "br":
                 stack[-1].children.append(Node("br", {}))
             elif name in ("body", "html"):
@@ -139,8 +172,8 @@ def build(source: str) -> tuple[Node, str]:
             depth = find({"head"}, set())
             if depth:
                 close(depth)
-        node = Node(name, _attributes(tag[3]))
-        if name in VOID or (tag[3].endswith("/") and name in ("svg", "math", "object")):
+        node = Node(name, _attributes(given))
+        if name in VOID or (given.endswith("/") and name in ("svg", "math", "object")):
             stack[-1].children.append(node)
         elif name in RAW:
             end = re.compile(rf"</{re.escape(name)}(?![^\s/>])", re.I).search(source, at)
@@ -198,15 +231,21 @@ def visible(node: Node, rules: set[tuple[str, str]]) -> bool:
 
 
 class Flow:
-    """Text under layout: lines so far, blank lines that are due, and white space that waits."""
+    """Text under layout: lines so far, blank lines that are due, and white space that waits.
+
+    A line is a text, or (indent, lines): lines that were laid out in a cell, from the second on, which are not copied
+    again at each level of nested tables.
+    """
 
     def __init__(self) -> None:
-        self.lines: list[str] = []
+        self.lines: list[str | tuple[str, list]] = []
         self.now: list[str] = []
         self.due = self.gap = 0
         self.space = False
         self.indent: list[str] = []
         self.mark = ""
+        self.pre = 0
+        self.lists: list[list] = []
 
     def text(self, data: str) -> None:
         data = SPACES.sub(" ", data)
@@ -259,11 +298,35 @@ class Flow:
                 self._begin()
                 self.now.append(line)
 
-    def finish(self) -> str:
+    def block(self, lines: list) -> None:
+        """Finished lines of a cell on lines of their own."""
+        self.end(1)
+        self._begin()
+        self.now.append(lines[0])
+        if len(lines) > 1:
+            self.end(1)
+            self.lines.append(("".join(self.indent), lines[1:]))
+        self.end(1)
+
+    def finish(self) -> list:
         self.end(1)
         while self.lines and not self.lines[-1]:
             self.lines.pop()
-        return "\n".join(self.lines)
+        return self.lines
+
+
+def joined(lines: list) -> str:
+    out, todo = [], [("", iter(lines))]
+    while todo:
+        lead, rest = todo[-1]
+        for x in rest:
+            if isinstance(x, tuple):
+                todo.append((lead + x[0], iter(x[1])))
+                break
+            out.append(lead + x if x else x)
+        else:
+            todo.pop()
+    return "\n".join(out)
 
 
 def _cells(table: Node, rules: set[tuple[str, str]]) -> tuple[list[Node], list[list[Node]]]:
@@ -293,79 +356,105 @@ def _cells(table: Node, rules: set[tuple[str, str]]) -> tuple[list[Node], list[l
     return rest, rows
 
 
-def _table(node: Node, flow: Flow, rules: set[tuple[str, str]], depth: int) -> list:
-    """Lay a table out in aligned columns; cells of several lines come one after another as blocks instead."""
-    rest, rows = _cells(node, rules)
-    if rest:
-        holder = Node("div", {})
-        holder.children = rest
-        _render(holder, flow, rules, depth)
-    if not rows:
-        return
-    grid = []
-    for cells in rows:
-        line = []
-        for cell in cells:
-            inner = Flow()
-            _render_children(cell, inner, rules, depth + 1)
-            span = cell.attrs.get("colspan", "1")
-            line.append((inner.finish(), min(1000, max(1, int(span))) if span.isascii() and span.isdigit() and len(span) < 6 else 1))
-        grid.append(line)
-    if any("\n" in text for line in grid for text, _ in line):
-        for line in grid:
-            for text, _ in line:
-                if text:
-                    flow.end(1)
-                    flow.verbatim(text)
-                    flow.end(1)
-        return
-    widths: dict[int, int] = {}
-    for line in grid:
-        c = 0
-        for text, span in line:
-            if span == 1 and len(text) <= MOST_WIDTH:
-                widths[c] = max(widths.get(c, 0), len(text))
-            c += span
-    for line in grid:
-        out, c = [], 0
-        for text, span in line:
-            wide = sum(widths.get(k, 0) for k in range(c, c + span)) + 2 * (span - 1) if span <= 64 else 0
-            out.append(text.ljust(wide))
-            c += span
-        done = "  ".join(out).rstrip()
-        if done:
-            flow.end(1)
-            flow.verbatim(done)
-            flow.end(1)
-
+class Table:
+    """A table under layout: rows of cells that wait, and the laid-out cells of the rows before."""
 
-def _render_children(node: Node, flow: Flow, rules: set[tuple[str, str]], depth: int) -> None:
-    holder = Node("#cell", {})
-    holder.children = node.children
-    _render(holder, flow, rules, depth)
+    def __init__(self, rows: list[list[Node]], flow: Flow):
+        self.flow, self.rows = flow, rows
+        self.grid: list[list[tuple[list, int]]] = [[] for _ in rows]
+        self.todo = [(r, cell) for r in range(len(rows) - 1, -1, -1) for cell in reversed(rows[r])]
 
+    def add(self, row: int, cell: Node, lines: list) -> None:
+        span = cell.attrs.get("colspan", "1")
+        self.grid[row].append((lines, min(1000, max(1, int(span))) if span.isascii() and span.isdigit() and len(span) < 6 else 1))
 
-def _render(root: Node, flow: Flow, rules: set[tuple[str, str]], depth: int = 0) -> None:
+    def lay_out(self) -> None:
+        """In aligned columns; where a cell has several lines, cells come one after another as blocks instead."""
+        flow = self.flow
+        if any(len(lines) > 1 for row in self.grid for lines, _ in row):
+            for row in self.grid:
+                for lines, _ in row:
+                    if lines:
+                        flow.block(lines)
+            return
+        rows = [[(lines[0] if lines else "", span) for lines, span in row] for row in self.grid]
+        upto = _widths(rows)
+        pads, text = [], 0
+        for row in rows:
+            c = 0
+            for x, span in row:
+                end = min(c + span, len(upto) - 1)
+                pads.append(upto[end] - upto[c] + 2 * (end - c - 1) if end > c else 0)
+                c += span
+                text += len(x) + 1
+        spare = sum(max(0, wide - len(x)) for wide, (x, span) in zip(pads, (cell for row in rows for cell in row), strict=True) if span > 1)
+        wide = iter(pads)
+        for row in rows:
+            done = "  ".join([x.ljust(w) if span == 1 or spare <= PADDING * text else x for (x, span), w in zip(row, wide)]).rstrip()
+            if done:
+                flow.block([done])
+
+
+def _widths(rows: list[list[tuple[str, int]]]) -> list[int]:
+    """Running sums of the columns' widths, from 0. A column is as wide as its widest cell, if that takes at most PADDING
+    spaces for each character and cell of the column; else as the widest of its cells for which this holds, and wider
+    ones reach over it. So a laid-out table is linear in its text, and one odd cell does not push all others apart."""
+    sizes: list[list[int]] = []
+    for row in rows:
+        c = 0
+        for text, span in row:
+            sizes.extend([] for _ in range(c + (span == 1) - len(sizes)))
+            if span == 1:
+                sizes[c].append(len(text))
+            c += span
+    upto = [0]
+    for column in sizes:
+        column.sort()
+        most, width, below = PADDING * (sum(column) + len(column)), 0, 0
+        for k, size in enumerate(column):  # below: characters of the k shorter ones
+            if size * k - below <= most:
+                width = size
+            below += size
+        upto.append(upto[-1] + width)
+    return upto
+
+
+def _render(root: Node, flow: Flow, rules: set[tuple[str, str]]) -> None:
+    """Lay a tree out. What is to be done waits on one stack, cells and nested tables too."""
     todo: list = [root]
-    pre = 0
-    lists: list[list] = []
     while todo:
         x = todo.pop()
         if isinstance(x, str):
             data = html.unescape(x) if "&" in x else x
-            flow.verbatim(data) if pre else flow.text(data)
+            flow.verbatim(data) if flow.pre else flow.text(data)
+            continue
+        if isinstance(x, Table):
+            if x.todo:  # the next cell, in a flow of its own
+                row, cell = x.todo.pop()
+                flow = Flow()
+                todo.append((x, row, cell))
+                todo.extend(reversed(cell.children))
+            else:
+                x.lay_out()
+                flow.end(2)
+            continue
+        if isinstance(x, tuple) and len(x) == 3:  # the end of a cell
+            table, row, cell = x
+            table.add(row, cell, flow.finish())
+            flow = table.flow
+            todo.append(table)
             continue
         if isinstance(x, tuple):  # the end of an element
             tag, undo = x
             if tag in BLOCK:
-                flow.end(2 if tag in SPACED and not (tag in ("ul", "ol") and len(lists) > 1) else 1)
+                flow.end(2 if tag in SPACED and not (tag in ("ul", "ol") and len(flow.lists) > 1) else 1)
             if tag in ("ul", "ol", "menu", "dir"):
-                lists.pop()
+                flow.lists.pop()
             if undo:
                 flow.indent.pop()
                 flow.mark = ""
             if tag in ("pre", "textarea", "xmp"):
-                pre -= 1
+                flow.pre -= 1
             continue
         tag = x.tag
         if tag[0] != "#" and not visible(x, rules):
@@ -380,20 +469,24 @@ def _render(root: Node, flow: Flow, rules: set[tuple[str, str]], depth: int = 0)
                 flow.text(f" {x.attrs['value']} ")
             continue
         if tag in BLOCK:
-            flow.end(2 if tag in SPACED and not (tag in ("ul", "ol") and lists) else 1)
-        if tag == "table" and depth < MOST_TABLES:
-            _table(x, flow, rules, depth)
-            flow.end(2)
+            flow.end(2 if tag in SPACED and not (tag in ("ul", "ol") and flow.lists) else 1)
+        if tag == "table":
+            rest, rows = _cells(x, rules)
+            todo.append(Table(rows, flow))
+            if rest:
+                holder = Node("div", {})
+                holder.children = rest
+                todo.append(holder)
             continue
         undo = False
         if tag in ("ul", "ol", "menu", "dir"):
             start = x.attrs.get("start", "1")
-            lists.append([tag, int(start) if start.isascii() and start.isdigit() and len(start) < 9 else 1])
+            flow.lists.append([tag, int(start) if start.isascii() and start.isdigit() and len(start) < 9 else 1])
         elif tag == "li":
             mark = "- "
-            if lists and lists[-1][0] == "ol":
-                mark = f"{lists[-1][1]}. "
-                lists[-1][1] += 1
+            if flow.lists and flow.lists[-1][0] == "ol":
+                mark = f"{flow.lists[-1][1]}. "
+                flow.lists[-1][1] += 1
             flow.indent.append(" " * len(mark))
             flow.mark, undo = mark, True
         elif tag == "dd" or tag == "blockquote":
@@ -402,7 +495,7 @@ def _render(root: Node, flow: Flow, rules: set[tuple[str, str]], depth: int = 0)
         elif tag in ("td", "th", "q"):
             flow.space = True
         elif tag in ("pre", "textarea", "xmp"):
-            pre += 1
+            flow.pre += 1
             if x.children and isinstance(x.children[0], str) and x.children[0].startswith("\n"):
                 x.children[0] = x.children[0][1:]
         todo.append((tag, undo))
@@ -416,7 +509,7 @@ def render(source: str | None) -> str:
     root, css = build(source)
     flow = Flow()
     _render(root, flow, hiding_rules(css))
-    return flow.finish()
+    return joined(flow.finish())
 
 
 def extract(pages: DataFrame, html_col: str = "html", out_col: str = "text") -> DataFrame:
@@ -427,9 +520,10 @@ def extract(pages: DataFrame, html_col: str = "html", out_col: str = "text") ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a in range(0, batch.num_rows, 256):
-                part = batch.slice(a, 256)
-                text = pa.array([render(x) for x in part.column(n_keep).to_pylist()], pa.string())
+            _, off = as_bytes(batch.column(n_keep))
+            for a, b in slices(off, 8 * SLICE):
+                part = batch.slice(a, b - a)
+                text = pa.array([render(x.as_py()) for x in part.column(n_keep)], pa.string())
                 yield pa.RecordBatch.from_arrays([*part.columns[:n_keep], text], [*[f"_c{i}" for i in range(n_keep)], "_text"])
 
     given = pages.select(*[F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(keep)], F.col(f"`{html_col}`").alias("_html"))

@@ -124,3 +124,135 @@ def test_spread_in_parts():
     assert tracemalloc.get_traced_memory()[1] < 20e6
     tracemalloc.stop()
     assert (mean, deviation) == (round(float(big.mean()), 3), round(float(big.std()), 3)) and T._spread(None) == (None, None)
+
+
+class Pages:
+    """Random pages, each with its layout put together from the layouts of its parts: (html, top, lines, bottom), where top
+    and bottom are the line ends that are due before and after."""
+
+    def __init__(self, seed: int):
+        import random
+
+        self.rnd = random.Random(seed)
+
+    def words(self) -> str:
+        return " ".join(self.rnd.choice(["a", "bc", "d&amp;e", "fghij", "k" * 30, "l" * 70]) for _ in range(self.rnd.randint(1, 4)))
+
+    def text(self):
+        x = self.words()
+        spaced = x.replace(" ", self.rnd.choice([" ", "\n ", "\t"]))
+        return spaced, 0, [x.replace("&amp;", "&")], 0
+
+    def joined(self, parts):
+        """Parts one after another, with the larger of two neighbours' margins between them."""
+        html, lines = "", []
+        for i, (h, top, own, bottom) in enumerate(parts):
+            html += h
+            if i:
+                lines += [""] * (max(parts[i - 1][3], top, 1) - 1)
+            lines += own
+        return html, parts[0][1], lines, parts[-1][3]
+
+    def around(self, margin, html, part):
+        return html, max(margin, part[1]), part[2], max(margin, part[3])
+
+    def blocks(self, depth, inside):
+        out = []
+        for _ in range(self.rnd.randint(1, 3)):
+            kind = self.rnd.choice(["p", "div", "list", "table", "hidden"]) if depth else "p"
+            if kind == "p":
+                part = self.text()
+                out.append(self.around(2, f"<p>{part[0]}" + self.rnd.choice(["", "</p>"]), part))
+            elif kind == "div":
+                part = self.joined(self.blocks(depth - 1, inside))
+                out.append(self.around(1, f"<div class='x>y'>{part[0]}</div>", part))
+            elif kind == "list":
+                out.append(self.listed(depth - 1, inside))
+            elif kind == "table":
+                out.append(self.table(depth - 1))
+            else:
+                h, top, lines, bottom = out.pop() if out else self.around(1, "<div>q</div>", ("", 0, ["q"], 0))
+                out.append((h + self.rnd.choice(["<div hidden>no<p>no</div>", "<script>if (a<b) '</p>'</script>", "<p style='display:none'>no</p>"]), top, lines, bottom))
+        return out
+
+    def listed(self, depth, inside):
+        tag, items, html = self.rnd.choice(["ul", "ol"]), [], ""
+        for i in range(self.rnd.randint(1, 3)):
+            parts = [self.text()] + (self.blocks(depth, True) if depth > 0 and self.rnd.random() < 0.5 else [])
+            h, top, lines, bottom = self.joined(parts)
+            mark = "- " if tag == "ul" else f"{i + 1}. "
+            lines = [(mark if k == 0 else " " * len(mark)) + x if x else x for k, x in enumerate(lines)]
+            html += f"<li>{h}" + self.rnd.choice(["", "</li>"])
+            items.append(("", max(1, top), lines, max(1, bottom)))
+        return self.around(1 if inside else 2, f"<{tag}>{html}</{tag}>", self.joined(items))
+
+    def table(self, depth):
+        html, grid, columns = "", [], self.rnd.randint(1, 3)
+        for _ in range(self.rnd.randint(1, 4)):
+            row = [self.joined(self.blocks(depth, False)) if depth > 0 and self.rnd.random() < 0.3 else self.text() for _ in range(columns)]
+            html += "<tr>" + "".join(f"<td>{h}" + self.rnd.choice(["", "</td>"]) for h, _, _, _ in row) + self.rnd.choice(["", "</tr>"])
+            grid.append([lines for _, _, lines, _ in row])
+        if any(len(x) > 1 for row in grid for x in row):
+            lines = [y for row in grid for x in row for y in x]
+        else:
+            wide = []
+            for column in zip(*grid):
+                sizes = [len(x[0]) for x in column]
+                wide.append(max(w for w in sizes if sum(w - x for x in sizes if x <= w) <= 16 * sum(x + 1 for x in sizes)))
+            lines = ["  ".join(x[0].ljust(w) for x, w in zip(row, wide)).rstrip() for row in grid]
+        return f"<table>{html}</table>", 2, lines, 2
+
+
+def test_layout_against_layouts_of_parts():
+    from sparquill.llm.htmltext import render
+
+    for seed in range(400):
+        pages = Pages(seed)
+        page = pages.joined(pages.blocks(4, False))
+        assert render(page[0]) == "\n".join(page[2]), page[0]
+
+
+def test_tags_behind_broken_ones():
+    """What a page holds elsewhere does not change how a tag is read, and reading stays linear."""
+    import re
+    import time
+
+    from sparquill.llm.htmltext import Tags, render
+
+    good = '<a title="a>b">T</a>'
+    assert render(good) == "T" and render("<i '>" * 71 + good).endswith("T") and '">T' not in render('<x "b>' * 70 + good)
+    whole = re.compile(r"""<(/?)([a-zA-Z][^\s/>"']*)(?![^\s/>])((?:[^>"']|"[^"]*"|'[^']*')*+)>""")
+    import random
+
+    rnd = random.Random(8)
+    for _ in range(3000):
+        page = "".join(rnd.choice(["<a ", "<b", " ", ">", '"', "'", "x=", "</c", "/"]) for _ in range(rnd.randint(1, 25)))
+        tags = Tags(page)
+        for lt in range(len(page)):
+            if page[lt] == "<" and not re.match(r"<(/?)[a-zA-Z][^\s/>]*[\"']", page[lt:]):
+                want, got = whole.match(page, lt), tags.at(lt)
+                assert (want is None) == (got is None), (page, lt)
+                assert got is None or (got[1], got[2], got[3]) == (want[2].lower(), want[3], want.end()), (page, lt)
+    start = time.time()
+    for page in ('<a "<b>' * 40_000 + "'", "<table>" * 30_000, "<table><tr><td>" * 20_000 + "y", "<table><tr><td>a<p>b" * 10_000, "<a x='>\"" * 40_000):
+        render(page)
+    assert time.time() - start < 60
+
+
+def test_one_odd_cell_keeps_tables_linear():
+    from sparquill.llm.htmltext import render
+
+    page = "<table><tr><td>" + "w" * 200_000 + "<td>z" + "<tr><td>ab<td>c<tr><td>a<td>b" * 5000
+    text = render(page)
+    assert len(text) < 20 * len(page) and text.split("\n")[1:3] == ["ab  c", "a   b"]
+    assert render("<table><tr><td>" + "w" * 60 + "<td>z<tr><td>abcdef<td>c") == "w" * 60 + "  z\n" + "abcdef".ljust(60) + "  c"
+    spans = render("<table>" + "<tr><td colspan=1000>x<td>y" * 500 + "<tr>" + "<td>word" * 300)
+    assert len(spans) < 100_000
+
+
+def test_html_rows_that_repeat_and_clash(spark):
+    from sparquill.llm.htmltext import extract
+
+    rows = [(1, "<p>a" * 30_000, "x"), (1, "<p>a" * 30_000, "x"), (None, None, None)]
+    got = extract(spark.createDataFrame(rows, "page_id long, html string, _html string")).collect()
+    assert sorted((r.page_id or 0, len(r.text), r._html or "") for r in got) == [(0, 0, ""), (1, 89_998, "x"), (1, 89_998, "x")]
