@@ -1,7 +1,7 @@
 """Quality classifier from weak labels.
 
-Eight overlapping heuristics vote good, bad or abstain on each document. Votes are summed to a count of each vote
-pattern over all documents (at most 3^8 rows), expectation-maximisation on these counts estimates how accurate each
+Ten overlapping heuristics, three of them about repetition, vote good, bad or abstain on each document. Votes are summed
+to a count of each vote pattern over all documents (at most 3^10 rows), expectation-maximisation on these counts estimates how accurate each
 heuristic is, and a pattern's posterior is a soft label. On a bounded sample these labels train a linear scorer over
 hashed byte trigrams and a few statistics, which then scores every document.
 """
@@ -19,8 +19,10 @@ from pyspark.sql import functions as F
 from sparquill.llm.arrowtext import as_bytes, mix, slices, word_hashes
 
 BUCKETS = 1 << 14
-#: Documents (about) that the scorer is trained on, and steps of training.
-SAMPLE, STEPS = 6_000, 80
+#: Documents (about) that the scorer is trained on, bytes (about) of their features, and steps of training.
+SAMPLE, SAMPLE_BYTES, STEPS = 6_000, 1 << 26, 80
+#: Bytes of a text's bucket and its share.
+FEATURE = 6
 BAD, GOOD, ABSTAIN = 0, 1, 2
 
 
@@ -35,11 +37,15 @@ _LETTER = _UPPER | _table(bytes(range(97, 123))) | _table(bytes(range(128, 256))
 _SPACE = _table(b" \t\n\r\f\v")
 _SYMBOL = _table(b"#*%&$|~^=<>{}[]\\@+_/")
 _STOP = _table(b".!?")
-STATS = ("words", "mean_length", "symbols", "upper", "distinct_pairs", "short", "letters", "stops")
+STATS = ("words", "mean_length", "symbols", "upper", "distinct_pairs", "short", "letters", "stops", "doubled", "variety")
 
 
 def statistics(raw: np.ndarray, off: np.ndarray, a: int, b: int) -> np.ndarray:
-    """A row for each text, a column for each of STATS (shares are of words, letters or characters; 0 for empty texts)."""
+    """A row for each text, a column for each of STATS (shares are of words, letters or characters; 0 for empty texts).
+
+    doubled: share of words that equal the word before; variety: distinct words by the root of the number of words, which
+    stays about level as texts grow.
+    """
     edges = off[a : b + 1]
     part, at = raw[edges[0] : edges[-1]], edges - edges[0]
 
@@ -54,22 +60,26 @@ def statistics(raw: np.ndarray, off: np.ndarray, a: int, b: int) -> np.ndarray:
     solid = count(~_SPACE)
     letters = count(_LETTER)
     doc = np.repeat(np.arange(b - a, dtype=np.uint64), np.diff(cut))
-    distinct = np.ones(b - a)
+
+    def different(owner: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+        key = np.unique((owner << np.uint64(44)) | (hashes >> np.uint64(20)))
+        return np.bincount((key >> np.uint64(44)).astype(np.int64), minlength=b - a)
+
+    distinct, doubled = np.ones(b - a), np.zeros(b - a)
     if len(h) > 1:
+        both = doc[:-1] == doc[1:]
         with np.errstate(over="ignore"):
-            pair = mix(h[:-1] + np.uint64(3) * h[1:])[doc[:-1] == doc[1:]]
-        owner = doc[:-1][doc[:-1] == doc[1:]]
-        key = np.unique((owner << np.uint64(44)) | (pair >> np.uint64(20)))
-        got = np.bincount((key >> np.uint64(44)).astype(np.int64), minlength=b - a)
-        distinct = np.where(words > 1, got / np.maximum(words - 1, 1), 1.0)
+            pair = mix(h[:-1] + np.uint64(3) * h[1:])[both]
+        distinct = np.where(words > 1, different(doc[:-1][both], pair) / np.maximum(words - 1, 1), 1.0)
+        doubled = np.bincount(doc[1:][both & (h[:-1] == h[1:])].astype(np.int64), minlength=b - a) / np.maximum(words - 1, 1)
     # function words: short ones that begin with a letter
     short = np.bincount(doc[(length <= 3) & _LETTER[raw[first]]].astype(np.int64), minlength=b - a)
-    return np.stack([words, solid / one, count(_SYMBOL) / one, count(_UPPER) / np.maximum(letters, 1), distinct, short / one, letters / np.maximum(solid, 1), count(_STOP) / one], 1)
+    return np.stack([words, solid / one, count(_SYMBOL) / one, count(_UPPER) / np.maximum(letters, 1), distinct, short / one, letters / np.maximum(solid, 1), count(_STOP) / one, doubled, different(doc, h) / np.sqrt(one)], 1)
 
 
 def votes(s: np.ndarray) -> np.ndarray:
     """The heuristics' votes, a column for each. Fixed thresholds; between them a heuristic abstains."""
-    words, length, symbols, upper, distinct, short, letters, stops = s.T
+    words, length, symbols, upper, distinct, short, letters, stops, doubled, variety = s.T
 
     def vote(bad: np.ndarray, good: np.ndarray) -> np.ndarray:
         return np.where(bad, BAD, np.where(good, GOOD, ABSTAIN))
@@ -83,6 +93,8 @@ def votes(s: np.ndarray) -> np.ndarray:
         vote((short < 0.03) & (words >= 20), short > 0.12),
         vote(letters < 0.75, letters > 0.85),
         vote(((stops < 0.004) & (words >= 30)) | (stops > 0.5), (stops >= 0.02) & (stops <= 0.3)),
+        vote((doubled > 0.1) & (words >= 5), (doubled < 0.03) & (words >= 5)),
+        vote((variety < 2) & (words >= 20), (variety > 4) & (words >= 20)),
     ], 1)
 
 
@@ -91,23 +103,25 @@ def pattern(v: np.ndarray) -> np.ndarray:
 
 
 def estimate(patterns: np.ndarray, counts: np.ndarray, rounds: int = 100) -> tuple[np.ndarray, np.ndarray, float]:
-    """EM over vote patterns: (posterior of good for each pattern, P(vote | class) by heuristic, prior of good).
+    """EM over vote patterns: (posterior of good for each pattern, P(vote | class) by heuristic, 1 for none, prior of good).
 
-    Starts from the share of good among the votes given; every vote outcome is smoothed by one document.
+    Starts from the share of good among the votes given. An abstention is a missing vote and says nothing of the class, so
+    that texts too short for most heuristics are not bad for it; P(vote | class) is of votes given, each outcome smoothed
+    by one document.
     """
     n = len(STATS)
     v = (patterns[:, None] // 3 ** np.arange(n)) % 3
     good, bad = (v == GOOD).sum(1), (v == BAD).sum(1)
     q = np.clip((good + 0.5) / (good + bad + 1.0), 0.02, 0.98)
-    table, prior = np.zeros((n, 2, 3)), 0.5
+    table, prior = np.ones((n, 2, 3)), 0.5
     for _ in range(rounds):
         prior = float((q * counts).sum() / max(counts.sum(), 1e-9))
         for k in range(n):
-            for o in range(3):
+            for o in (BAD, GOOD):
                 hit = v[:, k] == o
                 table[k, 1, o] = (q * counts)[hit].sum() + 1
                 table[k, 0, o] = ((1 - q) * counts)[hit].sum() + 1
-            table[k] /= table[k].sum(1, keepdims=True)
+            table[k, :, :ABSTAIN] /= table[k, :, :ABSTAIN].sum(1, keepdims=True)
         log = np.log(np.clip([1 - prior, prior], 1e-6, 1)) + sum(np.log(table[k][:, v[:, k]]).T for k in range(n))
         new = 1 / (1 + np.exp(np.clip(log[:, 0] - log[:, 1], -50, 50)))
         if np.abs(new - q).max(initial=0) < 1e-9:
@@ -120,6 +134,7 @@ def _dense(s: np.ndarray) -> np.ndarray:
     out = s.copy()
     out[:, 0] = np.log1p(out[:, 0]) / 5
     out[:, 1] = np.minimum(out[:, 1], 20) / 10
+    out[:, 9] = np.minimum(out[:, 9], 20) / 10
     return np.minimum(out, 3.0)
 
 
@@ -182,8 +197,9 @@ def _patterns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw, off = as_bytes(batch.column(0))
         found = [pattern(votes(statistics(raw, off, a, b))) for a, b in slices(off)]
         if found:
-            p, n = np.unique(np.concatenate(found), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(p.astype(np.int32)), pa.array(n.astype(np.int64))], ["pattern", "n"])
+            p, place, n = np.unique(np.concatenate(found), return_inverse=True, return_counts=True)
+            size = np.bincount(place, FEATURE * np.minimum(np.diff(off), BUCKETS))  # at most, of their features
+            yield pa.RecordBatch.from_arrays([pa.array(p.astype(np.int32)), pa.array(n.astype(np.int64)), pa.array(size.astype(np.int64))], ["pattern", "n", "size"])
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,21 +218,22 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def score_quality(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, least: float = 0.5) -> DataFrame:
+def score_quality(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, least: float = 0.5, sample_bytes: int = SAMPLE_BYTES) -> DataFrame:
     """id, score (0 to 1), weak_posterior, votes_good, votes_bad, keep (score >= least) of each document.
 
     All documents' votes enter the estimate. The scorer is trained on about `sample` documents, those whose text's hash
-    is below the share that gives this number. Defined cases: a null text counts as empty; an empty text has 0 words,
+    is below the share that gives this number, or fewer, so that their features, which go to the driver, take about
+    `sample_bytes` at most (a text's take 6 bytes for each of its bytes, and 98 KB at most). Defined cases: a null text counts as empty; an empty text has 0 words,
     which the length heuristic votes bad; equal texts get equal scores; an empty table gives no rows.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    counted = documents.select(text.alias("text")).mapInArrow(_patterns, "pattern int, n long").groupBy("pattern").agg(F.sum("n").alias("n"))
-    seen = sorted((r["pattern"], r["n"]) for r in counted.collect())  # at most 3^8 rows
-    patterns, counts = np.array([p for p, _ in seen], np.int64), np.array([n for _, n in seen], np.float64)
+    counted = documents.select(text.alias("text")).mapInArrow(_patterns, "pattern int, n long, size long").groupBy("pattern").agg(F.sum("n").alias("n"), F.sum("size").alias("size"))
+    seen = sorted((r["pattern"], r["n"], r["size"]) for r in counted.collect())  # at most 3^10 rows
+    patterns, counts = np.array([p for p, _, _ in seen], np.int64), np.array([n for _, n, _ in seen], np.float64)
     posterior, _, _ = estimate(patterns, counts)
     soft = dict(zip(patterns.tolist(), posterior.tolist(), strict=True))
 
-    share = min(1.0, sample / max(1.0, counts.sum()))
+    share = min(1.0, sample / max(1.0, counts.sum()), sample_bytes / max(1, sum(size for _, _, size in seen)))
     picked = documents.select(text.alias("text")).where(F.pmod(F.xxhash64("text"), F.lit(1 << 40)) < share * (1 << 40))
     # a text that makes up a large part of the corpus is trained on once
     got = picked.dropDuplicates(["text"]).mapInArrow(_features, "pattern int, dense binary, buckets binary, shares binary").collect()

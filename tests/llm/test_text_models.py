@@ -155,7 +155,8 @@ def test_quality(spark, tiny):
     from sparquill.llm import quality
     from sparquill.llm.queries import queries
 
-    v = np.array([[1] * 8, [0] * 8, [1] * 7 + [0]])
+    n = len(quality.STATS)  # one heuristic for each
+    v = np.array([[1] * n, [0] * n, [1] * (n - 1) + [0]])
     q, table, prior = quality.estimate(quality.pattern(v), np.array([80.0, 15.0, 5.0]))
     assert q[0] > 0.9 and q[1] < 0.1 and 0.7 < prior < 0.95
     cases = quality.score_quality(frame(spark, ODD)).collect()
@@ -163,7 +164,7 @@ def test_quality(spark, tiny):
     assert quality.score_quality(frame(spark, [])).count() == 0
     found = queries()["op3_quality"](spark, tiny).join(spark.read.parquet(f"{tiny}/labels.parquet"), "doc_id")
     good, bad = found.where("quality = 1"), found.where("quality = 0")
-    assert good.where("keep").count() >= 0.95 * good.count() and bad.where("not keep").count() >= 0.4 * bad.count()
+    assert good.where("keep").count() >= 0.95 * good.count() and bad.where("not keep").count() >= 0.9 * bad.count()
 
 
 def test_html():
