@@ -14,8 +14,8 @@ import numpy as np
 import pyarrow as pa
 import regex
 
-#: Pieces that are remembered at most, by a task; then the memory is emptied.
-MOST_CHUNKS, MOST_WORDS = 250_000, 400_000
+#: Pieces that are remembered at most, by a Python worker (some 250 MB); then the memory is emptied.
+MOST_CHUNKS, MOST_WORDS = 600_000, 1_000_000
 JOINED = 500
 WHOLE = re.compile(r"<\||[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 #: Beyond these, lower-casing and normalising may look at neighbours.
