@@ -4,7 +4,7 @@ A document's five-word shingles are weighted by how often they occur. Each shing
 at a rate of its weight, to random registers; a register keeps the shingle of its earliest arrival, so two documents
 agree in a register with the probability Jaccard similarity of their shingle distributions. A shingle's process ends as
 soon as its next arrival is later than all of the document's registers. Registers are banded, bands are buckets, and
-candidates are verified by the exact Jaccard similarity of their shingle sets. As a passage that one text repeats moves
+candidates are verified by the Jaccard similarity of their sets of 32-bit shingle hashes. As a passage that one text repeats moves
 its counts but not its set, a document with repeated shingles has a second sketch, of unit weights. One without has the
 same registers by both.
 """
