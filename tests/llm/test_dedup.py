@@ -230,6 +230,59 @@ def test_recall_of_fuzzy_lines(spark):
     assert len(dropped & set(want)) >= 0.97 * len(want) and not any(i in dropped for i, k in enumerate(kind) if not k)
 
 
+def candidates(lines):
+    """Bucket keys of each line without the length, by source: SimHash blocks, bands of n-grams."""
+    import pyarrow as pa
+
+    from sparquill.llm import lines as module
+
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(lines))), pa.array(range(len(lines))), pa.array(lines)], ["_id", "uid", "text"])
+    keys: dict = {i: (set(), set()) for i in range(len(lines))}
+    for part in module._keys(iter([batch]), 1, True):
+        for i, marks, text in zip(part.column(0).to_pylist(), part.column(5).to_pylist(), (lines[i] for i in part.column(0).to_pylist()), strict=True):
+            blocks = module.BLOCKS if len(text.split()) >= module.LEAST_WORDS else 0
+            keys[i] = ({k >> module.LENGTH_BITS for k in marks[:blocks]}, {k >> module.LENGTH_BITS for k in marks[blocks:]})
+    return keys
+
+
+def test_candidates_by_length_edit_and_source():
+    """Of pairs of edit similarity 0.9 and more, how many become candidates: at each length, for each kind of edit; and that the bands, not
+    the blocks of the SimHash, find them."""
+    rnd = random.Random(12)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    vocabulary = ["".join(rnd.choice(letters) for _ in range(rnd.randint(2, 9))) for _ in range(3000)]
+
+    def exchanged(text, share):
+        c = list(text)
+        for i in rnd.sample([i for i, x in enumerate(c) if x != " "], max(1, int(len(c) * share))):
+            c[i] = rnd.choice(letters)
+        return "".join(c)
+
+    def moved(text, share):
+        c = list(text)
+        for k in range(max(1, int(len(c) * share))):
+            i = rnd.choice([i for i, x in enumerate(c) if x != " "])
+            c[i : i + 1] = [] if k % 2 else [c[i], rnd.choice(letters)]
+        return "".join(c)
+
+    kinds = {"one": lambda t: exchanged(t, 0), "0.04": lambda t: exchanged(t, 0.04), "0.08": lambda t: exchanged(t, 0.08), "0.095": lambda t: exchanged(t, 0.095), "moved": lambda t: moved(t, 0.08)}
+    least = {(n, k): 0.85 if n <= 5 else {"one": 0.95, "0.04": 0.93, "0.08": 0.65, "0.095": 0.45, "moved": 0.65}[k] for n in (3, 5, 8, 20, 80) for k in kinds}
+    by_blocks = by_bands = 0
+    for (n, kind), want in least.items():
+        pairs = []
+        while len(pairs) < 60:
+            x = " ".join(rnd.choice(vocabulary) for _ in range(n))
+            y = " ".join(kinds[kind](x).split())
+            if x != y and (n > 8 or 1 - edit(x, y) / max(len(x), len(y)) >= 0.9):
+                pairs.append((x, y))
+        keys = candidates([t for pair in pairs for t in pair])
+        meet = [tuple(bool(keys[2 * i][k] & keys[2 * i + 1][k]) for k in (0, 1)) for i in range(len(pairs))]
+        assert sum(any(m) for m in meet) >= want * len(meet), (n, kind, sum(any(m) for m in meet) / len(meet))
+        by_blocks += sum(m[0] and not m[1] for m in meet)
+        by_bands += sum(m[1] and not m[0] for m in meet)
+    assert by_bands > 10 * max(by_blocks, 1)
+
+
 def test_short_lines(spark):
     """With least_words = 1 every line that is not blank takes part: few words, scripts without spaces, marks alone."""
     from sparquill.llm.lines import drop_repeated_lines, without_repeated_lines
