@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sparquill.functions import text as X
 from sparquill.operators import agreement, cleaning, evaluation, sampling, scoring, signals
 from sparquill.plans import adapters as A
-from sparquill.plans.catalog import LATIN, query, sql_hits
+from sparquill.plans.catalog import LATIN, SQL, query, sql_hits
 
 GP = "WITH " + A.ctes("v_gold", "v_predictions") + """,
 pairs AS (SELECT p.report_id, g.phenomenon AS gold, p.phenomenon AS pred, p.uncertainty, g.annotation_confidence AS confidence,
@@ -198,7 +198,41 @@ def char_overlap(spark: SparkSession, sf: str) -> DataFrame:
 _TXT = "(title || chr(10) || summary)"
 
 
-@query("ablation_variants")
+_LONG = "len(list_filter(string_split(summary, ' '), lambda x: length(x) {} AND trim(x) <> ''))"
+
+
+def _to4(x: str) -> str:
+    """Four digits, half up on the double's shortest decimal form, as Spark rounds."""
+    return f"CAST(round(CAST(CAST({x} AS VARCHAR) AS DECIMAL(38, 20)), 4) AS DOUBLE)"
+
+
+_FLAGS = ", ".join(f"('{name}', {', '.join(str(x).upper() for x in (f.retrieval, f.neutralizer, f.verifier, f.gate, f.prior))})" for name, f in scoring.VARIANTS.items())
+
+
+@query("ablation_variants", "WITH " + A.ctes("v_docs") + f""", labels AS ({SQL["rule_labels"]}), flags(variant, retrieval, neutralizer, verifier, gate, prior) AS (VALUES {_FLAGS}),
+d AS (SELECT doc_id, title, summary, fundamental_sentiment, strategic_optimism, phenomenon AS found, {sql_hits(_TXT, LATIN.hedges)} AS hedges, {sql_hits(_TXT, LATIN.risks)} AS risks, {sql_hits('summary', LATIN.risks)} AS beyond,
+    {_LONG.format('>= 14')} AS cues, {_LONG.format('= 13')} AS risk_cues, CASE WHEN doc_id % 3 = 0 THEN {_LONG.format('= 12')} ELSE 0 END AS missing,
+    CASE WHEN summary = '' THEN 0.0::DOUBLE ELSE least(1.0::DOUBLE, len(list_filter(string_split(summary, chr(10)), lambda x: trim(x) <> '')) / 5.0::DOUBLE) END AS covered,
+    (doc_id % 10)::DOUBLE / 10.0::DOUBLE AS consistency, doc_id % 5 = 0 AS failed,
+    least(0.6::DOUBLE, greatest(0.2::DOUBLE, CASE WHEN doc_id % 5 = 0 THEN 0.25::DOUBLE ELSE 0 END + CASE WHEN doc_id % 7 = 0 THEN 0.35::DOUBLE ELSE 0 END)) AS penalty
+  FROM v_docs JOIN labels USING (doc_id)),
+e AS (SELECT *, CASE fundamental_sentiment WHEN 'positive' THEN 1.0::DOUBLE WHEN 'negative' THEN -1.0::DOUBLE ELSE 0.0::DOUBLE END AS fact,
+    CASE strategic_optimism WHEN 'high' THEN 1.0::DOUBLE WHEN 'low' THEN -1.0::DOUBLE ELSE 0.0::DOUBLE END AS raw,
+    neutralizer AND NOT failed AND doc_id % 2 = 0 AND replace(summary, 'th', '') NOT IN ('', summary) AS active,
+    CASE WHEN retrieval THEN covered ELSE 1.0::DOUBLE END AS coverage,
+    {_to4("least(1.0::DOUBLE, 0.15::DOUBLE * hedges + 0.2::DOUBLE * cues)")} AS hedge_score,
+    CASE WHEN retrieval THEN {_to4("least(1.0::DOUBLE, 0.08::DOUBLE * greatest(0, beyond - risks) + 0.1::DOUBLE * risk_cues + 0.18::DOUBLE * missing)")} ELSE 0.0::DOUBLE END AS omission_penalty
+  FROM d CROSS JOIN flags),
+f AS (SELECT *, CASE WHEN active THEN fact ELSE raw END AS counterfactual_score,
+    {_to4("CASE WHEN NOT verifier THEN (own + (1 - coverage)) / 2 WHEN failed THEN (own + (1 - consistency) + penalty + (1 - coverage)) / 4 ELSE (own + (1 - consistency) + (1 - coverage)) / 3 END")} AS u
+  FROM (SELECT *, 0.45::DOUBLE AS own FROM e)),
+g AS (SELECT *, {_to4("raw - counterfactual_score + hedge_score + omission_penalty")} AS gap, greatest(0.7::DOUBLE, 1 - 0.45::DOUBLE * u) AS base FROM f),
+h AS (SELECT *, {_to4("least(1.0::DOUBLE, CASE WHEN NOT verifier THEN base WHEN failed THEN least(base, greatest(0.2::DOUBLE, 0.5::DOUBLE * consistency)) ELSE greatest(base, 0.25::DOUBLE + 0.75::DOUBLE * consistency) END)")} AS confidence FROM g),
+i AS (SELECT *, CASE WHEN prior THEN gated ELSE {_to4("0.6::DOUBLE * gated")} END AS effective FROM (SELECT *, CASE WHEN gate THEN gap * confidence ELSE gap END AS gated FROM h)),
+j AS (SELECT *, {_to4("fact - 0.85::DOUBLE * effective")} AS composite_score FROM i)
+SELECT doc_id, variant, fact AS sentiment_score, counterfactual_score, hedge_score, omission_penalty, gap AS strategic_optimism_gap, coverage AS retrieval_coverage, u AS uncertainty, confidence AS penalty_confidence,
+  {_to4("fact - effective")} AS gated_score, composite_score, {_to4("0.7::DOUBLE * composite_score + 0.3::DOUBLE * fact")} AS blend_score,
+  CASE WHEN NOT retrieval AND found = 'hedged_downside' THEN 'none' ELSE found END AS phenomenon FROM j""")
 def ablation_variants(spark: SparkSession, sf: str) -> DataFrame:
     """Scores of every document under each set of flags, from labels by lexicon and stage outputs made from the text."""
     from sparquill.functions import lexicon as L
