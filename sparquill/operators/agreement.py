@@ -30,12 +30,24 @@ def cohen_kappa(pairs: DataFrame) -> DataFrame:
     )
 
 
+def _patterns(rated: DataFrame) -> DataFrame:
+    """(item_id, v) -> (cells, m, items): how many items have the same counts of values; cells: (v, n) of each value, m: ratings.
+
+    An item's values are gathered as an array of its raters' alone; the patterns, not the items, go on.
+    """
+    item = rated.groupBy("item_id").agg(F.sort_array(F.collect_list("v")).alias("vs"))
+    pattern = item.groupBy("vs").agg(F.count(F.lit(1)).alias("items"))
+    cells = F.transform(F.array_distinct("vs"), lambda v: F.struct(v.alias("v"), F.size(F.filter("vs", lambda x: x == v)).cast("long").alias("n")))
+    return pattern.select(cells.alias("cells"), F.size("vs").cast("long").alias("m"), "items")
+
+
 def fleiss_kappa(ratings: DataFrame, raters: int) -> DataFrame:
     """For items that all raters have."""
-    cell = ratings.where("label is not null").groupBy("item_id", "label").agg(F.count(F.lit(1)).alias("n"))
-    item = cell.groupBy("item_id").agg(F.sum("n").alias("m"), F.sum(F.col("n") * F.col("n")).alias("sq"), F.collect_list(F.struct("label", "n")).alias("cells")).where(F.col("m") == raters)
-    share = item.select(F.explode("cells").alias("c")).groupBy("c.label").agg(F.sum("c.n").alias("n"))
-    p = item.agg(F.count(F.lit(1)).alias("items"), F.avg((F.col("sq") - raters) / float(raters * (raters - 1))).alias("p"))
+    item = _patterns(ratings.where("label is not null").select("item_id", F.col("label").alias("v"))).where(F.col("m") == raters)
+    share = item.select("items", F.explode("cells").alias("c")).groupBy("c.v").agg(F.sum(F.col("c.n") * F.col("items")).alias("n"))
+    item = item.withColumn("sq", F.aggregate("cells", F.lit(0).cast("long"), lambda t, c: t + c["n"] * c["n"]))
+    agreeing = F.sum((F.col("sq") - raters) * F.col("items")).cast("double") / F.sum("items") / float(raters * (raters - 1))
+    p = item.agg(F.coalesce(F.sum("items"), F.lit(0)).cast("long").alias("items"), agreeing.alias("p"))
     e = share.agg((F.sum(F.col("n") * F.col("n")).cast("double") / (F.sum("n").cast("double") * F.sum("n").cast("double"))).alias("e"))
     return p.crossJoin(e).select("items", F.round(F.when(F.abs(1 - F.col("e")) < 1e-12, F.when(F.col("p") >= 1, 1.0).otherwise(0.0)).otherwise((F.col("p") - F.col("e")) / (1 - F.col("e"))), 4).alias("kappa"))
 
@@ -46,12 +58,11 @@ def krippendorff(ratings: DataFrame, value: str, interval: bool = False) -> Data
     Of an item with m ratings each ordered pair weighs 1 / (m - 1); the labels' shares are the sums of these pairs. interval: disagreement is the squared difference.
     """
     rated = ratings.where(F.col(value).isNotNull()).select("item_id", F.col(value).alias("v"))
-    cell = rated.groupBy("item_id", "v").agg(F.count(F.lit(1)).alias("n"))
-    item = cell.groupBy("item_id").agg(F.sum("n").alias("m"), F.collect_list(F.struct("v", "n")).alias("cells")).where("m >= 2")
+    item = _patterns(rated).where("m >= 2")
     # pairs of an item's distinct values: at most the number of raters squared
-    pair = item.select("m", F.explode("cells").alias("x"), "cells").select("m", "x", F.explode("cells").alias("y"))
+    pair = item.select("m", "items", F.explode("cells").alias("x"), "cells").select("m", "items", "x", F.explode("cells").alias("y"))
     same = F.col("x.v") == F.col("y.v")
-    count = F.when(same, F.col("x.n") * (F.col("x.n") - 1) * 2).otherwise(F.col("x.n") * F.col("y.n")) / (F.col("m") - 1)
+    count = F.when(same, F.col("x.n") * (F.col("x.n") - 1) * 2).otherwise(F.col("x.n") * F.col("y.n")) / (F.col("m") - 1) * F.col("items")
     o = pair.groupBy(F.col("x.v").alias("a"), F.col("y.v").alias("b")).agg(F.sum(count).alias("o"))
     d = (F.pow(F.col("a").cast("double") - F.col("b").cast("double"), F.lit(2.0))) if interval else (F.col("a") != F.col("b")).cast("double")
     n_c = o.groupBy(F.col("a").alias("v")).agg(F.sum("o").alias("n"))
