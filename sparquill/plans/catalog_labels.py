@@ -173,7 +173,8 @@ def krippendorff_interval(spark: SparkSession, sf: str) -> DataFrame:
 @query("adjudicate", R + """, w AS (SELECT item_id, max(CASE WHEN rater = 0 THEN label END) AS a, max(CASE WHEN rater = 1 THEN label END) AS b, max(CASE WHEN rater = 2 THEN label END) AS c FROM v_ratings GROUP BY 1)
 SELECT item_id, CASE WHEN a IS NOT NULL AND (a = b OR a = c) THEN a WHEN b = c THEN b ELSE coalesce(a, b, c) END AS label FROM w""")
 def adjudicate(spark: SparkSession, sf: str) -> DataFrame:
-    w = A.ratings(spark, sf).groupBy("item_id").pivot("rater", [0, 1, 2]).agg(F.max("label"))
+    # dealt before the grouping, which sorts for its texts: once, where the items' ratings meet
+    w = A.ratings(spark, sf).repartition("item_id").groupBy("item_id").pivot("rater", [0, 1, 2]).agg(F.max("label"))
     return w.select("item_id", agreement.adjudicate(F.col("0"), F.col("1"), F.col("2")).alias("label"))
 
 
