@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import hashlib
+from collections.abc import Iterator, Mapping, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -77,6 +79,46 @@ def ids_digest(key: Column) -> list[Column]:
     return [F.count(F.lit(1)).alias("n"), F.bit_xor(part(15)).alias("ids_xor"), F.sum(part(8)).alias("ids_sum")]
 
 
+#: Ids of a split that are joined to one text before they meet.
+ID_BLOCK = 8192
+
+
+def ids_md5(rows: DataFrame, by: str, key: str, block: int = ID_BLOCK) -> DataFrame:
+    """(by, n, ids_md5): the md5 of each group's ids in order, joined by commas; null ids count in n alone.
+
+    The ids are sorted by ranges over the whole cluster and joined to blocks there; md5 can only go over a text from front to
+    end, so one task goes over each group's blocks in order, a batch at a time, and holds none of them.
+    """
+    kind = rows.schema[by].dataType.simpleString()
+
+    def blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in batches:
+            for group, ids in frame.groupby("g", sort=False, dropna=False)["k"]:
+                ids = ids.to_numpy()
+                parts = [ids[a : a + block] for a in range(0, len(ids), block)]
+                yield pd.DataFrame({"g": [None if pd.isna(group) else group] * len(parts), "first": [x[0] for x in parts], "last": [x[-1] for x in parts], "ids": [",".join(map(str, x.tolist())) for x in parts]})
+
+    def digests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, digest = None, None
+        for frame in batches:
+            for group, ids in zip(frame["g"], frame["ids"], strict=True):
+                if digest is not None and (group == now or (pd.isna(group) and pd.isna(now))):
+                    digest.update(b",")
+                else:
+                    if digest is not None:
+                        yield pd.DataFrame({"g": [now], "ids_md5": [digest.hexdigest()]})
+                    now, digest = group, hashlib.md5()
+                digest.update(ids.encode())
+        if digest is not None:
+            yield pd.DataFrame({"g": [now], "ids_md5": [digest.hexdigest()]})
+
+    own = rows.select(F.col(by).alias("g"), F.col(key).cast("long").alias("k"))
+    joined = own.where("k is not null").repartitionByRange("k").sortWithinPartitions("g", "k").mapInPandas(blocks, f"g {kind}, first long, last long, ids string")
+    made = joined.repartition("g").sortWithinPartitions("g", "first", "last").mapInPandas(digests, f"g {kind}, ids_md5 string")
+    n = own.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
+    return n.join(made, n["g"].eqNullSafe(made["g"]), "left").select(n["g"].alias(by), "n", "ids_md5")
+
+
 def best_gold(pred: DataFrame, golds: Mapping[str, DataFrame], key: str) -> DataFrame:
     """One row: name and overlap of the gold table that shares most ids with pred; of equals the first named."""
     ids = pred.select(key).distinct()
