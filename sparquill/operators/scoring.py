@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
 from dataclasses import dataclass
 
 from pyspark.sql import Column
@@ -113,27 +114,29 @@ def penalty_confidence(u: Column, verifier: Column | None) -> Column:
     return F.round(F.least(F.lit(1.0), out), 4)
 
 
-def score_report(labels: dict[str, Column], title: Column, summary: Column, context: Column, decomposition: Column, neutral: Column, verifier: Column, flags: Flags = Flags(), lex: Lexicons = Lexicons(), nothing: str = "") -> dict[str, Column]:
-    """All scores of one report under the flags.
-
-    neutral: struct (neutralized_text, removed_rhetoric); decomposition: struct (hedge_cues, risk_cues,
-    missing_risk_hints); verifier: struct (numbers_preserved, entities_preserved, no_new_facts, factual_consistency,
-    verdict). Without retrieval the context, risk cues and missing hints are blank and coverage is 1.
-    """
+def measures(title: Column, summary: Column, context: Column, decomposition: Column, neutral: Column, verifier: Column, lex: Lexicons = Lexicons(), nothing: str = "") -> dict[str, Column]:
+    """All that scores take from a report's texts, for any flags: hedging, omission with and without retrieval, whether the
+    neutralised text counts, coverage of the history."""
     text = F.concat(F.coalesce(title, F.lit("")), F.lit("\n"), F.coalesce(summary, F.lit("")))
-    plain = neutral["neutralized_text"] if flags.neutralizer else summary
-    active = F.lit(False)
-    if flags.neutralizer:
-        active = F.coalesce((plain != "") & (plain != summary) & (filled(neutral["removed_rhetoric"]) > 0) & (verifier["verdict"] == "pass"), F.lit(False))
+    blank = F.array().cast("array<string>")
+    plain = neutral["neutralized_text"]
+    return {
+        "hedge": hedge_score(text, decomposition["hedge_cues"], lex),
+        "omission": omission_penalty(text, context, decomposition["risk_cues"], decomposition["missing_risk_hints"], lex),
+        "bare_omission": omission_penalty(text, F.lit(""), blank, blank, lex),
+        "active": F.coalesce((plain != "") & (plain != summary) & (filled(neutral["removed_rhetoric"]) > 0) & (verifier["verdict"] == "pass"), F.lit(False)),
+        "coverage": history_coverage(context, nothing),
+    }
+
+
+def score_measures(labels: Mapping[str, Column], found: Mapping[str, Column], verifier: Column, flags: Flags = Flags()) -> dict[str, Column]:
+    """All scores of one report under the flags, from measures(); no text is looked at."""
+    active = found["active"] if flags.neutralizer else F.lit(False)
     fact, raw = label_score(labels["fundamental_sentiment"]), optimism_score(labels["strategic_optimism"])
     counterfactual = F.when(active, fact).otherwise(raw)
-    blank = F.array().cast("array<string>")
-    hedge = hedge_score(text, decomposition["hedge_cues"], lex)
-    omission = omission_penalty(
-        text, context if flags.retrieval else F.lit(""), decomposition["risk_cues"] if flags.retrieval else blank, decomposition["missing_risk_hints"] if flags.retrieval else blank, lex
-    )
+    hedge, omission = found["hedge"], found["omission" if flags.retrieval else "bare_omission"]
     gap = F.round(raw - counterfactual + hedge + omission, 4)
-    coverage = history_coverage(context, nothing) if flags.retrieval else F.lit(1.0)
+    coverage = found["coverage"] if flags.retrieval else F.lit(1.0)
     checked = verifier if flags.verifier else None
     u = uncertainty(checked, labels["uncertainty"], coverage)
     conf = penalty_confidence(u, checked)
@@ -151,6 +154,17 @@ def score_report(labels: dict[str, Column], title: Column, summary: Column, cont
     }
 
 
+def score_report(labels: dict[str, Column], title: Column, summary: Column, context: Column, decomposition: Column, neutral: Column, verifier: Column, flags: Flags = Flags(), lex: Lexicons = Lexicons(), nothing: str = "") -> dict[str, Column]:
+    """All scores of one report under the flags.
+
+    neutral: struct (neutralized_text, removed_rhetoric); decomposition: struct (hedge_cues, risk_cues,
+    missing_risk_hints); verifier: struct (numbers_preserved, entities_preserved, no_new_facts, factual_consistency,
+    verdict). Without retrieval the context, risk cues and missing hints are blank and coverage is 1. For several sets of
+    flags make measures() columns first, and score_measures() of each set from them.
+    """
+    return score_measures(labels, measures(title, summary, context, decomposition, neutral, verifier, lex, nothing), verifier, flags)
+
+
 def guard_neutral(candidate: Column, removed: Column, summary: Column, title: Column) -> Column:
     """Whether a neutralised text may stand: no new numbers, not much longer, and changed only where rhetoric was removed."""
     source = F.concat(F.coalesce(title, F.lit("")), F.lit("\n"), F.coalesce(summary, F.lit("")))

@@ -240,16 +240,20 @@ def ablation_variants(spark: SparkSession, sf: str) -> DataFrame:
 
     d = A.docs(spark, sf)
     words = F.split("summary", " ")
-    rows = d.withColumns({k: v for k, v in L.rule_labels(F.col("title"), F.col("summary"), LATIN).items() if k != "evidence_spans"}).select(
-        "doc_id", "title", "summary", "fundamental_sentiment", "strategic_optimism", "phenomenon", "uncertainty",
-        F.struct(F.filter(words, lambda x: F.length(x) >= 14).alias("hedge_cues"), F.filter(words, lambda x: F.length(x) == 13).alias("risk_cues"), F.when(F.col("doc_id") % 3 == 0, F.filter(words, lambda x: F.length(x) == 12)).otherwise(F.array().cast("array<string>")).alias("missing_risk_hints")).alias("decomposition"),
-        F.struct(F.regexp_replace("summary", "th", "").alias("neutralized_text"), F.when(F.col("doc_id") % 2 == 0, F.array(F.lit("th"))).otherwise(F.array().cast("array<string>")).alias("removed_rhetoric")).alias("neutral"),
-        F.struct((F.col("doc_id") % 5 != 0).alias("numbers_preserved"), F.lit(True).alias("entities_preserved"), (F.col("doc_id") % 7 != 0).alias("no_new_facts"), (F.col("doc_id") % 10 / 10.0).alias("factual_consistency"), F.when(F.col("doc_id") % 5 == 0, "fail").otherwise("pass").alias("verdict")).alias("verifier"),
-    )
-    labels = {f: F.col(f) for f in (*evaluation.FIELDS, "uncertainty")}
-    # one scan: the variants are an array of structs
-    each = [F.struct(F.lit(name).alias("variant"), *[c.alias(k) for k, c in scoring.score_report(labels, F.col("title"), F.col("summary"), F.col("summary"), F.col("decomposition"), F.col("neutral"), F.col("verifier"), flags, LATIN).items()]) for name, flags in scoring.VARIANTS.items()]
-    return rows.select("doc_id", F.explode(F.array(*each)).alias("x")).select("doc_id", "x.*")
+    decomposition = F.struct(F.filter(words, lambda x: F.length(x) >= 14).alias("hedge_cues"), F.filter(words, lambda x: F.length(x) == 13).alias("risk_cues"), F.when(F.col("doc_id") % 3 == 0, F.filter(words, lambda x: F.length(x) == 12)).otherwise(F.array().cast("array<string>")).alias("missing_risk_hints"))
+    neutral = F.struct(F.regexp_replace("summary", "th", "").alias("neutralized_text"), F.when(F.col("doc_id") % 2 == 0, F.array(F.lit("th"))).otherwise(F.array().cast("array<string>")).alias("removed_rhetoric"))
+    verifier = F.struct((F.col("doc_id") % 5 != 0).alias("numbers_preserved"), F.lit(True).alias("entities_preserved"), (F.col("doc_id") % 7 != 0).alias("no_new_facts"), (F.col("doc_id") % 10 / 10.0).alias("factual_consistency"), F.when(F.col("doc_id") % 5 == 0, "fail").otherwise("pass").alias("verdict"))
+    found = scoring.measures(F.col("title"), F.col("summary"), F.col("summary"), decomposition, neutral, verifier, LATIN)
+    counts = L.rule_hits(F.col("title"), F.col("summary"), LATIN)
+    # texts are looked at once, before the variants: as plain columns, since fields of a struct are put back where they are used
+    rows = d.select("doc_id", verifier.alias("verifier"), *[c.alias(f"hits_{k}") for k, c in counts.items()], *[c.alias(f"found_{k}") for k, c in found.items()])
+    labels = L.labels_of({k: F.col(f"hits_{k}") for k in counts})
+    rows = rows.select("doc_id", "verifier", *[f"found_{k}" for k in found], *[c.alias(k) for k, c in labels.items()])
+    labels, found = {k: F.col(k) for k in labels}, {k: F.col(f"found_{k}") for k in found}
+    # an array made before it is exploded, so that what the variants share is computed once; exploding it as an outer one
+    # keeps the optimizer from a filter on its size, which would compute all of it once more
+    each = [F.struct(F.lit(name).alias("variant"), *[c.alias(k) for k, c in scoring.score_measures(labels, found, F.col("verifier"), flags).items()]) for name, flags in scoring.VARIANTS.items()]
+    return rows.select("doc_id", F.array(*each).alias("variants")).select("doc_id", F.explode_outer("variants").alias("x")).select("doc_id", "x.*")
 
 
 _HEDGE = f"round(least(1.0, 0.15 * {sql_hits(_TXT, LATIN.hedges)} + 0.2 * len(list_filter(string_split(summary, ' '), lambda x: length(x) >= 14))), 4)"
