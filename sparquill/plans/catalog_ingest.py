@@ -63,6 +63,10 @@ def _answers(spark: SparkSession, sf: str) -> DataFrame:
     return A.table(spark, sf, "events").select(F.col("user_id").cast("string").alias("request"), F.col("event_id").alias("at"), status.alias("status"), (F.col("user_id") % 7).alias("n_rows"))
 
 
+#: Files that a window lands as, and that a batch takes.
+_FILES = 12
+
+
 @query("ingest_states", _STATES_SQL)
 def ingest_states(spark: SparkSession, sf: str) -> DataFrame:
     """Answers landed in four windows and ingested one by one: the state of every request."""
@@ -71,8 +75,9 @@ def ingest_states(spark: SparkSession, sf: str) -> DataFrame:
     last = answers.agg(F.max("at")).first()[0] or 0
     for i in range(4):
         window = answers.where((F.col("at") * 4 >= i * (last + 1)) & (F.col("at") * 4 < (i + 1) * (last + 1)))
-        window.coalesce(1).write.mode("append").json(f"{path}/in")
-    requests.ingest_states(requests.landed(spark, f"{path}/in", requests.ANSWER), f"{path}/states", f"{path}/checkpoint", parts=8).awaitTermination()
+        # all answers of a request are in one file, so that they stay in order wherever a batch of files ends
+        window.repartition(_FILES, "request").write.mode("append").json(f"{path}/in")
+    requests.ingest_states(requests.landed(spark, f"{path}/in", requests.ANSWER, files_per_batch=_FILES), f"{path}/states", f"{path}/checkpoint", parts=8).awaitTermination()
     return keyed.read_keyed(spark, f"{path}/states").select("request", "attempts", "status", "rows", "at")
 
 

@@ -33,12 +33,16 @@ class RequestState(StatefulProcessor):
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         attempts, status, n_rows, at = self.state.get() if self.state.exists() else (0, None, 0, -1)
-        answers = pd.concat(rows).drop_duplicates("at").sort_values("at")
-        answers = answers[answers["at"] > at]
-        if len(answers):
-            attempts += len(answers)
-            n_rows += int(answers["n_rows"].fillna(0).sum())
-            status, at = answers["status"].iloc[-1], int(answers["at"].iloc[-1])
+        new: dict[int, tuple] = {}
+        for frame in rows:
+            for when, how, n in zip(frame["at"].tolist(), frame["status"].tolist(), frame["n_rows"].tolist(), strict=True):
+                if when > at:
+                    new.setdefault(when, (how, 0 if n is None or n != n else int(n)))
+        if new:
+            attempts += len(new)
+            n_rows += sum(n for _, n in new.values())
+            at = max(new)
+            status = new[at][0]
             self.state.update((attempts, status, n_rows, at))
             yield pd.DataFrame({"request": [key[0]], "attempts": [attempts], "status": [status], "rows": [n_rows], "at": [at]})
 
