@@ -24,6 +24,8 @@ PAD = b"   "
 UNDETERMINED = "und"
 #: Documents of each language, and bytes of their text, that the trees are grown from at most (about).
 DOCS_PER_LANGUAGE, BYTES_PER_LANGUAGE = 1500, 8 << 20
+#: Bytes of text scored at once.
+BLOCK = 1 << 17
 #: Steps in which a share of documents is taken.
 SHARES = 1 << 40
 
@@ -231,7 +233,7 @@ def predict(rows: DataFrame, trees: ContextTrees, text: str = "text", names: tup
             raw, off = as_bytes(batch.column(n_keep))
             bits = np.zeros((batch.num_rows, max(1, len(model.languages))))
             if model.languages:
-                for a, b in slices(off):
+                for a, b in slices(off, BLOCK):
                     bits[a:b] = model.code_lengths(raw, off, a, b)
             best = bits.argmin(axis=1)
             lead = bits.min(axis=1)

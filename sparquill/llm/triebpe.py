@@ -36,7 +36,7 @@ CUT = regex.compile(
 CLOSE = re.compile(rf"[{SPACE}](?<![ \n])")
 TOUCHING = ("  ", " \n", "\n ")
 MOST_PIECES, MOST_WORDS = 300_000, 500_000
-SLICE_CHARS = 1 << 21
+SLICE_CHARS = 1 << 19
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -90,6 +90,10 @@ class TrieEncoder:
         self.words: dict[str, bytes] = dict(self.fresh)
         self.pieces: dict[str, bytes] = {}
 
+    def forget(self) -> None:
+        """Drop what was learnt from texts: the worker lives on, with the tasks of other stages."""
+        self.words, self.pieces, self.fits = dict(self.fresh), {}, {}
+
     def compatible(self, left: int, right: int) -> bool:
         """Whether BPE on the joined bytes of two tokens ends in these two: no merge across the seam comes before the
         merges that made the tokens. Undone one at a time, latest first, what meets at the seam must not be a pair
@@ -213,32 +217,35 @@ def encode_decode(documents: DataFrame, tokenizer: str, id_col: str = "doc_id",
     """id, n_tokens, ids_sha256, decoded_sha256 of each whole text; with ids=True also the array of ids and the decoded text.
 
     Defined cases: null counts as empty (no ids); equal texts give equal values; other columns are not read. The state of
-    a task is bounded: pieces and words that it remembers are forgotten beyond MOST_PIECES and MOST_WORDS.
+    a task is bounded: pieces and words that it remembers are forgotten beyond MOST_PIECES and MOST_WORDS, and at its end.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = TrieEncoder.of(tokenizer)
-        for batch in batches:
-            texts, at = [x or "" for x in batch.column(1).to_pylist()], 0
-            while at < len(texts):
-                end, size = at, 0
-                while end < len(texts) and (end == at or size + len(texts[end]) <= SLICE_CHARS):
-                    size += len(texts[end])
-                    end += 1
-                n, sha, back, arrays, decoded = [], [], [], [], []
-                for code in encoder.encode(texts[at:end]):
-                    got = np.frombuffer(code, "<u4")
-                    text = encoder.decode(got)
-                    n.append(len(got))
-                    sha.append(hashlib.sha256(code).hexdigest())
-                    back.append(hashlib.sha256(text.encode()).hexdigest())
-                    if ids:
-                        arrays.append(got.astype(np.int32))
-                        decoded.append(text)
-                columns = [batch.column(0).slice(at, end - at), pa.array(n, pa.int64()), pa.array(sha), pa.array(back)]
-                columns += [pa.array(arrays, pa.list_(pa.int32())), pa.array(decoded)] if ids else []
-                yield pa.RecordBatch.from_arrays(columns, schema.names)
-                at = end
+        try:
+            for batch in batches:
+                texts, at = [x or "" for x in batch.column(1).to_pylist()], 0
+                while at < len(texts):
+                    end, size = at, 0
+                    while end < len(texts) and (end == at or size + len(texts[end]) <= SLICE_CHARS):
+                        size += len(texts[end])
+                        end += 1
+                    n, sha, back, arrays, decoded = [], [], [], [], []
+                    for code in encoder.encode(texts[at:end]):
+                        got = np.frombuffer(code, "<u4")
+                        text = encoder.decode(got)
+                        n.append(len(got))
+                        sha.append(hashlib.sha256(code).hexdigest())
+                        back.append(hashlib.sha256(text.encode()).hexdigest())
+                        if ids:
+                            arrays.append(got.astype(np.int32))
+                            decoded.append(text)
+                    columns = [batch.column(0).slice(at, end - at), pa.array(n, pa.int64()), pa.array(sha), pa.array(back)]
+                    columns += [pa.array(arrays, pa.list_(pa.int32())), pa.array(decoded)] if ids else []
+                    yield pa.RecordBatch.from_arrays(columns, schema.names)
+                    at = end
+        finally:
+            encoder.forget()
 
     schema = T.StructType(
         [T.StructField(id_col, documents.schema[id_col].dataType), T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
