@@ -14,6 +14,7 @@ pass in vain. All exchanges are by hash of the phrase, so a frequent one is no m
 
 from __future__ import annotations
 
+import contextlib
 import math
 import zlib
 from collections.abc import Iterator
@@ -30,8 +31,9 @@ from sparquill.plans.stage import materialize, release
 
 #: Words of a shard (a document's piece more at most). Bits of a filter: at most FILTER_BITS / 64 rows get to the driver.
 SHARD_WORDS, FILTER_BITS = 500_000, 1 << 26
-#: Words of the corpus for each range of hashes, and entries that a task holds before it adds them up.
-RANGE_WORDS, HELD = 4_000_000, 2_000_000
+#: Entries of the corpus (words, times the lengths of phrases that are counted) for each range of hashes, which is a task of its
+#: own, and entries that a task holds before it adds them up. Phrases that are counted as they are have passed the bitmaps: one length's.
+RANGE_ENTRIES, HELD = 2_000_000, 1_000_000
 #: What parts pieces; beside it, space and tab part words.
 PIECE_ENDS = b".,;:!?\n\x0b\x0c\r"
 INSIDE = inside_table(PIECE_ENDS + b" \t")
@@ -247,7 +249,7 @@ def _planes(x: np.ndarray, n: int) -> bytes:
     return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :n].T).tobytes()
 
 
-def _of_planes(data: bytes, n: int) -> np.ndarray:
+def _of_planes(data: bytes | pa.Buffer, n: int) -> np.ndarray:
     planes = np.frombuffer(data, np.uint8).reshape(n, -1)
     out = np.zeros((planes.shape[1], 8), np.uint8)
     out[:, :n] = planes.T
@@ -262,13 +264,39 @@ def _parts_by_range(bucket: np.ndarray, ranges: int) -> tuple[np.ndarray, np.nda
     return order, met, np.append(start[1:], len(order))
 
 
+@contextlib.contextmanager
+def _few_shards(table: DataFrame) -> Iterator[None]:
+    """Statements in here read few shards of the written table at once: a row has megabytes, and Spark's reader takes thousands of rows."""
+    conf, key = table.sparkSession.conf, "spark.sql.parquet.columnarReaderBatchSize"
+    was = conf.get(key)
+    conf.set(key, "8")
+    try:
+        yield
+    finally:
+        conf.set(key, was)
+
+
+def _dealt(packed: DataFrame, ranges: int) -> DataFrame:
+    """A task for each range: dealt by a hash of it, a few of many tasks would get several ranges, and hold them all."""
+    return packed.repartitionById(ranges, F.col("range").cast("int"))
+
+
+def _views(column: pa.Array) -> Iterator[pa.Buffer]:
+    """The values of a binary column, not copied."""
+    return (x.as_buffer() for x in column)
+
+
 def frequent_buckets(table: DataFrame, low: int, high: int, least: int, ranges: int, words_ok: FrequentFilter | None = None, pairs_ok: FrequentFilter | None = None) -> DataFrame:
     """bucket: hashes of phrases of low..high words that stand, those which share it taken together, at least so often."""
     shared = table.sparkSession.sparkContext.broadcast((words_ok, pairs_ok))
 
     def added(bucket: list[np.ndarray], times: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        own, number = np.unique(np.concatenate(bucket), return_inverse=True)
-        return own, np.bincount(number, np.concatenate(times), len(own)).astype(np.int64)
+        own, n = np.concatenate(bucket), np.concatenate(times)
+        order = np.argsort(own)
+        own, n = own[order], n[order]
+        del order
+        head = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]])) if len(own) else np.zeros(0, np.int64)
+        return own[head], np.add.reduceat(n, head) if len(own) else n
 
     def packed_parts(bucket: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
         order, met, ends = _parts_by_range(bucket, ranges)
@@ -303,7 +331,7 @@ def frequent_buckets(table: DataFrame, low: int, high: int, least: int, ranges:
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bucket, times, held = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
         for batch in batches:
-            for a, b in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            for a, b in zip(_views(batch.column(1)), _views(batch.column(2)), strict=True):
                 bucket.append(np.cumsum(_of_planes(a, 6)))
                 times.append(_of_planes(b, 4))
                 held += len(times[-1])
@@ -314,7 +342,7 @@ def frequent_buckets(table: DataFrame, low: int, high: int, least: int, ranges:
         yield pa.RecordBatch.from_arrays([pa.array(own[total >= least])], names=["bucket"])
 
     packed = table.select("lang", "words", "counts", "codes").mapInArrow(count, "range bigint, buckets binary, times binary")
-    return packed.repartition(ranges, "range").select("range", "buckets", "times").mapInArrow(add, "bucket bigint")
+    return _dealt(packed, ranges).mapInArrow(add, "bucket bigint")
 
 
 def _joined(words: pa.Array, codes: np.ndarray, at: np.ndarray, k: int) -> pa.Array:
@@ -358,7 +386,7 @@ def count_phrases(table: DataFrame, longest: int, least: int, ranges: int, words
             k, bucket, n = (np.concatenate([x[i] for x in found]).astype(np.int64) for i in (1, 2, 3))
             names = pa.array([lang]).take(pa.array(np.zeros(len(k), np.int64)))
             held.append(pa.table([names, pa.concat_arrays([x[0] for x in found]), pa.array(k.astype(np.int32)), pa.array(bucket), pa.array(n)], names=COLUMNS))
-            if sum(x.num_rows for x in held) > HELD // 4:
+            if sum(x.num_rows for x in held) > HELD // 2:
                 yield packed_parts(added(held))
                 held = []
         if held:
@@ -370,7 +398,7 @@ def count_phrases(table: DataFrame, longest: int, least: int, ranges: int, words
         for batch in batches:
             held.append(pa.table([pc.list_flatten(batch.column(i)) for i in range(1, 6)], names=COLUMNS))
             n += held[-1].num_rows
-            if n > max(HELD, 2 * kept):
+            if n > max(HELD // 2, 2 * kept):
                 held = [added(held)]
                 n = kept = held[0].num_rows
         if held:
@@ -379,7 +407,7 @@ def count_phrases(table: DataFrame, longest: int, least: int, ranges: int, words
 
     lists = "lang array<string>, phrase array<string>, words array<int>, bucket array<bigint>, n array<bigint>"
     packed = table.select("lang", "words", "counts", "codes").mapInArrow(count, f"range bigint, {lists}")
-    return packed.repartition(ranges, "range").mapInArrow(add, "lang string, phrase string, words int, a bigint")
+    return _dealt(packed, ranges).mapInArrow(add, "lang string, phrase string, words int, a bigint")
 
 
 def frequent_phrases(table: DataFrame, longest: int = 5, least_count: int = 100) -> tuple[DataFrame, DataFrame]:
@@ -387,10 +415,14 @@ def frequent_phrases(table: DataFrame, longest: int = 5, least_count: int = 100)
     total = F.aggregate("counts", F.lit(0).cast("long"), lambda s, x: s + x)
     totals = materialize(table.groupBy("lang").agg(F.sum(total).alias("n")), "phrase_totals")
     partitions = int(table.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranges = max(partitions, math.ceil((totals.agg(F.sum("n")).first()[0] or 0) / RANGE_WORDS))
+    n_words = totals.agg(F.sum("n")).first()[0] or 0
+
+    def ranges(low: int, high: int) -> int:
+        return max(partitions, math.ceil(n_words * (high - low + 1) / RANGE_ENTRIES))
 
     def filter_of(low: int, high: int, *before: FrequentFilter) -> FrequentFilter:
-        buckets = materialize(frequent_buckets(table, low, high, least_count, ranges, *before), "phrase_buckets")
+        with _few_shards(table):
+            buckets = materialize(frequent_buckets(table, low, high, least_count, ranges(low, high), *before), "phrase_buckets")
         made = FrequentFilter(buckets)
         release(buckets)
         return made
@@ -398,7 +430,8 @@ def frequent_phrases(table: DataFrame, longest: int = 5, least_count: int = 100)
     words = filter_of(1, 1)
     pairs = filter_of(2, 2, words)
     more = filter_of(3, longest, words, pairs) if longest > 2 else None
-    return materialize(count_phrases(table, longest, least_count, ranges, words, pairs, more), "phrase_frequent"), totals
+    with _few_shards(table):
+        return materialize(count_phrases(table, longest, least_count, ranges(1, 1), words, pairs, more), "phrase_frequent"), totals
 
 
 def _exact(c: str) -> Column:
